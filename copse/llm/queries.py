@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from copse.llm import decontaminate, language, mixing, pii, simhash, token_store
+from copse.llm import decontaminate, html_text, language, mixing, pii, quality, simhash, token_store, url_filter
 from copse.llm.common import table
 
 #: Folder names of the public vocabularies; resolved where they are installed.
@@ -19,14 +19,26 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op2_extract_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_find_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op7_filter_urls(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_identify_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(language.learnable(docs), vocabulary_path(VOCABULARY)))
@@ -42,6 +54,6 @@ def op10_token_store(spark, sf_dir):
     return token_store.read_store(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_find_pii, op5_simhash_near_dedup, op8_identify_language, op9_decontaminate, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_find_pii, op4_quality_rules, op5_simhash_near_dedup, op7_filter_urls, op8_identify_language, op9_decontaminate, op10_token_store)}
 
 ORACLE_SQL: dict[str, str] = {}
