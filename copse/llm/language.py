@@ -46,9 +46,12 @@ def _counts(path: str):
 def train(labelled: DataFrame, vocabulary: str, *, doc_id="doc_id", text="text", lang="lang", sample_docs=SAMPLE_DOCS) -> tuple[list[str], dict[str, np.ndarray]]:
     """(languages, piece -> probability by language) from rows with text and language."""
     d = labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sizes = d.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = {r["lang"]: r["rows"] for r in d.groupBy("lang").agg(F.count("*").alias("rows")).collect()}  # a row for each label
+    if not sizes:
+        return [], {}
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = d.join(sizes, "lang").filter(share * F.col("rows") < sample_docs).select("lang", "text")
+    chance = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(sample_docs / n))])
+    sample = d.filter(share < chance[F.col("lang")]).select("lang", "text")
     got = sample.mapInPandas(_counts(vocabulary), "lang string, id int, piece string, n long").groupBy("lang", "id", "piece").agg(F.sum("n").alias("n")).collect()  # languages x vocabulary at most
     langs = sorted({r["lang"] for r in got})
     table: dict[str, np.ndarray] = {}

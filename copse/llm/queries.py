@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from copse.llm import decontaminate, html_text, language, mixing, pii, quality, simhash, token_store, url_filter
+from copse.llm import decontaminate, html_text, language, mixing, pii, quality, simhash, substring_dedup, token_store, url_filter
 from copse.llm.common import table
 
 #: Folder names of the public vocabularies; resolved where they are installed.
@@ -35,6 +35,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return substring_dedup.report(substring_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op7_filter_urls(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,6 @@ def op10_token_store(spark, sf_dir):
     return token_store.read_store(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_find_pii, op4_quality_rules, op5_simhash_near_dedup, op7_filter_urls, op8_identify_language, op9_decontaminate, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_find_pii, op4_quality_rules, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_filter_urls, op8_identify_language, op9_decontaminate, op10_token_store)}
 
 ORACLE_SQL: dict[str, str] = {}
