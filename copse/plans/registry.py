@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from copse.plans import learn
+
+QUERIES: dict = dict(learn.QUERIES)
+ORACLE_SQL: dict = dict(learn.ORACLE_SQL)
