@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from copse.plans import learn
+from copse.plans import ensembles, learn
 
-QUERIES: dict = dict(learn.QUERIES)
-ORACLE_SQL: dict = dict(learn.ORACLE_SQL)
+QUERIES: dict = learn.QUERIES | ensembles.QUERIES
+ORACLE_SQL: dict = learn.ORACLE_SQL | ensembles.ORACLE_SQL
