@@ -2,13 +2,17 @@
 
 1. Documents are packed into chunks of about ``CHUNK_BYTES`` and written once to
    a bucketed table, so that later steps join it by chunk without moving text.
+   Whole copies of a smaller doc_id's text are found by digest, go whole if they
+   have 50 bytes, and add nothing to the steps below.
    Each chunk keeps its anchors: starts of ``GRAM``-byte strings whose hash is
    least in some 50-byte window (every window has one, and equal windows have
    the same ones).
 2. Anchor hashes, once per chunk, are shuffled and sorted; those of two chunks
-   or of two documents of one chunk are candidates.
-3. The text around each candidate anchor (all 50-byte windows that hold it),
-   once per chunk with its smallest and largest doc_id, is shuffled by the
+   or of two documents of one chunk are candidates. A 50-byte window that holds
+   a 16-byte anchor reaches 17 bytes beyond it on one side at least, so the same
+   is done once more with candidates' 33-byte strings to either side.
+3. The text around each candidate anchor (the 50-byte windows whose least gram
+   it is), once per chunk with its smallest and largest doc_id, is shuffled by the
    anchor's hash, so equal windows meet in a shard. Each shard's distinct
    segments get a suffix array by induced sorting; runs of neighbours whose
    capped common prefix reaches 50 are equal windows, and their smallest doc_id
@@ -32,16 +36,18 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.common import shared_dir
+from copse.llm.common import shared_dir, stored
 from copse.llm.suffix_array import same_prefix, suffix_array
 
-WIDTH, GRAM, CHUNK_BYTES, SHARD_ROWS = 50, 16, 1 << 20, 60_000
+WIDTH, GRAM, CHUNK_BYTES, SHARD_ROWS, DIGEST = 50, 16, 1 << 20, 60_000, 16
 NULL_ID = 2**63 - 1
 _SPAN = WIDTH - GRAM + 1  # grams in a window
+REACH = (WIDTH - GRAM + 1) // 2  # a window reaches so far beyond its gram on one side
 
 
 # --- anchors ---------------------------------------------------------------
@@ -56,6 +62,39 @@ def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(x[:n], x[w - have : w - have + n])
 
 
+def _mixed(v: np.ndarray) -> np.ndarray:
+    """Orders of 16-byte grams, never 0, from the 4-byte words that start at each place (along the last axis)."""
+    for have in (4, 8):
+        v = v * np.uint32(0x9E3779B1)
+        v ^= v >> np.uint32(15)
+        v = v[..., :-have] + v[..., have:] * np.uint32(0x85EBCA77)
+        v ^= v >> np.uint32(13)
+    return v | np.uint32(1)
+
+
+def gram_orders(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same orders at some places only."""
+    if not len(at):
+        return np.zeros(0, np.uint32)
+    b = np.lib.stride_tricks.sliding_window_view(text, GRAM)[at].astype(np.uint32)
+    with np.errstate(over="ignore"):
+        return _mixed(b[:, :-3] | b[:, 1:-2] << np.uint32(8) | b[:, 2:-1] << np.uint32(16) | b[:, 3:] << np.uint32(24))[:, 0]
+
+
+def window_runs(at: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows whose leftmost least gram is each anchor (first > last: none)."""
+    first, last = at - (_SPAN - 1), at.copy()
+    for k in range(1, len(at)):
+        near = at[k:] - at[:-k] < _SPAN
+        if not near.any():
+            break
+        a, b = np.flatnonzero(near), np.flatnonzero(near) + k
+        earlier = order[a] <= order[b]
+        np.maximum.at(first, b[earlier], at[a[earlier]] + 1)
+        np.minimum.at(last, a[~earlier], at[b[~earlier]] - _SPAN)
+    return first, last
+
+
 def anchors(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Starts of grams that are least in a window; ends are the documents' ends in text."""
     n = len(text)
@@ -63,13 +102,7 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         b = text.astype(np.uint32)
-        v = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-        for have in (4, 8):
-            v = v * np.uint32(0x9E3779B1)
-            v ^= v >> np.uint32(15)
-            v = v[:-have] + v[have:] * np.uint32(0x85EBCA77)
-            v ^= v >> np.uint32(13)
-    v |= np.uint32(1)
+        v = _mixed(b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24))
     least = _slide(v, _SPAN, np.minimum)  # for every window start
     starts = np.r_[0, ends[:-1]]
     for s, e in zip(starts, ends, strict=True):  # windows that leave their document have none
@@ -79,27 +112,40 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most[: len(v)] == v)
 
 
-def gram_hashes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+def hashes_at(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the width bytes from each place."""
+    h = np.full(len(at), width, np.uint64)
     if not len(at):
-        return np.zeros(0, np.uint64)
-    w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, GRAM)[at]).view(np.uint64).reshape(-1, 2)
+        return h
+    own = np.lib.stride_tricks.sliding_window_view(text, width)[at]
+    own = np.pad(own, ((0, 0), (0, -width % 8)))
     with np.errstate(over="ignore"):
-        h = w[:, 0] * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-        h = (h + w[:, 1]) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
+        for w in np.ascontiguousarray(own).view(np.uint64).T:
+            h = (h + w) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(29)
     return h
 
 
+def _shared_by_docs(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes that two documents of a chunk have."""
+    order = np.lexsort((doc, h))
+    h, d = h[order], doc[order]
+    return np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
+
+
 def _pack(batches):
     part, seq = TaskContext.get().partitionId(), 0
     ids, texts, size = [], [], 0
+    squeeze = zstandard.ZstdCompressor(level=3).compress
 
     def chunk():
         lens = np.array([len(t) for t in texts], np.int64)
         blob = b"".join(texts)
         at = anchors(np.frombuffer(blob, np.uint8), np.cumsum(lens))
-        return pd.DataFrame([((part << 32) + seq, np.array(ids, np.int64).tobytes(), lens.tobytes(), blob, np.diff(at, prepend=0).astype(np.int32).tobytes())], columns=["chunk", "ids", "lens", "text", "at"])
+        gaps = np.diff(at, prepend=0).astype(np.int32)
+        return pd.DataFrame([((part << 32) + seq, np.array(ids, np.int64).tobytes(), lens.tobytes(), squeeze(blob), squeeze(gaps.tobytes()), b"".join(hashlib.blake2b(t, digest_size=DIGEST).digest() for t in texts))], columns=["chunk", "ids", "lens", "text", "at", "digests"])
 
     for b in batches:
         for doc, text in zip(b["doc_id"], b["text"], strict=True):
@@ -116,29 +162,57 @@ def _pack(batches):
 
 class Chunk:
     def __init__(self, row):
-        self.text = np.frombuffer(row["text"], np.uint8)
-        self.raw = row["text"]
+        wide = zstandard.ZstdDecompressor().decompress
+        self.raw = wide(row["text"])
+        self.text = np.frombuffer(self.raw, np.uint8)
         self.ids, self.lens = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
-        self.at = np.cumsum(np.frombuffer(row["at"], np.int32), dtype=np.int64)
-        self.hash = gram_hashes(self.text, self.at)
+        self.at = np.cumsum(np.frombuffer(wide(row["at"]), np.int32), dtype=np.int64)
+        self.copy = np.zeros(len(self.ids), bool)
+        if row["copies"] is not None:
+            self.copy[np.array(row["copies"], np.int64)] = True
+        self.at = self.at[~self.copy[np.searchsorted(self.ends, self.at, side="right")]]
+        self.hash = hashes_at(self.text, self.at, GRAM)
         self.doc = np.searchsorted(self.ends, self.at, side="right")  # place of the document in the chunk
-        self.low = np.maximum(self.starts[self.doc], self.at - (WIDTH - GRAM))
-        self.high = np.minimum(self.ends[self.doc], self.at + WIDTH)
+        first, last = window_runs(self.at, gram_orders(self.text, self.at))
+        self.low = np.maximum(self.starts[self.doc], first)
+        self.high = np.minimum(self.ends[self.doc], last + WIDTH)
 
-    def shared_here(self) -> np.ndarray:
-        """Hashes that two documents of this chunk have."""
-        order = np.lexsort((self.doc, self.hash))
-        h, d = self.hash[order], self.doc[order]
-        return np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
+    def candidates(self, far, mask: int) -> np.ndarray:
+        """Anchors whose hash another chunk or document has."""
+        wanted = np.array([] if far is None else far, np.int64).view(np.uint64)
+        here = _shared_by_docs(self.hash, self.doc)
+        return np.flatnonzero((np.isin(self.hash & np.uint64(mask), wanted) | np.isin(self.hash, here)) & (self.high - self.low >= WIDTH))
 
+    def sides(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, anchor, document) of the longer strings to the left and to the right of anchors k."""
+        left = k[self.at[k] - REACH >= self.starts[self.doc[k]]]
+        right = k[self.at[k] + GRAM + REACH <= self.ends[self.doc[k]]]
+        h = np.r_[hashes_at(self.text, self.at[left] - REACH, GRAM + REACH), hashes_at(self.text, self.at[right], GRAM + REACH)]
+        both = np.r_[left, right]
+        return h, both, self.doc[both]
+
+
+def _hashes(mask: int):
+    def run(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                h = np.unique(Chunk(r).hash & np.uint64(mask))
+                yield pd.DataFrame({"h": h.view(np.int64), "chunk": np.int64(r["chunk"])})
+
+    return run
 
-def _hashes(batches):
-    for b in batches:
-        for r in b.to_dict("records"):
-            h = np.unique(Chunk(r).hash)
-            yield pd.DataFrame({"h": h.view(np.int64), "chunk": np.int64(r["chunk"])})
+
+def _side_hashes(mask: int):
+    def run(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                c = Chunk(r)
+                h = np.unique(c.sides(c.candidates(r["hashes"], mask))[0] & np.uint64(mask))
+                yield pd.DataFrame({"h": h.view(np.int64), "chunk": np.int64(r["chunk"])})
+
+    return run
 
 
 def _shared(batches):
@@ -163,19 +237,23 @@ def _shared(batches):
 # --- segments and shards ---------------------------------------------------
 
 
-def _segments(batches):
-    for b in batches:
-        for r in b.to_dict("records"):
-            c = Chunk(r)
-            far = r["hashes"]
-            wanted = np.union1d(np.array([] if far is None else far, np.int64).view(np.uint64), c.shared_here())
-            found: dict[tuple[int, bytes], list[int]] = {}
-            for k in np.flatnonzero(np.isin(c.hash, wanted) & (c.high - c.low >= WIDTH)):
-                doc, h = int(c.ids[c.doc[k]]), int(c.hash[k])
-                own = found.setdefault((h, c.raw[c.low[k] : c.high[k]]), [int(c.at[k]), doc, doc])
-                own[1], own[2] = min(own[1], doc), max(own[2], doc)
-            if found:
-                yield pd.DataFrame({"h": np.array([h for h, _ in found], np.uint64).view(np.int64), "data": [d for _, d in found], "chunk": np.int64(r["chunk"]), "at": [x[0] for x in found.values()], "lo": [x[1] for x in found.values()], "hi": [x[2] for x in found.values()]})
+def _segments(mask: int):
+    def run(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                c = Chunk(r)
+                h, anchor, doc = c.sides(c.candidates(r["hashes"], mask))
+                wanted = np.array([] if r["longer"] is None else r["longer"], np.int64).view(np.uint64)
+                good = np.isin(h & np.uint64(mask), wanted) | np.isin(h, _shared_by_docs(h, doc))
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for k in np.unique(anchor[good]).tolist():
+                    own_id = int(c.ids[c.doc[k]])
+                    own = found.setdefault((int(c.hash[k]), c.raw[c.low[k] : c.high[k]]), [int(c.at[k]), own_id, own_id])
+                    own[1], own[2] = min(own[1], own_id), max(own[2], own_id)
+                if found:
+                    yield pd.DataFrame({"h": np.array([h for h, _ in found], np.uint64).view(np.int64), "data": [d for _, d in found], "chunk": np.int64(r["chunk"]), "at": [x[0] for x in found.values()], "lo": [x[1] for x in found.values()], "hi": [x[2] for x in found.values()]})
+
+    return run
 
 
 def least_ids(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
@@ -187,7 +265,7 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     s[starts + lens] = 0
     own = np.repeat(np.arange(len(segments)), lens + 1)
     left = starts[own] + lens[own] - np.arange(len(raw))
-    sa = suffix_array(s, 257, 2 * WIDTH)
+    sa = suffix_array(s, 257, WIDTH // 2 + 1)  # leftmost-smaller suffixes are two bytes apart at least
     sa = sa[left[sa] >= WIDTH]
     group = np.r_[0, np.cumsum(~same_prefix(raw, sa, WIDTH))] if len(sa) else np.zeros(0, np.int64)
     best = np.full(int(group[-1]) + 1 if len(group) else 0, NULL_ID, np.int64)
@@ -259,8 +337,11 @@ def _cut(batches):
                         np.add.at(edge, j, 1)
                         np.add.at(edge, j + WIDTH, -1)
             gone = np.cumsum(edge[:n]) > 0
-            for doc, s, e in zip(c.ids, c.starts, c.ends, strict=True):
+            for doc, s, e, copy in zip(c.ids, c.starts, c.ends, c.copy, strict=True):
                 own = gone[s:e]
+                if copy and e - s >= WIDTH:
+                    out.append((None if doc == NULL_ID else int(doc), int(e - s), int(e - s), 1, b""))
+                    continue
                 k = int(own.sum())
                 kept = c.raw[s:e] if not k else c.text[s:e][~own].tobytes()
                 spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if k else 0
@@ -269,20 +350,43 @@ def _cut(batches):
         yield frame.astype({"doc_id": "Int64"})
 
 
+def _digests(batches):
+    for b in batches:
+        for r in b.to_dict("records"):
+            ids, d = np.frombuffer(r["ids"], np.int64), r["digests"]
+            yield pd.DataFrame({"digest": [d[i : i + DIGEST] for i in range(0, len(d), DIGEST)], "id": ids, "chunk": np.int64(r["chunk"]), "place": np.arange(len(ids), dtype=np.int32)})
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(chunk, copies): places of documents whose text a smaller doc_id has too."""
+    d = stored(rows.mapInPandas(_digests, "digest binary, id long, chunk long, place int"), "digests")
+    least = d.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("most > least").select("digest", "least")
+    own = d.join(least, "digest").filter("id > least").groupBy("chunk").agg(F.collect_list("place").alias("copies"))
+    return stored(own, "copies")
+
+
 def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     """Per document row: (doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     name = f"chunks_{uuid.uuid4().hex}"
-    packed = d.mapInPandas(_pack, "chunk long, ids binary, lens binary, text binary, at binary").repartition(parts, "chunk")
-    packed.write.bucketBy(parts, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    chunks = spark.table(name)
+    packed = d.mapInPandas(_pack, "chunk long, ids binary, lens binary, text binary, at binary, digests binary").repartition(parts, "chunk")
+    packed.write.bucketBy(parts, "chunk").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    packed = spark.table(name)
+    chunks = packed.drop("digests").join(_copies(packed.select("chunk", "ids", "digests")).hint("shuffle_hash"), "chunk", "left")
+
+    mask = (1 << min(63, max(34, (packed.count() * CHUNK_BYTES // 18).bit_length() + 8))) - 1  # so many bits that chance matches stay rare
+
+    def shared(keys: DataFrame, name: str) -> DataFrame:
+        rows = keys.repartition("h").sortWithinPartitions("h").mapInPandas(_shared, "h long, chunk long")
+        return rows.groupBy("chunk").agg(F.collect_list("h").alias(name))  # a chunk's own keys: bounded by its size
 
-    hashes = chunks.mapInPandas(_hashes, "h long, chunk long").repartition("h").sortWithinPartitions("h")
-    far = hashes.mapInPandas(_shared, "h long, chunk long").groupBy("chunk").agg(F.collect_list("h").alias("hashes"))
+    far = stored(shared(chunks.mapInPandas(_hashes(mask), "h long, chunk long"), "hashes"), "shared-anchors")
     asked = chunks.join(far.hint("shuffle_hash"), "chunk", "left")
-    rows = asked.mapInPandas(_segments, "h long, data binary, chunk long, at int, lo long, hi long").repartition("h").sortWithinPartitions("h")
+    longer = shared(asked.mapInPandas(_side_hashes(mask), "h long, chunk long"), "longer")
+    asked = asked.join(longer.hint("shuffle_hash"), "chunk", "left")
+    rows = asked.mapInPandas(_segments(mask), "h long, data binary, chunk long, at int, lo long, hi long").repartition("h").sortWithinPartitions("h")
     found = rows.mapInPandas(_shards, "chunk long, at int, best binary").groupBy("chunk").agg(F.collect_list(F.struct("at", "best")).alias("found"))
     told = chunks.join(found.hint("shuffle_hash"), "chunk", "left")
     return told.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

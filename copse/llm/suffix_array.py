@@ -129,7 +129,7 @@ def _by_doubling(r: np.ndarray, depth: int | None) -> np.ndarray:
         nxt = np.zeros(n, np.int64)
         nxt[: n - h] = rank[h:] + 1 if h < n else 0
         key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
         rank = np.empty(n, np.int64)
         rank[order] = new
