@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, WORD, CACHE_WORDS, SMOOTH, UNKNOWN = 1000, 48, 300_000, 0.1, 1e-7
+SAMPLE_DOCS, WORD, CACHE_WORDS, RUN_WORDS, SMOOTH, UNKNOWN = 1000, 48, 300_000, 100_000, 0.1, 1e-7
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,34 +129,38 @@ class Forward:
                 scale += np.log(top)
         return np.log(np.maximum(a[n], 1e-300)) + scale[:, None]
 
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """Summed log-probabilities of whole texts."""
-        out = np.zeros((len(texts), len(self.langs)))
-        split = [t.split() for t in texts]
-        at = 0
-        while at < len(split):
-            if len(self.cache) > CACHE_WORDS:
-                self.cache, self.rows = {}, self.rows[:0]
-            upto, size = at, 0
-            while upto < len(split) and (upto == at or size + len(split[upto]) <= CACHE_WORDS):
-                size += len(split[upto])
-                upto += 1
-            known = self.cache
-            new = list({w for ws in split[at:upto] for w in ws if w not in known})
-            if new:
-                long = [w for w in new if len(w) > WORD]
-                short = [w for w in new if len(w) <= WORD]
-                rows = [self.words(short)] if short else []
-                for w in long:
-                    rows.append(self.words([w[i : i + WORD] for i in range(0, len(w), WORD)]).sum(axis=0, keepdims=True))
-                for i, w in enumerate(itertools.chain(short, long), len(known)):
-                    known[w] = i
-                self.rows = np.concatenate([self.rows, *rows])
-            for k in range(at, upto):
-                ws = split[k]
-                out[k] = self.rows[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-            at = upto
-        return out
+    def learn(self, words: set[str]) -> None:
+        """Scores words not in the table."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.rows = {}, self.rows[:0]
+        new = [w for w in words if w not in self.cache]
+        long = [w for w in new if len(w) > WORD]
+        short = [w for w in new if len(w) <= WORD]
+        rows = [self.words(short)] if short else []
+        for w in long:
+            rows.append(self.words([w[i : i + WORD] for i in range(0, len(w), WORD)]).sum(axis=0, keepdims=True))
+        self.cache.update(zip(itertools.chain(short, long), range(len(self.cache), len(self.cache) + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows, *rows])
+
+    def texts(self, texts) -> np.ndarray:
+        """Summed log-probabilities of whole texts, in runs of about RUN_WORDS words."""
+        out, run, size = [], [], 0
+
+        def settle():
+            nonlocal size
+            self.learn(set().union(*run))
+            at = self.cache.__getitem__
+            out.extend(self.rows[np.fromiter(map(at, ws), np.int64, len(ws))].sum(axis=0) for ws in run)
+            run.clear()
+            size = 0
+
+        for t in texts:
+            run.append(t.split())
+            size += len(run[-1])
+            if size >= RUN_WORDS:
+                settle()
+        settle()
+        return np.array(out).reshape(len(out), len(self.langs))
 
 
 def has_letter(text: str) -> bool:
