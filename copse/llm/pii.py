@@ -7,7 +7,7 @@ tokens; features score the whole candidate span (its shape, length, character
 mix, key word, how the patterns see it), and a segment-level dynamic programme,
 bounded by MAX_LEN, chooses boundaries and kinds together. Weights come from
 gradient ascent on the segment-level conditional likelihood, over islands of a
-bounded sample of documents (``TRAIN_DOCS``, the smallest hashes of doc_id)
+bounded sample of documents (``TRAIN_DOCS`` in expectation, by a hash of doc_id)
 labelled by the patterns and by the seed forms of secrets.
 
 Positions are code points, end exclusive. Defined cases: null is the empty
@@ -34,7 +34,7 @@ CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-MAX_LEN, TRAIN_DOCS, EPOCHS, RATE = 4, 3000, 6, 0.3
+MAX_LEN, TRAIN_DOCS, EPOCHS, RATE = 4, 6000, 15, 0.3
 LABELS = ("none", *KINDS, "secret")
 
 
@@ -227,8 +227,9 @@ def train(docs: DataFrame, *, doc_id="doc_id", text="text", train_docs=TRAIN_DOC
                         rows.append((t[lo : toks[-1][1]],))
             yield pd.DataFrame(rows, columns=["island"])
 
-    sample = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h")).filter(F.col(text).rlike("[0-9@=]")).orderBy("h").limit(train_docs)
-    got = sample.select("text").mapInPandas(cut, "island string").distinct().orderBy(F.xxhash64("island"), "island").limit(max_islands).collect()
+    share = F.pmod(F.xxhash64(F.col(doc_id), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.filter(share < train_docs / max(1, docs.count())).select(F.col(text).alias("text"))
+    got = sample.filter(F.col("text").rlike("[0-9@=]")).mapInPandas(cut, "island string").distinct().orderBy(F.xxhash64("island"), "island").limit(max_islands).collect()
     examples = []
     for r in got:
         toks = [m.span() for m in TOKEN.finditer(r["island"])]

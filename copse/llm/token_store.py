@@ -28,11 +28,13 @@ table gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from copse.llm.common import shared_dir
 
-END_ID, SHARD_TOKENS, CACHE_WORDS = 1, 1 << 20, 400_000
+END_ID, SHARD_TOKENS, CACHE_WORDS, RUN_WORDS, LINE_WORDS = 1, 1 << 20, 500_000, 100_000, 500
 
 SCHEMA = "part int, shard int, first long, lo long, hi long, n_docs long, n_tokens long, width int, payload binary, keys binary, seeds binary, prints binary, starts binary"
 
@@ -91,35 +93,98 @@ def mph_slot(key: bytes, seeds: np.ndarray, n: int) -> int:
 # --- encoding --------------------------------------------------------------
 
 
+#: The tokenizer's own cut into pre-tokens; it only counts them here, and a wrong count is noticed.
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: A mark after a letter is a pre-token by itself at the end of a word.
+MARKS = b".,;:!?"
+
+
+def n_cuts(word: str) -> int:
+    if word.isalpha() and word.lower().isalpha():
+        return 1
+    return len(CUT.findall(unicodedata.normalize("NFC", word).lower()))
+
+
+def core_of(word: bytes) -> bytes:
+    """The word without a last mark, if the rest are letters only; else the word."""
+    if word[-1] in MARKS:
+        core = word[:-1]
+        if core.isalpha() or not core.isascii() and core.decode("utf-8", "replace").lower().isalpha():
+            return core
+    return word
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word, as little-endian bytes."""
+    """Ids of whole texts, word by word, as little-endian bytes.
+
+    New words are encoded a line at a time. Where every pre-token ends in an id
+    marked as a word's end, the marks cut the line's ids back into words; lines
+    whose marks don't add up, and tokenizers without marks, go word by word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tok.get_vocab()
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        one = lambda x: self.tok.encode(x, add_special_tokens=False).ids
+        self.folds = one("ABC Xyz") == one("abc xyz")
+        self.splits = all(one("word" + chr(m)) == one("word") + one(chr(m)) for m in MARKS)
         self.cache: dict[bytes, bytes] = {}
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words]
+
+    def _line(self, words: list[str]) -> list[bytes]:
+        line = " ".join(words)
+        if not self.ends.any() or any(t in line for t in self.special):
+            return self._alone(words)
+        ids = np.array(self.tok.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
+        marks = np.flatnonzero(self.ends[ids]) + 1
+        counts = np.cumsum([1 if w.isascii() and w.isalpha() else n_cuts(w) for w in words])
+        if not len(marks) or len(marks) != counts[-1] or marks[-1] != len(ids) or (np.diff(counts, prepend=0) == 0).any():
+            return self._alone(words)
+        raw, cuts = ids.tobytes(), (marks[counts - 1] * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
     def encode(self, texts) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        out, at = [], 0
-        while at < len(split):  # in runs, so that the words of one never outgrow the table by much
-            if len(self.cache) > CACHE_WORDS:
-                self.cache = {}
-            upto, size = at, 0
-            while upto < len(split) and (upto == at or size + len(split[upto]) <= CACHE_WORDS):
-                size += len(split[upto])
-                upto += 1
-            known = self.cache
-            new = list({w for words in split[at:upto] for w in words if w not in known})
-            if new:
-                dtype = self.dtype
-                for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype).tobytes()
-            out += [b"".join(map(known.__getitem__, words)) for words in split[at:upto]]
-            at = upto
+        out: list[bytes] = []
+        known = self.cache
+        run: list[list[bytes]] = []
+        size = 0
+
+        def settle():
+            nonlocal size
+            fresh = [w for w in set().union(*run) if w not in known]
+            cores = {w: core_of(w) for w in fresh} if self.splits else {w: w for w in fresh}
+            new = list({c for c in cores.values() if c not in known} | {w[-1:] for w, c in cores.items() if c is not w and w[-1:] not in known})
+            for at in range(0, len(new), LINE_WORDS):
+                own = new[at : at + LINE_WORDS]
+                known.update(zip(own, self._line([w.decode("utf-8", "replace") for w in own]), strict=True))
+            for w, c in cores.items():
+                if c is not w:
+                    known[w] = known[c] + known[w[-1:]]
+            out.extend(b"".join(map(known.__getitem__, words)) for words in run)
+            run.clear()
+            size = 0
+            if len(known) > CACHE_WORDS:
+                known.clear()
+
+        for t in texts:
+            raw = t.encode("utf-8", "surrogatepass") if t else b""
+            if self.folds and b"<|" not in raw:
+                raw = raw.lower()  # A-Z only; the tokenizer folds case anyway, and fewer words are distinct
+            words = raw.split()
+            run.append(words)
+            size += len(words)
+            if size >= RUN_WORDS:
+                settle()
+        settle()
         return out
 
 
@@ -182,7 +247,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, doc_id="doc_id",
     """Encodes whole texts in ascending doc_id order and writes the shards to the folder path."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     d = d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    d.select("doc_id", "text").mapInPandas(_write(tokenizer, shard_tokens), SCHEMA).write.option("compression", "zstd").parquet(path)
+    d.select("doc_id", "text").mapInPandas(_write(tokenizer, shard_tokens), SCHEMA).write.parquet(path)
 
 
 # --- reading ---------------------------------------------------------------
