@@ -7,14 +7,15 @@ hashes repeat go on to sort them with their positions.
 
 The method compares two histograms of a text, its character classes and its
 common words (``COMMON_WORDS``, the rest being one bin), with those of its
-language, summed over all texts of the language that pass the base rules. A
-text is kept while both Jensen-Shannon distances (base 2) stay at or under
+language, summed over all texts of the language that pass the base rules, and
+with those of all languages together, and, for texts in two languages,
+common words of all languages are also one bin; the nearest counts. A text is kept while both Jensen-Shannon distances (base 2) stay at or under
 their limits; texts under ``MIN_CHARS`` characters or ``MIN_WORDS`` words are
 too short for a histogram to say anything and aren't judged by it.
 
 Defined cases: null text has no words and fails the base rules; a null or
 unreferenced language is compared with the reference of all languages
-together; repeated rows each get a row; empty tables give empty results;
+alone; repeated rows each get a row; empty tables give empty results;
 other columns are ignored.
 """
 
@@ -37,7 +38,7 @@ CLASSES = {"space": SPACE, "upper": r"\p{Lu}", "digit": r"\p{Nd}", "symbol": r"#
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED, MAX_CLASS_DISTANCE = 300, 80, 0.31
 #: The word histogram of a short text is coarse: its limit is this much plus this much by the root of its words.
-MAX_WORD_DISTANCE, WORD_DISTANCE_SPREAD = 0.12, 1.5
+MAX_WORD_DISTANCE, WORD_DISTANCE_SPREAD = 0.10, 2.0
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -127,14 +128,22 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
+def _two_bins(commons: Column) -> Column:
+    """Common words of any language together, and the rest: what a text that changes its language keeps."""
+    rest = F.element_at(commons, -1)
+    return F.array(F.aggregate(commons, F.lit(0).cast("long"), lambda s, x: s + x) - rest, rest)
+
+
 def judge(docs: DataFrame, *, doc_id="doc_id", text="text", lang="lang", max_class=MAX_CLASS_DISTANCE, max_word=MAX_WORD_DISTANCE, spread=WORD_DISTANCE_SPREAD) -> DataFrame:
     """Per document: the base counts, base_failed, class_distance, word_distance, kept."""
     m = stored(measures(docs, doc_id=doc_id, text=text, lang=lang), "quality-measures")
     ref = references(m)
     pooled = ref.filter("ref_lang = ''").select(F.lit(1).alias("one"), F.col("ref_chars").alias("all_chars"), F.col("ref_commons").alias("all_commons"))
     found = m.join(ref, m["lang"] == ref["ref_lang"], "left").withColumn("one", F.lit(1)).join(F.broadcast(pooled), "one", "left")  # one row
-    c = js_distance(F.col("chars"), F.coalesce("ref_chars", "all_chars", "chars"))
-    w = js_distance(F.col("commons"), F.coalesce("ref_commons", "all_commons", "commons"))
+    own, every = F.coalesce("ref_chars", "all_chars", "chars"), F.coalesce("all_chars", "chars")
+    c = F.least(js_distance(F.col("chars"), own), js_distance(F.col("chars"), every))
+    own, every = F.coalesce("ref_commons", "all_commons", "commons"), F.coalesce("all_commons", "commons")
+    w = F.least(js_distance(F.col("commons"), own), js_distance(F.col("commons"), every), js_distance(_two_bins(F.col("commons")), _two_bins(own)))
     found = found.withColumn("base_failed", base_failed()).withColumn("class_distance", c).withColumn("word_distance", w)
     fits = ((F.col("n_chars") < MIN_CHARS_JUDGED) | (F.col("class_distance") <= max_class)) & ((F.col("n_words") < MIN_WORDS_JUDGED) | (F.col("word_distance") <= max_word + spread / F.sqrt(F.col("n_words"))))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -31,6 +31,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 import zlib
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -85,7 +86,7 @@ def mph_build(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return seeds, slots
 
 
-def mph_slot(key: bytes, seeds: np.ndarray, n: int) -> int:
+def mph_slot(key: bytes, seeds, n: int) -> int:
     seed = int(seeds[xxhash.xxh64_intdigest(key, 0) % len(seeds)])
     return -1 - seed if seed < 0 else xxhash.xxh64_intdigest(key, seed) % n
 
@@ -136,6 +137,7 @@ class WordEncoder:
         self.folds = one("ABC Xyz") == one("abc xyz")
         self.splits = all(one("word" + chr(m)) == one("word") + one(chr(m)) for m in MARKS)
         self.cache: dict[bytes, bytes] = {}
+        self.recent: deque = deque(maxlen=4)
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words]
@@ -154,13 +156,15 @@ class WordEncoder:
 
     def encode(self, texts) -> list[bytes]:
         out: list[bytes] = []
-        known = self.cache
+        known, recent = self.cache, self.recent
         run: list[list[bytes]] = []
         size = 0
 
         def settle():
             nonlocal size
-            fresh = [w for w in set().union(*run) if w not in known]
+            words = set().union(*run)
+            recent.append(words)
+            fresh = [w for w in words if w not in known]
             cores = {w: core_of(w) for w in fresh} if self.splits else {w: w for w in fresh}
             new = list({c for c in cores.values() if c not in known} | {w[-1:] for w, c in cores.items() if c is not w and w[-1:] not in known})
             for at in range(0, len(new), LINE_WORDS):
@@ -169,11 +173,13 @@ class WordEncoder:
             for w, c in cores.items():
                 if c is not w:
                     known[w] = known[c] + known[w[-1:]]
-            out.extend(b"".join(map(known.__getitem__, words)) for words in run)
+            out.extend(b"".join(map(known.__getitem__, ws)) for ws in run)
             run.clear()
             size = 0
-            if len(known) > CACHE_WORDS:
+            if len(known) > CACHE_WORDS:  # words of the last runs stay
+                kept = {w: known[w] for w in set().union(*recent)}
                 known.clear()
+                known.update(kept)
 
         for t in texts:
             raw = t.encode("utf-8", "surrogatepass") if t else b""
@@ -274,13 +280,18 @@ def _read(batches):
     for b in batches:
         rows = []
         for r in b.to_dict("records"):
+            n, first, part = int(r["n_docs"]), int(r["first"]), int(r["part"])
+            seeds, prints = np.frombuffer(r["seeds"], "<i4").tolist(), np.frombuffer(r["prints"], "<u4").tolist()
+            starts = np.frombuffer(r["starts"], "<i8").reshape(-1, 2).tolist()
+            ids = memoryview(np.frombuffer(r["payload"], f"<u{int(r['width'])}").astype("<u4").tobytes())
             for key in shard_keys(r["keys"]):
-                ids = fetch(key, r)
+                slot = mph_slot(key, seeds, n)
+                if prints[slot] != xxhash.xxh32_intdigest(key, 7):
+                    raise ValueError("a stored key isn't found through its index")
+                start, size = starts[slot]
                 occurrence = int.from_bytes(key[8:], "little", signed=True)
                 doc = None if occurrence < 0 else int.from_bytes(key[:8], "little", signed=True)
-                slot = mph_slot(key, np.frombuffer(r["seeds"], "<i4"), int(r["n_docs"]))
-                start = int(np.frombuffer(r["starts"], "<i8")[2 * slot])
-                rows.append((doc, r["part"], r["first"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                rows.append((doc, part, first + start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
         out = pd.DataFrame(rows, columns=["doc_id", "part", "local", "n_tokens", "ids_crc32"])
         yield out.astype({"doc_id": "Int64"})
 
