@@ -73,7 +73,7 @@ class Forward:
         keys = np.array([self._key(np.array([ord(c) for c in p], np.uint64)) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.probs = np.array([table[pieces[i]] for i in order]).reshape(-1, len(langs))
+        self.probs = np.array([table[pieces[i]] for i in order]).reshape(len(pieces), len(langs))
         self.longest = max(map(len, pieces), default=1)
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((0, len(langs)))
