@@ -16,12 +16,18 @@
    anchor's hash, so equal windows meet in a shard. Each shard's distinct
    segments get a suffix array by induced sorting; runs of neighbours whose
    capped common prefix reaches 50 are equal windows, and their smallest doc_id
-   goes back to the chunks that have a larger one.
+   goes back to the chunks that have a larger one. Anchor hashes of more than
+   ``CROWDED`` segments stay out of the shards: their segments are cut into the
+   50-byte windows, whose smallest doc_id is an aggregate by window, joined back
+   to one row per window and chunk.
 4. Chunks mark covered bytes and cut them out.
 
-A passage that a third of all documents share costs a row per chunk, not per
-document, in every shuffle, and shards are cut at hash boundaries as they
-stream, so no group is gathered whole. Matches are exact: hashes only propose.
+A passage that a third of all documents share costs a row per chunk in the
+shuffles of hashes. Of segments there is a row per chunk and surrounding text, so
+anchors near the edges of such a passage have a row per document; their groups
+are the crowded ones, aggregated by window and never held. A shard has at most
+``SHARD_ROWS`` segments, ``CROWDED`` more and an Arrow batch. Matches are exact:
+hashes only propose.
 
 Defined cases: null and empty texts have no bytes; texts under 50 bytes lose
 nothing; equal doc_ids are one document here (neither removes from the other);
@@ -44,7 +50,7 @@ from pyspark.sql import functions as F
 from copse.llm.common import shared_dir, stored
 from copse.llm.suffix_array import same_prefix, suffix_array
 
-WIDTH, GRAM, CHUNK_BYTES, SHARD_ROWS, DIGEST = 50, 16, 1 << 20, 60_000, 16
+WIDTH, GRAM, CHUNK_BYTES, SHARD_ROWS, CROWDED, DIGEST = 50, 16, 1 << 20, 60_000, 5_000, 16
 NULL_ID = 2**63 - 1
 _SPAN = WIDTH - GRAM + 1  # grams in a window
 REACH = (WIDTH - GRAM + 1) // 2  # a window reaches so far beyond its gram on one side
@@ -248,10 +254,10 @@ def _segments(mask: int):
                 found: dict[tuple[int, bytes], list[int]] = {}
                 for k in np.unique(anchor[good]).tolist():
                     own_id = int(c.ids[c.doc[k]])
-                    own = found.setdefault((int(c.hash[k]), c.raw[c.low[k] : c.high[k]]), [int(c.at[k]), own_id, own_id])
+                    own = found.setdefault((int(c.hash[k]), c.raw[c.low[k] : c.high[k]]), [int(c.at[k]), own_id, own_id, int(c.at[k] - c.low[k])])
                     own[1], own[2] = min(own[1], own_id), max(own[2], own_id)
                 if found:
-                    yield pd.DataFrame({"h": np.array([h for h, _ in found], np.uint64).view(np.int64), "data": [d for _, d in found], "chunk": np.int64(r["chunk"]), "at": [x[0] for x in found.values()], "lo": [x[1] for x in found.values()], "hi": [x[2] for x in found.values()]})
+                    yield pd.DataFrame({"h": np.array([h for h, _ in found], np.uint64).view(np.int64), "data": [d for _, d in found], "chunk": np.int64(r["chunk"]), "at": [x[0] for x in found.values()], "lead": [x[3] for x in found.values()], "lo": [x[1] for x in found.values()], "hi": [x[2] for x in found.values()]})
 
     return run
 
@@ -306,6 +312,16 @@ def _shards(batches):
         yield _resolve(pd.concat(held, ignore_index=True))
 
 
+def _crowded_windows(rows: DataFrame) -> DataFrame:
+    """(chunk, at, best, h, least): windows that a smaller doc_id has too, by a place of theirs in each chunk."""
+    windows = F.expr(f"transform(sequence(1, length(data) - {WIDTH - 1}), k -> substring(data, k, {WIDTH}))")
+    each = rows.select("h", "chunk", (F.col("at") - F.col("lead")).alias("low"), "lo", "hi", F.posexplode(windows).alias("k", "window"))
+    own = each.groupBy("h", "window", "chunk").agg(F.min(F.col("low") + F.col("k")).alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = stored(own, "crowded-windows")
+    least = own.groupBy("window").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("most > least").select("window", "least")
+    return own.join(least, "window").filter("hi > least").select("chunk", "at", F.lit(None).cast("binary").alias("best"), "h", "least")
+
+
 # --- cutting ---------------------------------------------------------------
 
 
@@ -318,8 +334,12 @@ def _cut(batches):
             edge = np.zeros(n + 1, np.int64)
             if r["found"] is not None and len(r["found"]):
                 where = {int(a): k for k, a in enumerate(c.at)}
-                best = {}
+                best, single, crowded = {}, {}, set()
                 for x in r["found"]:
+                    if x["best"] is None:
+                        single[c.raw[x["at"] : x["at"] + WIDTH]] = x["least"]
+                        crowded.add(x["h"])
+                        continue
                     k = where[int(x["at"])]
                     best[int(c.hash[k]), c.raw[c.low[k] : c.high[k]]] = np.frombuffer(x["best"], np.int64)
                 for k in np.flatnonzero(np.isin(c.hash, np.array([h for h, _ in best], np.uint64))):
@@ -336,6 +356,12 @@ def _cut(batches):
                         j = lo + np.flatnonzero(ids < doc)
                         np.add.at(edge, j, 1)
                         np.add.at(edge, j + WIDTH, -1)
+                for k in np.flatnonzero(np.isin(c.hash.view(np.int64), np.array(list(crowded), np.int64))):
+                    doc = int(c.ids[c.doc[k]])
+                    for j in range(int(c.low[k]), int(c.high[k]) - WIDTH + 1):
+                        if single.get(c.raw[j : j + WIDTH], NULL_ID) < doc:
+                            edge[j] += 1
+                            edge[j + WIDTH] -= 1
             gone = np.cumsum(edge[:n]) > 0
             for doc, s, e, copy in zip(c.ids, c.starts, c.ends, c.copy, strict=True):
                 own = gone[s:e]
@@ -365,8 +391,11 @@ def _copies(rows: DataFrame) -> DataFrame:
     return stored(own, "copies")
 
 
-def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """Per document row: (doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes."""
+def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text", crowded: int = CROWDED) -> DataFrame:
+    """Per document row: (doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes.
+
+    Anchor hashes of more than crowded segments are resolved by window; the result is the same for any value.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -386,8 +415,15 @@ def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     asked = chunks.join(far.hint("shuffle_hash"), "chunk", "left")
     longer = shared(asked.mapInPandas(_side_hashes(mask), "h long, chunk long"), "longer")
     asked = asked.join(longer.hint("shuffle_hash"), "chunk", "left")
-    rows = asked.mapInPandas(_segments(mask), "h long, data binary, chunk long, at int, lo long, hi long").repartition("h").sortWithinPartitions("h")
-    found = rows.mapInPandas(_shards, "chunk long, at int, best binary").groupBy("chunk").agg(F.collect_list(F.struct("at", "best")).alias("found"))
+    rows = stored(asked.mapInPandas(_segments(mask), "h long, data binary, chunk long, at int, lead int, lo long, hi long"), "segments")
+    many = stored(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("h"), "crowded")
+    some = not many.isEmpty()
+    few = rows.join(F.broadcast(many), "h", "left_anti") if some else rows  # many has at most a row per CROWDED segments
+    found = few.drop("lead").repartition("h").sortWithinPartitions("h").mapInPandas(_shards, "chunk long, at int, best binary")
+    found = found.select("chunk", "at", "best", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("least"))  # nulls would make doubles of them
+    if some:
+        found = found.unionByName(_crowded_windows(rows.join(F.broadcast(many), "h", "left_semi")))
+    found = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "best", "h", "least")).alias("found"))
     told = chunks.join(found.hint("shuffle_hash"), "chunk", "left")
     return told.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -373,6 +373,41 @@ def test_substrings_odd_rows(spark):
     assert substring_dedup.deduplicated(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_substrings_of_crowded_anchors(spark, monkeypatch):
+    """A phrase in different surroundings has a segment per document: no shard may hold them all."""
+    r = random.Random(9)
+    own = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    phrase = own(60)
+    rows = [(i, own(50) + phrase[: r.choice([52, 60])] + own(50), "", "") for i in range(6000)]
+    whole = substring_dedup._shards
+
+    def guarded(batches):
+        def counted():
+            seen = Counter()
+            for b in batches:
+                seen.update(b["h"].tolist())
+                assert max(seen.values()) <= 5000
+                yield b
+
+        yield from whole(counted())
+
+    monkeypatch.setattr(substring_dedup, "_shards", guarded)
+    check_substrings(documents(spark, rows), [(i, t) for i, t, *_ in rows])
+
+
+@pytest.mark.parametrize("crowded", [0, 1, 3])
+def test_substrings_crowded_windows(spark, crowded):
+    """Windows and shards say the same, within a chunk, over chunks, for null and for equal ids."""
+    r = random.Random(10)
+    passages = ["".join(r.choice("ab cé") for _ in range(r.randint(40, 130))) for _ in range(6)]
+    rows = [(i * 7 % 61, "".join(r.choice([r.choice(passages), "".join(r.choice("abcdefgh é") for _ in range(r.randint(0, 60)))]) for _ in range(r.randint(0, 6))), "", "") for i in range(80)]
+    rows += [(None, passages[0] * 2, "", ""), (None, passages[1] + "q", "", ""), (300, "a" * 333, "", ""), (301, "a" * 120 + "b", "", ""), (-4, passages[2] + "z" * 60, "", "")]
+    want = substring_dedup.brute_force([(i, t) for i, t, *_ in rows])
+    found = substring_dedup.report(substring_dedup.deduplicated(documents(spark, rows).repartition(4), crowded=crowded)).collect()
+    key = lambda t: (t[0] is None, t[0] or 0, t[1:])
+    assert sorted(map(tuple, found), key=key) == sorted(want, key=key)
+
+
 # --- 7 URLs ----------------------------------------------------------------
 
 
