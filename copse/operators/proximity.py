@@ -4,8 +4,9 @@ Proximities are pairs of rows that share leaves, found by an equi-join on
 (tree, leaf). A leaf with g rows makes g**2 pairs, which is what a proximity
 matrix is; ``max_pairs`` is checked on leaf sizes before the join and refuses,
 rather than samples, where the matrix would not fit. Top-k neighbours and
-outlier scores aggregate the pairs; nothing is collected but for MDS, which is
-for matrices of up to ``MDS_ROWS`` rows.
+outlier scores aggregate the pairs. MDS is a power iteration of Spark jobs; only
+sums go to the driver, or the matrix itself where it has at most ``MDS_DRIVER`` rows.
+Rows with the same leaves in all trees are one row of that matrix, with a count.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from copse.operators.grow import TreeConfig, Trees, grow, prepared
 from copse.operators.score import per_tree
 from copse.sources.frames import materialised, with_rank
 
-MAX_PAIRS, MDS_ROWS = 2_000_000_000, 5000
+MAX_PAIRS, MDS_DRIVER = 2_000_000_000, 1000
 
 
 def synthetic_union(df: DataFrame, row_id: str, features: list[str], seed: int = 0) -> DataFrame:
@@ -92,35 +93,89 @@ def outlier_new(pairs: DataFrame, n_train: int) -> DataFrame:
     return pairs.groupBy("i").agg(F.sum(F.col("prox") * F.col("prox")).alias("s")).select(F.col("i").alias("row_id"), F.when(F.col("s") > 0, F.least(F.lit(float(n_train)) / F.col("s"), F.lit(20.0))).otherwise(F.lit(20.0)).alias("score"))
 
 
-def mds(pairs: DataFrame, n_components: int = 2, compat: bool = False, iterations: int = 1000) -> DataFrame:
-    """(row_id, c0, c1, ...): classical scaling of a proximity matrix small enough for the driver, by power iteration.
+def leaf_classes(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row_id, i) and (tree_id, row_id, leaf) of classes i: rows with the same leaves in all trees, named by their least row_id."""
+    own = leaves.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("tree_id", "leaf"))).alias("key"))  # one entry per tree
+    own = materialised(own, "keys")
+    least = materialised(own.groupBy("key").agg(F.min("row_id").alias("i")), "classes")
+    return own.join(least, "key").select("row_id", "i"), least.select(F.col("i").alias("row_id"), F.explode("key").alias("_k")).select("row_id", "_k.tree_id", "_k.leaf")
 
+
+def mds(pairs: DataFrame, n_components: int = 2, compat: bool = False, iterations: int = 1000, members: DataFrame | None = None, on_driver: int = MDS_DRIVER) -> DataFrame:
+    """(row_id, c0, c1, ...): classical scaling of a proximity matrix by power iteration.
+
+    With members (row_id, i), pairs are of classes i whose rows have equal
+    proximities. Matrices of more than on_driver rows stay in Spark.
     compat deflates with scaled vectors, which repeats the first component when its eigenvalue is large.
     """
     spark = pairs.sparkSession
-    ids = [r[0] for r in pairs.select("i").distinct().orderBy("i").limit(MDS_ROWS + 1).collect()]
-    if len(ids) > MDS_ROWS:
-        raise ValueError(f"MDS is for up to {MDS_ROWS} rows")
-    at = {v: k for k, v in enumerate(ids)}
-    a = np.zeros((len(ids), len(ids)))
-    for r in pairs.toLocalIterator():
+    pairs = materialised(pairs.select("i", "j", F.col("prox").cast("double").alias("prox")), "pairs")
+    if members is None:
+        members = pairs.select(F.col("i").alias("row_id"), "i").distinct()
+    members = materialised(members, "members")
+    # n rows of a class and s, the sum of its rows' entries of the first vector, which alternates by row_id
+    sums = with_rank(members, ["row_id"], "r").groupBy("i").agg(F.count("*").cast("double").alias("n"), F.sum(F.when(F.col("r") % 2 == 0, 1.0).otherwise(-1.0)).alias("s"))
+    sums = materialised(sums, "sums")
+    k = sums.count()
+    cs = [f"c{c}" for c in range(n_components)]
+    if k <= on_driver:
+        coords = _mds_local(sums.orderBy("i").collect(), pairs.collect(), n_components, compat, iterations)
+        found = spark.createDataFrame(coords, "i long, " + ", ".join(f"{c} double" for c in cs))
+    else:
+        found = _mds_jobs(sums, pairs, n_components, compat, iterations)
+    return members.join(found, "i").select("row_id", *cs)
+
+
+def _mds_local(sums: list, pairs: list, n_components: int, compat: bool, iterations: int) -> list[tuple]:
+    at = {r["i"]: x for x, r in enumerate(sums)}
+    n, s0 = np.array([r["n"] for r in sums]), np.array([r["s"] for r in sums])
+    a = np.zeros((len(at), len(at)))
+    for r in pairs:
         a[at[r["i"]], at[r["j"]]] = r["prox"]
-    b = 0.5 * (a - a.mean(0) - a.mean(1)[:, None] + a.mean())
-    coords = np.zeros((len(ids), n_components))
+    mean = a @ n / max(n.sum(), 1)
+    b = 0.5 * (a - mean - mean[:, None] + (mean @ n) / max(n.sum(), 1))
+    coords = np.zeros((len(at), n_components))
     for c in range(n_components):
-        u = np.where(np.arange(len(ids)) % 2 == 0, 1.0, -1.0)
-        u /= max(np.linalg.norm(u), 1e-300)
-        lam = 0.0
+        s, u, lam = s0 / max(np.sqrt(n.sum()), 1e-300), np.zeros(len(at)), 0.0  # the first vector isn't constant in a class
         for _ in range(iterations):
-            v = b @ u
-            lam = float(u @ v)
-            if np.linalg.norm(v - lam * u) < abs(lam) * 1e-7 or not np.linalg.norm(v):
+            v = b @ s
+            lam, vv = float(s @ v), float(n @ (v * v))
+            if vv - lam * lam < lam * lam * 1e-14 or not vv:
                 break
-            u = v / np.linalg.norm(v)
+            u = v / np.sqrt(vv)
+            s = n * u
         coords[:, c] = u * np.sqrt(abs(lam))
         w = coords[:, c] if compat else u
         b = b - lam * np.outer(w, w)
-    return spark.createDataFrame([(int(i), *map(float, r)) for i, r in zip(ids, coords, strict=True)], "row_id long, " + ", ".join(f"c{k} double" for k in range(n_components)))
+    return [(i, *map(float, x)) for i, x in zip(at, coords, strict=True)]
+
+
+def _mds_jobs(sums: DataFrame, pairs: DataFrame, n_components: int, compat: bool, iterations: int) -> DataFrame:
+    """The same with the vector as a table; the driver sees sums over it."""
+    total = sums.agg(F.sum("n")).first()[0]
+    mean = pairs.join(sums.select(F.col("i").alias("j"), "n"), "j").groupBy("i").agg((F.sum(F.col("prox") * F.col("n")) / total).alias("mean"))
+    base = materialised(sums.withColumnRenamed("s", "s0").join(mean, "i", "left").fillna(0.0, ["mean"]), "base")
+    grand = base.agg(F.sum(F.col("mean") * F.col("n"))).first()[0] / total
+    lams: list[float] = []
+    for c in range(n_components):
+        old = [f"w{x}" for x in range(c)]
+        vec, lam = base.withColumn("s", F.col("s0") / float(np.sqrt(total))).withColumn("u", F.lit(0.0)), 0.0
+        for _ in range(iterations):
+            d = vec.agg(F.sum("s").alias("one"), F.sum(F.col("s") * F.col("mean")).alias("mean"), *[F.sum(F.col("s") * F.col(w)).alias(w) for w in old]).first()
+            prod = pairs.join(vec.select(F.col("i").alias("j"), "s"), "j").groupBy("i").agg(F.sum(F.col("prox") * F.col("s")).alias("p"))
+            v = 0.5 * (F.coalesce("p", F.lit(0.0)) - d["mean"] + (grand - F.col("mean")) * d["one"])
+            for x, w in enumerate(old):
+                v = v - F.col(w) * (lams[x] * d[w])
+            step = materialised(vec.join(prod, "i", "left").withColumn("v", v).drop("p"), "step")
+            lam, vv = step.agg(F.sum(F.col("s") * F.col("v")), F.sum(F.col("n") * F.col("v") * F.col("v"))).first()
+            if vv - lam * lam < lam * lam * 1e-14 or not vv:
+                vec = step
+                break
+            vec = step.withColumn("u", F.col("v") / float(np.sqrt(vv))).withColumn("s", F.col("n") * F.col("u")).drop("v")
+        coord = F.col("u") * float(np.sqrt(abs(lam)))
+        base = materialised(vec.select(*base.columns, coord.alias(f"c{c}"), (coord if compat else F.col("u")).alias(f"w{c}")), "base")
+        lams.append(lam)
+    return base.select("i", *[f"c{c}" for c in range(n_components)])
 
 
 @dataclass

@@ -363,7 +363,8 @@ def unsupervised_outliers(spark, sf):
 @query()
 def mds_embedding(spark, sf):
     lv, _ = _fixed_leaves(spark, sf)
-    return proximity.mds(proximity.proximity(lv.filter("row_id < 200")), 2)
+    members, leaves = proximity.leaf_classes(lv)
+    return proximity.mds(proximity.proximity(leaves), 2, members=members)
 
 
 @query()
