@@ -6,13 +6,18 @@ slot i of the schedule has the van der Corput point bitreverse(i), which the
 cumulative slot counts map to a source, and the k-th slot of a source takes its
 k-th block (a second pass over the source follows the first).
 
-No step gathers a source in one task: positions come from two-level prefix sums
-over hashed buckets, and the rank of a slot within its source is a closed form
+No step gathers a source in one task: positions come from prefix sums on three
+levels (rows in a bucket, buckets on a shelf, shelves of a source, of which each
+stands for some eight million documents), and the rank of a slot within its source is a closed form
 of the slot number (a sum over its set bits), not a window.
 
 Defined cases: null text has no words; null source is a source of its own, last
-in order; null or repeated doc_ids are separate rows, each placed by itself; an
-empty table gives an empty result; other columns are ignored.
+in order; null or repeated doc_ids are separate rows, each placed by itself
+(``mixed_documents`` draws the rows of one doc_id alike, by their shares together);
+ties in the hashed order go by doc_id and size, and rows equal in these are
+interchangeable; a very long text spans several blocks; an empty table gives an
+empty result; other columns, whatever their names, are ignored by the mix and
+kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copse.llm.common import stored, word_count
+from copse.llm.common import free_name, stored, word_count
 
-#: Documents per bucket of the hashed order, and schedule points per chunk.
-BUCKET_ROWS, CHUNK_BITS = 2048, 12
+#: Documents per bucket of the hashed order, buckets per shelf, and schedule points per chunk (the last two as powers of 2).
+BUCKET_ROWS, SHELF_BITS, CHUNK_BITS = 2048, 12, 12
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0) -> DataFrame:
@@ -98,9 +103,11 @@ def mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weigh
     d = d.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64("h"), F.ceil(F.col("source_rows") / BUCKET_ROWS).cast("long")))
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("n", F.count("*").over(inside))
-    offsets = d.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    over = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("sid", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("offset"))
+    offsets = d.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("shelf", F.shiftright("bucket", SHELF_BITS))
+    shelves = offsets.groupBy("sid", "shelf").agg(F.sum("words").alias("shelf_words"))
+    shelves = shelves.select("sid", "shelf", F.coalesce(F.sum("shelf_words").over(Window.partitionBy("sid").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    over = Window.partitionBy("sid", "shelf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.join(shelves, ["sid", "shelf"]).select("sid", "bucket", (F.col("base") + F.coalesce(F.sum("words").over(over), F.lit(0))).alias("offset"))
     d = d.join(offsets, ["sid", "bucket"]).withColumn("pos", F.col("offset") + F.col("local"))
     d = d.withColumn("row", F.struct("sid", "bucket", "n"))
 
@@ -129,7 +136,9 @@ def taken(pieces: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """docs with each row repeated as often as the mix draws it, counted to the nearest whole document."""
-    drawn = taken(mix(docs, **kw)).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    drawn = drawn.select(F.col("doc_id").alias("_id"), F.rint(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_copies")).filter("_copies > 0")
-    out = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    ident = kw.get("doc_id", "doc_id")
+    i, n, k = (free_name(docs, x) for x in ("drawn_id", "drawn_copies", "drawn_copy"))
+    drawn = taken(mix(docs, **kw)).groupBy("doc_id").agg(F.sum("taken").alias("words"), F.sum("size").alias("size"))
+    drawn = drawn.select(F.col("doc_id").alias(i), F.rint(F.col("words") / F.greatest("size", F.lit(1))).cast("int").alias(n)).filter(F.col(n) > 0)
+    out = docs.join(drawn, docs[ident].eqNullSafe(F.col(i)))
+    return out.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])

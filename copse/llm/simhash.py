@@ -14,7 +14,7 @@ candidates and are verified on the whole fingerprint.
 
 A key with more than ``LIMIT`` members is never compared all with all: its
 members differ in the remaining bits only, so the principle applies to those
-bits again (four smaller parts, one of which must be equal), until keys are
+bits again (distance + 1 smaller parts, one of which must be equal), until keys are
 small. This ends, as members are distinct. Links are handed on as a spanning
 forest of each key's members, and components are found by alternating star
 contraction on tables, with checkpoints; nothing is collected.
@@ -22,7 +22,10 @@ contraction on tables, with checkpoints; nothing is collected.
 Defined cases: null, empty and wordless texts have fingerprint zero and link
 like any other; texts under three words are hashed whole; repeated doc_ids and
 rows each get a row; component_id is the smallest non-null doc_id reachable
-(null if there is none); empty tables give empty results.
+(null if there is none); ties between links don't matter, as all are followed;
+a very long text is hashed whole; empty tables give empty results; other
+columns, whatever their names, are ignored by the report and kept by the
+deduplication.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.common import shared_dir, stored
+from copse.llm.common import free_name, shared_dir, stored
 
 LIMIT, SEED = 1024, 42
 
@@ -65,13 +68,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def _prints(batches):
     for b in batches:
         fp = np.array([fingerprint(t) for t in b["text"]], np.uint64)
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fp.view(np.int64)})
 
 
 def fingerprints(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInPandas(_prints, "doc_id long, fp long")
+    """(doc_id, h, fp): a hash of the text, and the fingerprint's 64 bits as a signed long."""
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    return d.mapInPandas(_prints, "doc_id long, h long, fp long")
 
 
 # --- parts and thresholds --------------------------------------------------
@@ -176,16 +179,16 @@ def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", m).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def refined(rows: DataFrame) -> DataFrame:
-    """Rows of too large keys, each under four longer masks: quarters of the bits still free, one of which must agree."""
+def refined(rows: DataFrame, distance: int = 3) -> DataFrame:
+    """Rows of too large keys, each under distance + 1 longer masks: parts of the bits still free, one of which must agree."""
 
     def longer(batches):
         for b in batches:
             parts = []
             for mask, own in b.groupby("mask"):
                 free = [k for k in range(64) if not (int(mask) >> k) & 1]
-                for q in range(4):
-                    new = _signed((int(mask) & (2**64 - 1)) | _mask(free[q::4]))
+                for q in range(distance + 1):
+                    new = _signed((int(mask) & (2**64 - 1)) | _mask(free[q :: distance + 1]))
                     fp = own["fp"].to_numpy(np.int64)
                     parts.append(pd.DataFrame({"fp": fp, "mask": np.int64(new), "key": fp & np.int64(new)}))
             yield pd.concat(parts) if parts else pd.DataFrame({"fp": [], "mask": [], "key": []})
@@ -266,7 +269,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         large = rows.filter(F.col("n") > LIMIT)
         if counts.filter(F.col("n") > LIMIT).isEmpty():
             return found
-        rows = stored(refined(large).distinct(), "simhash-refined")
+        rows = stored(refined(large, distance).distinct(), "simhash-refined")
 
 
 # --- components ------------------------------------------------------------
@@ -293,14 +296,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", distance=3) -> DataFrame:
-    """Per document row: (doc_id, fp, component_id)."""
+    """Per document row: (doc_id, h, fp, component_id, root): the component's smallest doc_id and its least fingerprint."""
     d = stored(fingerprints(docs, doc_id=doc_id, text=text), "simhash-fingerprints")
     fps = stored(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     comp = components(links(fps.select("fp"), distance))
     fps = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = fps.groupBy("root").agg(F.min("first").alias("component_id"))
-    fps = fps.join(least, "root").select("fp", "component_id")
-    return d.join(fps, "fp").select("doc_id", "fp", "component_id")
+    fps = fps.join(least, "root").select("fp", "root", "component_id")
+    return d.join(fps, "fp").select("doc_id", "h", "fp", "component_id", "root")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -309,10 +312,14 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text", **kw) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id (one of them, where that repeats); rows with a null id all stay."""
+    """docs with one row of each component: that of its smallest doc_id, null last; of rows that share it, that of the least hash of the text, and then of the whole row."""
     found = stored(near_duplicates(docs, doc_id=doc_id, text=text, **kw), "simhash-components")
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id))
-    repeated = not keep.groupBy(doc_id).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    kept = docs.join(keep.distinct(), doc_id, "left_semi").select(*docs.columns)
-    kept = kept.dropDuplicates([doc_id]) if repeated else kept
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("head")
+    i, h = free_name(docs, "head_id"), free_name(docs, "head_hash")
+    heads = found.groupBy("root").agg(first).select(F.col("head.doc_id").alias(i), F.col("head.h").alias(h))
+    kept = docs.join(heads, F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(h)), "left_semi")
+    if found.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])  # rows equal in id and text: one stays
+    kept = kept.groupBy(F.col(doc_id).alias(i), F.xxhash64(F.col(text)).alias(h)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(free_name(docs, "head_row")))
+    return kept.select(F.col(free_name(docs, "head_row") + ".*"))

@@ -9,21 +9,25 @@ lo, hi           smallest and largest doc_id (null where it holds null ids only)
 n_docs, n_tokens
 width            bytes per id: 2 or 4
 payload          the raw ids, little-endian, documents in order
-keys             doc_id (int64, 0 for null), occurrence (int32, -1 - k for null ids), in order
 seeds            int32 per bucket: seed of its keys, or -1 - slot of its one key
+keys             by slot: doc_id (int64, 0 for null), occurrence (int32, -1 - k for null ids)
 prints, starts   by slot: 32-bit fingerprint of the key; int64 start and length in the payload
 
 A key is a doc_id and its occurrence within the shard. Lookup hashes the key to
-a bucket, the bucket's seed (or slot) gives the key's slot, the stored
-fingerprint is compared, and the slot holds the offset: constant time.
+a bucket, the bucket's seed (or slot) gives the key's slot, the slot's stored
+fingerprint and its one stored key are compared, and the slot holds the offset:
+constant time. A lookup reads the index columns of the shards whose range of
+doc_ids holds the key, and then the bytes of that document alone leave the scan.
 
 Words between ASCII spaces never merge in the tokenizer (its rules stop at
-white space), so each worker encodes a distinct word once and joins whole texts
-from a word table of at most ``CACHE_WORDS`` entries.
+white space), so each task encodes a distinct word once and joins whole texts
+from a word table of at most ``CACHE_BYTES`` (and the words of its last runs),
+freed with the tokenizer at the task's end.
 
 Defined cases: null and empty texts hold the end id only; null ids sort first;
-repeated ids are separate documents, in an order fixed by their text; an empty
-table gives an empty store; other columns are ignored.
+repeated ids are separate documents, in an order fixed by their text; a very
+long text is one document, in a shard of its own if need be; an empty table
+gives an empty store; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +45,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copse.llm.common import shared_dir
+from copse.llm.common import give_back, shared_dir
 
-END_ID, SHARD_TOKENS, CACHE_WORDS, RUN_WORDS, LINE_WORDS = 1, 1 << 20, 500_000, 100_000, 500
+END_ID, SHARD_TOKENS, RUN_WORDS, LINE_WORDS = 1, 1 << 20, 50_000, 500
+#: Bound of a word table, and what an entry takes beside its two byte strings.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 170
 
 SCHEMA = "part int, shard int, first long, lo long, hi long, n_docs long, n_tokens long, width int, payload binary, keys binary, seeds binary, prints binary, starts binary"
 
@@ -137,7 +143,13 @@ class WordEncoder:
         self.folds = one("ABC Xyz") == one("abc xyz")
         self.splits = all(one("word" + chr(m)) == one("word") + one(chr(m)) for m in MARKS)
         self.cache: dict[bytes, bytes] = {}
-        self.recent: deque = deque(maxlen=4)
+        self.size = 0  # bytes in the cache
+        self.recent: deque = deque(maxlen=2)
+
+    def _keep(self, words, ids) -> None:
+        for w, x in zip(words, ids, strict=True):
+            self.cache[w] = x
+            self.size += len(w) + len(x) + ENTRY_BYTES
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words]
@@ -169,17 +181,17 @@ class WordEncoder:
             new = list({c for c in cores.values() if c not in known} | {w[-1:] for w, c in cores.items() if c is not w and w[-1:] not in known})
             for at in range(0, len(new), LINE_WORDS):
                 own = new[at : at + LINE_WORDS]
-                known.update(zip(own, self._line([w.decode("utf-8", "replace") for w in own]), strict=True))
-            for w, c in cores.items():
-                if c is not w:
-                    known[w] = known[c] + known[w[-1:]]
+                self._keep(own, self._line([w.decode("utf-8", "replace") for w in own]))
+            marked = [w for w, c in cores.items() if c is not w]
+            self._keep(marked, [known[cores[w]] + known[w[-1:]] for w in marked])
             out.extend(b"".join(map(known.__getitem__, ws)) for ws in run)
             run.clear()
             size = 0
-            if len(known) > CACHE_WORDS:  # words of the last runs stay
+            if self.size > CACHE_BYTES:  # words of the last runs stay
                 kept = {w: known[w] for w in set().union(*recent)}
                 known.clear()
-                known.update(kept)
+                self.size = 0
+                self._keep(kept.keys(), kept.values())
 
         for t in texts:
             raw = t.encode("utf-8", "surrogatepass") if t else b""
@@ -194,18 +206,6 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def _shard_row(part: int, shard: int, first: int, docs: list, width: int, end: bytes):
     seen: dict = {}
     keys, bodies = [], []
@@ -220,13 +220,17 @@ def _shard_row(part: int, shard: int, first: int, docs: list, width: int, end: b
     starts, prints = np.zeros((n, 2), "<i8"), np.zeros(n, "<u4")
     starts[slots, 0], starts[slots, 1] = np.cumsum(lengths) - lengths, lengths
     prints[slots] = [xxhash.xxh32_intdigest(k, 7) for k in raw]
+    by_slot = [raw[i] for i in np.argsort(slots)]
     ids = [d for d, _ in docs if d is not None]
-    return (part, shard, first, min(ids, default=None), max(ids, default=None), n, int(lengths.sum()), width, b"".join(bodies), b"".join(raw), seeds.astype("<i4").tobytes(), prints.tobytes(), starts.tobytes())
+    return (part, shard, first, min(ids, default=None), max(ids, default=None), n, int(lengths.sum()), width, b"".join(bodies), b"".join(by_slot), seeds.astype("<i4").tobytes(), prints.tobytes(), starts.tobytes())
 
 
 def _write(path: str, shard_tokens: int):
     def run(batches):
-        enc = _encoder(path)
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        enc = WordEncoder(path)
         end = np.array([END_ID], enc.dtype).tobytes()
         part, shard, first, docs, size = TaskContext.get().partitionId(), 0, 0, [], 0
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -235,16 +239,22 @@ def _write(path: str, shard_tokens: int):
             out = pd.DataFrame([row], columns=columns)
             return out.astype({"lo": "Int64", "hi": "Int64"})
 
-        for b in batches:
-            for doc, body in zip(b["doc_id"], enc.encode(b["text"]), strict=True):
-                n = len(body) // enc.width + 1
-                if docs and size + n > shard_tokens:
-                    yield frame(_shard_row(part, shard, first, docs, enc.width, end))
-                    shard, first, docs, size = shard + 1, first + size, [], 0
-                docs.append((None if pd.isna(doc) else int(doc), body))
-                size += n
-        if docs:
-            yield frame(_shard_row(part, shard, first, docs, enc.width, end))
+        try:
+            for b in batches:
+                texts, ids = b["text"], b["doc_id"]
+                for at in range(0, len(b), 256):
+                    for doc, body in zip(ids[at : at + 256], enc.encode(texts[at : at + 256]), strict=True):
+                        n = len(body) // enc.width + 1
+                        if docs and size + n > shard_tokens:
+                            yield frame(_shard_row(part, shard, first, docs, enc.width, end))
+                            shard, first, docs, size = shard + 1, first + size, [], 0
+                        docs.append((None if pd.isna(doc) else int(doc), body))
+                        size += n
+            if docs:
+                yield frame(_shard_row(part, shard, first, docs, enc.width, end))
+        finally:
+            del enc, docs
+            give_back()
 
     return run
 
@@ -259,41 +269,38 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, doc_id="doc_id",
 # --- reading ---------------------------------------------------------------
 
 
-def shard_keys(raw: bytes) -> list[bytes]:
-    return [raw[i : i + 12] for i in range(0, len(raw), 12)]
-
-
-def fetch(key: bytes, row) -> np.ndarray | None:
-    """The ids of one key of a shard row, or None where the fingerprint says that it isn't there."""
+def place(key: bytes, row) -> tuple[int, int] | None:
+    """(start, length) in ids of one key of a shard row's index, or None where the slot's fingerprint or key says that it isn't there."""
     prints, seeds = np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["seeds"], "<i4")
     if not len(prints):
         return None
     slot = mph_slot(key, seeds, len(prints))
-    if prints[slot] != xxhash.xxh32_intdigest(key, 7):
+    if prints[slot] != xxhash.xxh32_intdigest(key, 7) or bytes(row["keys"][12 * slot : 12 * slot + 12]) != key:
         return None
-    start, n = np.frombuffer(row["starts"], "<i8").reshape(-1, 2)[slot]
-    w = int(row["width"])
-    return np.frombuffer(row["payload"], f"<u{w}", int(n), int(start) * w)
+    start, n = np.frombuffer(row["starts"], "<i8", 2, 16 * slot)
+    return int(start), int(n)
 
 
 def _read(batches):
+    import pyarrow as pa
+
     for b in batches:
-        rows = []
-        for r in b.to_dict("records"):
-            n, first, part = int(r["n_docs"]), int(r["first"]), int(r["part"])
-            seeds, prints = np.frombuffer(r["seeds"], "<i4").tolist(), np.frombuffer(r["prints"], "<u4").tolist()
-            starts = np.frombuffer(r["starts"], "<i8").reshape(-1, 2).tolist()
-            ids = memoryview(np.frombuffer(r["payload"], f"<u{int(r['width'])}").astype("<u4").tobytes())
-            for key in shard_keys(r["keys"]):
-                slot = mph_slot(key, seeds, n)
-                if prints[slot] != xxhash.xxh32_intdigest(key, 7):
+        for k in range(b.num_rows):  # one shard at a time, its payload not copied
+            r = {c: b.column(c)[k] for c in b.schema.names}
+            n, first, part, width = (r[c].as_py() for c in ("n_docs", "first", "part", "width"))
+            index = {c: r[c].as_py() for c in ("seeds", "prints", "starts", "keys")}
+            ids = np.frombuffer(r["payload"].as_buffer(), f"<u{width}")
+            rows = []
+            for key in (index["keys"][i : i + 12] for i in range(0, 12 * n, 12)):
+                found = place(key, index)
+                if found is None:
                     raise ValueError("a stored key isn't found through its index")
-                start, size = starts[slot]
+                start, size = found
                 occurrence = int.from_bytes(key[8:], "little", signed=True)
                 doc = None if occurrence < 0 else int.from_bytes(key[:8], "little", signed=True)
-                rows.append((doc, part, first + start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
-        out = pd.DataFrame(rows, columns=["doc_id", "part", "local", "n_tokens", "ids_crc32"])
-        yield out.astype({"doc_id": "Int64"})
+                rows.append((doc, part, first + start, size, zlib.crc32(ids[start : start + size].astype("<u4"))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "part", "local", "n_tokens", "ids_crc32"])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -302,18 +309,22 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    found = shards.mapInPandas(_read, "doc_id long, part int, local long, n_tokens long, ids_crc32 long")
+    found = shards.drop("shard", "lo", "hi", "n_tokens").mapInArrow(_read, "doc_id long, part int, local long, n_tokens long, ids_crc32 long")
     return found.join(parts, "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def ids_of(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """Keyed access: the ids of every document with this doc_id; only shards whose range holds it are read."""
-    rows = spark.read.parquet(path).filter((F.col("lo") <= doc_id) & (F.col("hi") >= doc_id)).orderBy("part", "shard")
+    """Keyed access: the ids of every document with this doc_id, by the index of the shards whose range holds it and a byte range of each."""
+    shards = spark.read.parquet(path).filter((F.col("lo") <= doc_id) & (F.col("hi") >= doc_id))
     out = []
-    for r in rows.toLocalIterator():
+    for r in shards.select("part", "shard", "width", "seeds", "prints", "starts", "keys").orderBy("part", "shard").toLocalIterator():
         k = 0
-        while (ids := fetch(key_bytes(doc_id, k), r)) is not None and key_bytes(doc_id, k) in shard_keys(r["keys"]):
-            out.append(ids.tolist())
+        while (found := place(key_bytes(doc_id, k), r)) is not None:
+            start, n = found
+            w = r["width"]
+            own = shards.filter((F.col("part") == r["part"]) & (F.col("shard") == r["shard"]))
+            body = own.select(F.substring("payload", start * w + 1, n * w)).first()[0]
+            out.append(np.frombuffer(body, f"<u{w}").tolist())
             k += 1
     return out
 
