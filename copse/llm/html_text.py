@@ -1,21 +1,34 @@
 """Main text of HTML pages: parser events, text-to-tag ratios per line, smoothed and clustered.
 
 The standard library's parser is fed as a stream; block tags cut its events
-into lines, each with its text, its tags, its link text and the elements it is
-in. A line's ratio of characters to tags is smoothed along the page with a
-Gaussian; two-means on the logarithms of the smoothed ratios gives a threshold
-between content and the rest. The content region is the deepest element that
-holds most of the content lines' characters, an article or main element going
-before others; its lines are the text, short ones too, but for those inside
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-(by element, role, class or id) and, outside an article, lines of links.
-
-Elements of the page head, scripts, styles and the like have no lines. An
-article's own ``header`` is kept when it holds a heading.
+into lines, each with its text, its tags, its link text and its element. A
+line's ratio of its characters outside links to its tags is smoothed along the
+page with a Gaussian, and two-means on the logarithms of the smoothed ratios
+parts content lines from the rest. Elements that can't hold the article (menus,
+footers, asides, forms, dialogs, a header outside an article, by name or role)
+and reader comments, adverts and notices by class or id are left out. Other
+class names that tell of boilerplate (search, share, related, side ...) are a
+prior only: their lines aren't content, unless their element has more than
+``MOST`` of the page's content by clustering.
+
+The content region is the deepest element that holds ``MOST`` of the content
+lines' characters; an article, or else a main element, with a good part of them
+goes before it, and is taken whole. In any other region a line that is not mostly
+link text stays if it is content by its smoothed ratio, lies in a run of at most
+``GAP`` lines between content lines or in the same block as a content line, or is
+a heading right before one: so the clusters decide, and short paragraphs among
+long ones stay.
+
+Each step is linear in the page: elements are numbered as they open, an element's
+descendants are a range of numbers, and sums over elements run once from the
+last number to the first.
 
 Defined cases: null is the empty page; a page without content has the empty
-text; malformed nesting is closed by the nearest open element of that name;
-repeated and null page_ids are kept row by row; other columns are ignored.
+text; of regions that tie, the deeper and then the earlier is taken; a page of
+one line is that line, unless it is left out; malformed nesting is closed by
+the nearest open element of that name; very long pages are read whole; repeated
+and null page_ids are kept row by row; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, MOST = 1.0, 0.6
+SIGMA, MOST, GAP = 1.0, 0.6, 3
 
 # Roles of HTML elements.
 SILENT = frozenset("script style head title noscript template iframe svg math canvas object audio video select option textarea button datalist".split())
@@ -37,10 +50,17 @@ CUTS = frozenset("address article aside blockquote body br caption center dd det
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": CUTS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 MAIN = frozenset(["article", "main"])
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay"
-    r"|nav(?:bar|igation)?|menu|breadcrumbs?|pagination|pager|sidebar|side|rail|widget|footer|foot|header|masthead|topbar|toolbar"
-    r"|comments?|commentlist|replies|disqus|discussion|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|form)(?:$|[\s_-])",
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+INLINE = frozenset("b i em strong span a font u".split())
+FLOW = frozenset("p span b i em strong a u font li pre blockquote h1 h2 h3 h4 h5 h6 dt dd td th tr code small sub sup".split())
+NEVER = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay"
+    r"|nav(?:bar|igation)?|menu|breadcrumbs?|pagination|pager|sidebar|footer|masthead|topbar|toolbar"
+    r"|comments?|commentlist|replies|disqus|respond|newsletter|subscribe|signup|login)(?:$|[\s_-])",
+    re.I,
+)
+PRIOR = re.compile(
+    r"(?:^|[\s_-])(?:promo(?:tion)?|side|rail|widget|foot|header|discussion|share|sharing|social|related|recommended|search|form|results)(?:$|[\s_-])",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -48,31 +68,33 @@ SPACES = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: (text, tags, link characters, element path, apart)."""
+    """Parser events to lines: (text, tags, link characters, element, apart, heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # name, element number, apart
+        self.count: dict[str, int] = {}  # open elements by name
         self.names: list[str] = []
         self.parents: list[int] = []
+        self.last: list[int] = []  # the last descendant of each element, once it is closed
+        self.prior: list[bool] = []
         self.silent = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
         self.text: list[str] = []
-        self.tags = self.link = self.in_link = 0
+        self.tags = self.link = 0
 
     def cut(self):
         if self.text:
             text = SPACES.sub(" ", "".join(self.text)).strip()
             if text:
-                _, number, apart = self.open[-1] if self.open else ("", -1, False)
-                self.lines.append((text, self.tags, self.link, number, apart))
+                name, number, apart = self.open[-1] if self.open else ("", -1, False)
+                heading = any(self.count.get(h) for h in HEADINGS)
+                self.lines.append((text, self.tags, min(self.link, len(text)), number, apart, heading))
                 self.tags = 0
             self.text, self.link = [], 0
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            if tag not in VOID and self.open and self.open[-1][0] != tag and tag in SILENT:
-                return
             if tag not in ("body", "article", "main"):
                 return
             self._close_silent()
@@ -83,37 +105,37 @@ class Lines(HTMLParser):
             self.pop()
         if tag in VOID:
             return
-        if tag == "a":
-            self.in_link += 1
         apart = bool(self.open and self.open[-1][2])
-        if not apart and tag not in ("html", "body"):
-            apart = self._apart(tag, attrs)
+        never, prior = self._marks(tag, attrs) if tag not in ("html", "body") else (False, False)
         self.names.append(tag)
         self.parents.append(self.open[-1][1] if self.open else -1)
-        self.open.append((tag, len(self.names) - 1, apart))
+        self.last.append(-1)
+        self.prior.append(prior)
+        self.open.append((tag, len(self.names) - 1, apart or never))
+        self.count[tag] = self.count.get(tag, 0) + 1
         if tag in SILENT:
             self.silent += 1
 
-    def _apart(self, tag, attrs) -> bool:
-        if tag in APART:
-            return True
-        if tag == "header":
-            return not any(x[0] in MAIN for x in self.open)
+    def _marks(self, tag, attrs) -> tuple[bool, bool]:
+        """(left out, prior only)."""
+        if tag in APART or tag == "header" and not any(self.count.get(x) for x in MAIN):
+            return True, False
+        prior = False
         for k, v in attrs:
-            if not v:
-                continue
-            if k == "role" and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
-                return True
-            if k in ("class", "id") and tag not in MAIN and NAMES.search(v):
-                return True
-        return False
+            if k == "hidden" or v and (k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
+                return True, False
+            if v and k in ("class", "id") and tag not in MAIN:
+                if NEVER.search(v):
+                    return True, False
+                prior = prior or PRIOR.search(v) is not None
+        return False, prior
 
     def pop(self):
-        tag, _, _ = self.open.pop()
+        tag, number, _ = self.open.pop()
+        self.last[number] = len(self.names) - 1
+        self.count[tag] -= 1
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        if tag == "a":
-            self.in_link -= 1
 
     def _close_silent(self):
         while self.silent and self.open:
@@ -123,18 +145,22 @@ class Lines(HTMLParser):
         if tag in CUTS and not self.silent:
             self.cut()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.pop()
-                break
-            if self.open[k][0] in ("article", "main", "body", "table") and tag in ("b", "i", "em", "strong", "span", "a", "font", "u"):
-                break
+        if not self.count.get(tag):
+            return
+        if tag in INLINE:
+            for name, *_ in reversed(self.open):  # an inline end tag doesn't close the blocks around it
+                if name == tag:
+                    break
+                if name in ("article", "main", "body", "table"):
+                    return
+        while self.open[-1][0] != tag:
+            self.pop()
+        self.pop()
 
     def handle_data(self, data):
         if not self.silent:
             self.text.append(data)
-            if self.in_link:
+            if self.count.get("a"):
                 self.link += len(data)
 
 
@@ -167,42 +193,83 @@ def main_text(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.cut()
+    while p.open:
+        p.pop()
     lines = p.lines
     if not lines:
         return ""
-    ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
-    score = np.log1p(smoothed(ratio))
-    cut = threshold(score)
-    fits = [not apart and 2 * link <= len(t) for t, _, link, _, apart in lines]
-    content = [k for k, s in enumerate(score) if s >= cut and fits[k]] or [k for k in range(len(lines)) if fits[k]]
-    if not content:
-        return ""
+    size = np.array([len(t) for t, *_ in lines], float)
+    plain = size - np.array([x[2] for x in lines])
+    tags = np.array([max(1, x[1]) for x in lines], float)
+    own = np.array([x[3] for x in lines])
+    apart = np.array([x[4] for x in lines])
+
+    def clustered(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lines that may be content, those that are by the clusters); lines left out count as without text."""
+        fits = (2 * plain >= size) & ~out
+        score = np.log1p(smoothed(np.where(out, 0.0, plain / tags)))
+        content = (score >= threshold(score)) & fits
+        return fits, content if content.any() else fits
 
-    def chain(e: int) -> list[int]:
-        out = []
-        while e >= 0:
-            out.append(e)
-            e = p.parents[e]
+    fits, content = clustered(apart)
+    parents, last, n = p.parents, p.last, len(p.names)
+
+    def masses(kept: np.ndarray) -> list[float]:
+        """Characters of kept lines in each element and its descendants; the page itself at the end."""
+        out = np.zeros(n + 1)
+        np.add.at(out, own, np.where(kept, size, 0.0))  # lines outside all elements (-1) go to the end
+        out = out.tolist()
+        for e in range(n - 1, -1, -1):
+            out[parents[e]] += out[e]
         return out
 
-    mass: dict[int, int] = {}
-    for k in content:
-        for e in chain(lines[k][3]):
-            mass[e] = mass.get(e, 0) + len(lines[k][0])
-    total = sum(len(lines[k][0]) for k in content)
-    depth = {e: len(chain(e)) for e in mass}
-    named = [e for e in mass if p.names[e] in MAIN and mass[e] >= (1 - MOST) * total]
-    region = -1
+    mass = masses(content)
+    off = np.zeros(n + 2, int)  # a prior gives way to an element's content by clustering
+    for e in range(n):
+        if p.prior[e] and mass[e] <= MOST * mass[n]:
+            off[e] += 1
+            off[last[e] + 1] -= 1
+    off = np.cumsum(off)
+    off[-1] = 0
+    if (off[own] > 0).any():
+        fits, content = clustered(apart | (off[own] > 0))
+    if not content.any():
+        return ""
+    mass = masses(content)
+    depth = [0] * n
+    for e in range(n):
+        depth[e] = depth[parents[e]] + 1 if parents[e] >= 0 else 1
+    named = [e for e in range(n) if p.names[e] in MAIN and mass[e] >= (1 - MOST) * mass[n]]
+    articles = [e for e in named if p.names[e] == "article"]
     if named:
-        article = [e for e in named if p.names[e] == "article"]
-        if len(article) == 1 or not article:
-            region = max(article or named, key=lambda e: (mass[e], depth[e]))
-        else:
-            region = max(article, key=lambda e: (mass[e], -depth[e]))
-    elif deep := [e for e in mass if mass[e] >= MOST * total and p.names[e] not in ("p", "span", "b", "i", "em", "strong", "a", "li", "pre", "blockquote")]:
-        region = max(deep, key=lambda e: depth[e])
-    out = [t for k, (t, _, link, e, apart) in enumerate(lines) if not apart and (named or fits[k]) and (region < 0 or region in chain(e))]
-    return SPACES.sub(" ", " ".join(out)).strip()
+        region = max(articles or named, key=lambda e: (mass[e], depth[e] if len(articles) < 2 else -depth[e], -e))
+    else:
+        deep = [e for e in range(n) if mass[e] >= MOST * mass[n] and p.names[e] not in FLOW]
+        region = max(deep, key=lambda e: (depth[e], -e), default=-1)
+    inside = np.ones(len(lines), bool) if region < 0 else (own >= region) & (own <= last[region])
+    if named:
+        stays = inside & ~apart
+    else:
+        block = list(range(n))  # the nearest element around each that isn't itself a piece of running text
+        for e in range(n):
+            if p.names[e] in FLOW:
+                block[e] = block[parents[e]] if parents[e] >= 0 else n
+        stays = inside & fits & _joined(content & inside, np.array([*block, n])[own], [x[5] for x in lines])
+    return " ".join(t for (t, *_), ok in zip(lines, stays, strict=True) if ok)
+
+
+def _joined(content: np.ndarray, block: np.ndarray, heading: list[bool]) -> np.ndarray:
+    """Content lines, and those in short gaps between them, in the same block, or headings right before them."""
+    at = np.flatnonzero(content)
+    k = np.searchsorted(at, np.arange(len(content)))
+    before = np.where(k > 0, at[np.maximum(k - 1, 0)], -1)
+    after = np.where(k < len(at), at[np.minimum(k, len(at) - 1)], -1)
+    out = content | (before >= 0) & (after >= 0) & (after - before <= GAP + 1) | np.isin(block, block[at])
+    run = False
+    for i in range(len(content) - 1, -1, -1):
+        run = content[i] or run and heading[i]
+        out[i] |= run
+    return out
 
 
 def _extract(batches):

@@ -22,7 +22,7 @@ doc_ids holds the key, and then the bytes of that document alone leave the scan.
 Words between ASCII spaces never merge in the tokenizer (its rules stop at
 white space), so each task encodes a distinct word once and joins whole texts
 from a word table of at most ``CACHE_BYTES`` (and the words of its last runs),
-freed with the tokenizer at the task's end.
+freed at the task's end. A worker process keeps the tokenizer itself.
 
 Defined cases: null and empty texts hold the end id only; null ids sort first;
 repeated ids are separate documents, in an order fixed by their text; a very
@@ -36,6 +36,7 @@ import unicodedata
 import uuid
 import zlib
 from collections import deque
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -121,6 +122,23 @@ def core_of(word: bytes) -> bytes:
     return word
 
 
+@cache
+def loaded(path: str):
+    """(tokenizer, bytes per id, which ids end a word, special tokens, folds case, splits off marks): once a worker process, as a load isn't given back whole."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    vocab = tok.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    one = lambda x: tok.encode(x, add_special_tokens=False).ids
+    splits = all(one("word" + chr(m)) == one("word") + one(chr(m)) for m in MARKS)
+    return tok, 2 if len(ends) <= 1 << 16 else 4, ends, [t.content for t in tok.get_added_tokens_decoder().values()], one("ABC Xyz") == one("abc xyz"), splits
+
+
 class WordEncoder:
     """Ids of whole texts, word by word, as little-endian bytes.
 
@@ -130,18 +148,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
-        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.tok, self.width, self.ends, self.special, self.folds, self.splits = loaded(path)
         self.dtype = np.dtype(f"<u{self.width}")
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        one = lambda x: self.tok.encode(x, add_special_tokens=False).ids
-        self.folds = one("ABC Xyz") == one("abc xyz")
-        self.splits = all(one("word" + chr(m)) == one("word") + one(chr(m)) for m in MARKS)
         self.cache: dict[bytes, bytes] = {}
         self.size = 0  # bytes in the cache
         self.recent: deque = deque(maxlen=2)
@@ -227,9 +235,6 @@ def _shard_row(part: int, shard: int, first: int, docs: list, width: int, end: b
 
 def _write(path: str, shard_tokens: int):
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = WordEncoder(path)
         end = np.array([END_ID], enc.dtype).tobytes()
         part, shard, first, docs, size = TaskContext.get().partitionId(), 0, 0, [], 0
