@@ -55,16 +55,16 @@ def variance(w: Column, wy: Column, wyy: Column) -> Column:
 
 
 def draw(seed: int, *parts: Column) -> Column:
-    """A portable pseudo-random number below 2**32: the first eight hex digits of an md5."""
+    """A portable pseudo-random number below 2**60: the first fifteen hex digits of an md5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def draw_py(seed: int, *parts) -> int:
     """The same number on the driver."""
     import hashlib
 
-    return int(hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()[:15], 16)
 
 
 def shapley_weight(size: int, others: int) -> float:

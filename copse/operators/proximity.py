@@ -23,7 +23,7 @@ from copse.operators.grow import TreeConfig, Trees, grow, prepared
 from copse.operators.score import per_tree
 from copse.sources.frames import materialised, with_rank
 
-MAX_PAIRS, MDS_DRIVER = 2_000_000_000, 1000
+MAX_PAIRS, MDS_DRIVER, MASK_BITS = 2_000_000_000, 1000, 62
 
 
 def synthetic_union(df: DataFrame, row_id: str, features: list[str], seed: int = 0) -> DataFrame:
@@ -61,13 +61,26 @@ def proximity(leaves: DataFrame, bag: DataFrame | None = None) -> DataFrame:
     pairs = co_leaf(leaves, leaves)
     if bag is None:
         return pairs.groupBy("i", "j").agg((F.count("*") / float(trees)).alias("prox"))
-    own = bag.select("tree_id", F.col("row_id").alias("i"), F.lit(1).alias("bi"))
-    other = bag.select("tree_id", F.col("row_id").alias("j"), F.lit(1).alias("bj"))
-    tagged = pairs.join(own, ["tree_id", "i"], "left").join(other, ["tree_id", "j"], "left")
-    same = tagged.groupBy("i", "j").agg(F.sum(F.when(F.col("bi").isNull() | F.col("bj").isNull(), 1).otherwise(0)).alias("same"))
-    inbag = own.join(other, "tree_id").groupBy("i", "j").agg(F.count("*").alias("both"))
-    out = same.join(inbag, ["i", "j"], "left").select("i", "j", "same", (F.lit(trees) - F.coalesce("both", F.lit(0))).alias("valid"))
-    return out.filter("same > 0").select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("same") / F.col("valid")).alias("prox"))
+    masks = bag_masks(bag)
+    own = masks.select(F.col("row_id").alias("i"), F.col("mask").alias("mi"))
+    other = masks.select(F.col("row_id").alias("j"), F.col("mask").alias("mj"))
+    trees_of = F.array_sort(F.collect_list(F.col("tree_id").cast("int"))).alias("shared")
+    same = pairs.groupBy("i", "j").agg(trees_of).join(own, "i", "left").join(other, "j", "left")  # trees by pair: at most the number of trees
+    none = F.expr("cast(array() as array<bigint>)")
+    both = F.zip_with(F.coalesce("mi", none), F.coalesce("mj", none), lambda a, b: F.coalesce(a.bitwiseAND(b), F.lit(0).cast("long")))
+    same = same.select("i", "j", "shared", both.alias("both"))
+    out = F.size(F.filter("shared", lambda t: F.coalesce(F.getbit(F.get("both", F.floor(t / MASK_BITS).cast("int")), t % MASK_BITS), F.lit(0)) == 0))
+    inbag = F.aggregate("both", F.lit(0), lambda s, x: s + F.bit_count(x))
+    found = same.select("i", "j", out.alias("same"), (F.lit(trees) - inbag).alias("valid")).filter("same > 0")
+    return found.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("same") / F.col("valid")).alias("prox"))
+
+
+def bag_masks(bag: DataFrame) -> DataFrame:
+    """(row_id, mask): the trees of a row's bag as bits of an array of longs."""
+    words = bag.groupBy("row_id", F.floor(F.col("tree_id") / MASK_BITS).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(tree_id % {MASK_BITS} as int))")).alias("bits"))
+    m = F.map_from_entries(F.collect_list(F.struct("word", "bits")))  # a row's own words
+    rows = words.groupBy("row_id").agg(m.alias("words"), F.max("word").alias("last"))
+    return rows.select("row_id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.element_at("words", k), F.lit(0).cast("long"))).alias("mask"))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

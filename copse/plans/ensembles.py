@@ -93,19 +93,45 @@ def _boosted(spark, sf, **kw):
     return d, BoostClassifier(**{"n_estimators": 2, "rf_n_estimators": 4, "rf_max_depth": 3, "random_state": 5} | kw).fit(d, FS, "y", "rid")
 
 
-@query()
+def _boost_sql(final: str, rounds: int = 2, n_trees: int = 4, depth: int = 3, seed: int = 5) -> str:
+    """Rounds of bagged forests on Newton targets: f<r> has the score after round r."""
+    parts = [o.frame_sql("orders"), _PRIOR, o.long_sql(4), o.EDGES, o.BINNED, "f0s AS (SELECT rid, f FROM fr, pr)"]
+    for r in range(1, rounds + 1):
+        parts.append(f"tg{r} AS (SELECT rid, (y - p) / (p * (1 - p)) AS y, w * p * (1 - p) AS w FROM (SELECT fr.rid, fr.y, fr.w, least(greatest(1 / (1 + exp(-s.f)), 1e-5), 1 - 1e-5) AS p FROM fr JOIN f{r - 1}s s ON s.rid = fr.rid))")
+        parts += o.forest_sql("abcdef"[r - 1], seed + 1000 * (r - 1), n_trees, depth, f"tg{r}")
+        parts.append(f"f{r}s AS (SELECT s.rid, s.f + 0.1 * m.v AS f FROM f{r - 1}s s JOIN {'abcdef'[r - 1]}mean m ON m.rid = s.rid)")
+    return o.kept(o.query(*parts, final=final))
+
+
+@query(_boost_sql("SELECT rid, round(1 / (1 + exp(-f)), 6) AS p1, CAST(1 / (1 + exp(-f)) > 0.5 AS INT) AS prediction FROM f2s"))
 def boost_predict_proba(spark, sf):
     d, m = _boosted(spark, sf)
     return m.transform(d.select("rid", *FS)).select("rid", r6(F.col("probability")[1], "p1"), "prediction")
 
 
-@query()
+_CLO, _CHI = o.wilson_sql("p", "4.0")
+
+
+@query(_boost_sql(f"SELECT rid, round({_CLO}, 6) AS ci_low, round({_CHI}, 6) AS ci_high FROM (SELECT rid, 1 / (1 + exp(-f)) AS p FROM f1s)", 1))
 def boost_predict_ci(spark, sf):
     d, m = _boosted(spark, sf, n_estimators=1)
     return m.predict_ci(d.select("rid", *FS)).select("rid", r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
 
 
-@query()
+def _softmax_sql() -> str:
+    """One round of three outputs, each on the scores that the earlier ones left."""
+    priors = ", ".join(f"ln(least(greatest(avg(CAST(k = {k} AS INT)), 1e-5), 1 - 1e-5)) AS i{k}" for k in range(3))
+    parts = [o.frame_sql("orders"), f"kd AS (SELECT o_orderkey AS rid, {CODE} AS k FROM orders)", o.long_sql(4), o.EDGES, o.BINNED, f"pr AS (SELECT {priors} FROM kd)", "g0 AS (SELECT rid, k, i0, i1, i2 FROM kd, pr)"]
+    for k in range(3):
+        p = f"least(greatest(exp(i{k}) / (exp(i0) + exp(i1) + exp(i2)), 1e-5), 1 - 1e-5)"
+        parts.append(f"tg{k} AS (SELECT rid, (CAST(k = {k} AS INT) - p) / (p * (1 - p)) AS y, p * (1 - p) AS w FROM (SELECT rid, k, {p} AS p FROM g{k}))")
+        parts += o.forest_sql("abc"[k], 1 + k, 3, 2, f"tg{k}")
+        parts.append(f"g{k + 1} AS (SELECT g.* REPLACE (g.i{k} + 0.1 * m.v AS i{k}) FROM g{k} g JOIN {'abc'[k]}mean m ON m.rid = g.rid)")
+    shares = ", ".join(f"round(exp(i{k}) / (exp(i0) + exp(i1) + exp(i2)), 6) AS p{k}" for k in range(3))
+    return o.kept(o.query(*parts, final=f"SELECT rid, {shares}, CASE WHEN i2 >= i0 AND i2 >= i1 THEN 2 WHEN i1 >= i0 THEN 1 ELSE 0 END AS prediction FROM g3"))
+
+
+@query(_softmax_sql())
 def boost_multiclass(spark, sf):
     d = orders_frame(spark, sf).withColumn("k", F.when(F.col("status") == "F", 0).when(F.col("status") == "O", 1).otherwise(2))
     m = BoostClassifier(n_estimators=1, rf_n_estimators=3, rf_max_depth=2, random_state=1).fit(d, FS, "k", "rid")
@@ -118,7 +144,7 @@ def boost_early_stop(spark, sf):
     return spark.createDataFrame([(r, n) for r, n in enumerate(m.trees_used)], "round int, trees_used int")
 
 
-@query()
+@query(_boost_sql("SELECT CAST(t.f AS INT) AS feature, round(coalesce(s.n, 0) / (SELECT sum(samples) FROM asp), 6) AS importance FROM range(0, 4) t(f) LEFT JOIN (SELECT feature, sum(samples) AS n FROM asp GROUP BY feature) s ON s.feature = t.f", 1))
 def boost_importances(spark, sf):
     _, m = _boosted(spark, sf, n_estimators=1)
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(m.feature_importances())], "feature int, importance double")
@@ -402,7 +428,12 @@ def export_model(spark, sf):
     return export.nested_trees(m.table(spark))
 
 
-@query()
+# preorder is the order of root-to-node paths: a node's path is the binary digits of its heap id + 1 after the first
+_PRE = """SELECT CAST(0 AS INT) AS round, CAST(0 AS INT) AS output, t.tree_id, t.node_id, t.at, l.at AS left_at, r.at AS right_at
+    FROM pre t LEFT JOIN pre l ON l.tree_id = t.tree_id AND l.node_id = 2 * t.node_id + 1 LEFT JOIN pre r ON r.tree_id = t.tree_id AND r.node_id = 2 * t.node_id + 2"""
+
+
+@query(_boost_sql("", 1).rstrip() + o.kept(", pre AS (SELECT tree_id, node_id, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS at FROM (SELECT CAST(node // 1000 AS INT) AS tree_id, node % 1000 AS node_id, substr(bin(node % 1000 + 1), 2) AS path FROM anodes)) ") + _PRE)
 def export_preorder(spark, sf):
     _, m = _boosted(spark, sf, n_estimators=1)
     return export.preorder(m.table(spark)).select("round", "output", "tree_id", "node_id", "at", "left_at", "right_at")

@@ -340,7 +340,10 @@ def accuracy_score(spark, sf):
     return spark.createDataFrame([(round(m.score(d, "y"), 6),)], "accuracy double")
 
 
-@query()
+_ACCT = (o.frame_sql("customer").replace("fr AS", "fr0 AS", 1), "fr AS (SELECT rid, f0, f2 AS f1, f1 AS y, w FROM fr0)", o.long_sql(2), o.EDGES, o.BINNED, "tg AS (SELECT rid, y, w FROM fr)")
+
+
+@query(o.kept(o.query(*_ACCT, *o.forest_sql("a", 1, 10, 4, "tg"), final="SELECT rid, round(v, 6) AS prediction FROM amean")))
 def forest_regressor(spark, sf):
     d = customer_frame(spark, sf)
     m = RandomForestRegressor(n_estimators=10, max_depth=4, random_state=1).fit(d, ["f0", "f2"], "f1", "rid")
@@ -353,6 +356,24 @@ def forest_classifier_table(spark, sf):
     return RandomForestClassifier(n_estimators=8, max_depth=4, max_features="sqrt", random_state=1).fit(d, FS, "y", "rid").table(spark)
 
 
+_SQRT = (*_BASE, o.BINNED, "tg AS (SELECT rid, y, w FROM fr)", *o.forest_sql("a", 1, 6, 4, "tg", classification=True, pick=2))
+
+
+@query(o.kept(o.query(*_SQRT, final="SELECT CAST(node // 1000 AS INT) AS tree_id, node % 1000 AS node_id, feature, bin, samples FROM anodes")))
+def forest_sqrt_nodes(spark, sf):
+    """Bagged trees of depth 4 with two of four features tried at each node."""
+    d = orders_frame(spark, sf)
+    m = RandomForestClassifier(n_estimators=6, max_depth=4, max_features="sqrt", random_state=1).fit(d, FS, "y", "rid")
+    return m.table(spark).select("tree_id", "node_id", "feature", "bin", "samples")
+
+
+@query(o.kept(o.query(*_SQRT, final="SELECT rid, round(v, 6) AS p1, CAST(v >= 1 - v AS INT) AS predicted FROM amean")))
+def forest_sqrt_proba(spark, sf):
+    d = orders_frame(spark, sf)
+    m = RandomForestClassifier(n_estimators=6, max_depth=4, max_features="sqrt", random_state=1).fit(d, FS, "y", "rid")
+    return m.transform(d.select("rid", *FS)).select("rid", r6(F.col("probability")[1], "p1"), F.col("prediction").alias("predicted"))
+
+
 @query()
 def forest_poisson(spark, sf):
     d = orders_frame(spark, sf)
