@@ -19,7 +19,7 @@ from copse.functions.scalar import CLAMP, clamp, logit, sigmoid, softmax, wilson
 from copse.operators import binning, early_stop, validate
 from copse.operators.grow import TreeConfig, Trees, descend, grow, matrix, with_multiplicity
 from copse.operators.score import argmax_class
-from copse.sources.frames import materialised, training_frame, with_rank
+from copse.sources.frames import free_name, materialised, training_frame, with_rank
 
 
 def binary_prior(df: DataFrame, y: str = "y", w: str = "w") -> DataFrame:
@@ -68,35 +68,40 @@ class BoostModel:
     def n_outputs(self) -> int:
         return len(self.init)
 
-    def raw(self, df: DataFrame) -> DataFrame:
-        """Adds raw array<double>: init + learning rate x sum of forest means, all rounds folded into one pass."""
+    @property
+    def is_fitted(self) -> bool:
+        return bool(self.rounds)
+
+    def raw(self, df: DataFrame, column: str = "raw") -> DataFrame:
+        """Adds an array<double> of raw scores: init + learning rate x sum of forest means, all rounds folded into one pass."""
         parts = [(o, self.learning_rate, t.arrays()) for r in self.rounds for o, t in enumerate(r)]
         model, init = df.sparkSession.sparkContext.broadcast(parts), np.array(self.init)
-        names = self.features
-        x = df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in names]))
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", raw array<double>"
-        columns = [*df.columns, "raw"]
+        names, x = self.features, free_name(df, "x")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{column}` array<double>"
+        columns = [*df.columns, column]
 
         def run(batches):
             for pdf in batches:
-                m = matrix(pdf["_x"])
+                m = matrix(pdf[x])
                 out = np.tile(init, (len(pdf), 1))
                 for o, rate, trees in model.value:
                     if len(pdf):
                         out[:, o] += rate * sum(t["value"][descend(t, m)] for t in trees) / len(trees)
-                yield pdf.assign(raw=list(out))[columns]
+                yield pdf.assign(**{column: list(out)})[columns]
 
-        return x.mapInPandas(run, schema)
+        return df.withColumn(x, F.array(*[F.col(c).cast("double") for c in names])).mapInPandas(run, schema)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds prediction, and probability for a classifier."""
-        d = self.raw(df)
+        """Adds prediction, and probability for a classifier; other columns stay, whatever their names, but for those two."""
+        df = df.drop("prediction", "probability")
+        raw = free_name(df, "raw")
+        d, scores = self.raw(df, raw), F.col(raw)
         if self.task == "regression":
-            return d.withColumn("prediction", F.col("raw")[0]).drop("raw")
+            return d.withColumn("prediction", scores[0]).drop(raw)
         if self.task == "binary":
-            p = sigmoid(F.col("raw")[0])
-            return d.withColumn("probability", F.array(1 - p, p)).withColumn("prediction", (p > 0.5).cast("int")).drop("raw")
-        return d.withColumn("probability", softmax(F.col("raw"))).withColumn("prediction", argmax_class(F.col("probability"))).drop("raw")
+            p = sigmoid(scores[0])
+            return d.withColumn("probability", F.array(1 - p, p)).withColumn("prediction", (p > 0.5).cast("int")).drop(raw)
+        return d.withColumn("probability", softmax(scores)).withColumn("prediction", argmax_class(F.col("probability"))).drop(raw)
 
     def predict_ci(self, df: DataFrame, alpha: float = 0.05) -> DataFrame:
         """Adds ci_low and ci_high: Wilson over all trees (binary) or the conformal half-width (regression)."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from copse.operators import binning, early_stop, score, validate
 from copse.operators.grow import TreeConfig, Trees, grow, prepared
-from copse.sources.frames import training_frame
+from copse.sources.frames import free_name, training_frame
 
 
 @dataclass
@@ -27,13 +27,18 @@ class ForestModel:
     def classes_(self) -> list[int]:
         return list(range(self.n_classes_))
 
-    def _frame(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("x", F.array(*[F.col(c).cast("double") for c in self.features]))
+    @property
+    def is_fitted(self) -> bool:
+        return bool(self.trees.nodes)
+
+    def get_info(self) -> dict:
+        return {"n_estimators": self.n_estimators, "n_classes": self.n_classes_, "classes_": self.classes_, "is_fitted": self.is_fitted, "trees_used": self.trees_used}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds prediction, and probability for a classifier. Works on streaming frames."""
-        cls = self.trees.config.classification
-        out = score.ensemble(self._frame(df), self.trees, "probability" if cls else "prediction").drop("x")
+        """Adds prediction, and probability for a classifier. Works on streaming frames; other columns stay, whatever their names, but for those two."""
+        cls, x = self.trees.config.classification, free_name(df, "x")
+        own = df.drop("prediction", "probability").withColumn(x, F.array(*[F.col(c).cast("double") for c in self.features]))
+        out = score.ensemble(own, self.trees, "probability" if cls else "prediction", x).drop(x)
         return out.withColumn("prediction", score.argmax_class(F.col("probability"))) if cls else out
 
     def score(self, df: DataFrame, target: str) -> float:

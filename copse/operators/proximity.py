@@ -198,6 +198,15 @@ class UnsupervisedModel:
     n_samples_: int
     train: DataFrame  # (row_id, x) real rows
     bag: DataFrame  # (row_id, tree_id) of real rows drawn
+    n_neighbors: int = 10
+
+    @property
+    def n_estimators_(self) -> int:
+        return self.trees.config.n_trees
+
+    @property
+    def is_fitted_(self) -> bool:
+        return bool(self.trees.nodes)
 
     @property
     def n_features_(self) -> int:
@@ -212,8 +221,9 @@ class UnsupervisedModel:
         check_pairs(own)
         return proximity(own, self.bag if use_oob else None)
 
-    def proximity_sparse(self, k: int = 10) -> DataFrame:
-        """Out-of-bag co-leaf counts over all trees, the k largest of each row."""
+    def proximity_sparse(self, k: int | None = None) -> DataFrame:
+        """Out-of-bag co-leaf counts over all trees, the k (else n_neighbors) largest of each row."""
+        k = self.n_neighbors if k is None else k
         own = materialised(self.leaves(), "leaves")
         check_pairs(own)
         trees = self.trees.config.n_trees
@@ -261,6 +271,10 @@ class UnsupervisedForest:
     random_state: int = 0
     min_samples_split: int = 2
     min_samples_leaf: int = 1
+    n_neighbors: int = 10
+
+    def fit_transform(self, df: DataFrame, features: list[str], row_id: str, n_components: int = 2) -> DataFrame:
+        return self.fit(df, features, row_id).transform(n_components)
 
     def fit(self, df: DataFrame, features: list[str], row_id: str) -> UnsupervisedModel:
         both = materialised(synthetic_union(df, row_id, features, self.random_state), "union")
@@ -271,4 +285,4 @@ class UnsupervisedForest:
         trees = grow(data, config, edges, len(features))
         bag = data.filter("y = 1").select("row_id", F.posexplode("m").alias("tree_id", "m")).filter("m > 0").select("row_id", "tree_id")
         train = data.filter("y = 1").select("row_id", "x")
-        return UnsupervisedModel(trees, features, train.count(), train, bag)
+        return UnsupervisedModel(trees, features, train.count(), train, bag, self.n_neighbors)

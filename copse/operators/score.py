@@ -31,17 +31,17 @@ def _batches(frame: DataFrame, fn, extra: str) -> DataFrame:
     return frame.mapInPandas(run, schema)
 
 
-def ensemble(frame: DataFrame, trees: Trees, column: str = "raw") -> DataFrame:
-    """Adds the mean over trees: a value (regression) or class shares (classification, soft vote)."""
+def ensemble(frame: DataFrame, trees: Trees, column: str = "raw", x: str = "x") -> DataFrame:
+    """Adds the mean over trees: a value (regression) or class shares (classification, soft vote); x names the array of features."""
     model = frame.sparkSession.sparkContext.broadcast(trees.arrays())
     cls = trees.config.classification
 
     def fn(pdf):
-        x = matrix(pdf["x"])
+        values = matrix(pdf[x])
         parts = model.value
         total = 0.0
         for t in parts:
-            at = descend(t, x)
+            at = descend(t, values)
             total = total + (t["shares"][at] if cls else t["value"][at])
         mean = total / max(1, len(parts)) if len(pdf) else np.zeros((0,))
         return pdf.assign(**{column: list(mean)})

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from copse.sources.frames import free_name, materialised, with_rank
+
 SMOOTHING = 0.5
 
 
@@ -37,10 +39,21 @@ def information_value(table: DataFrame) -> DataFrame:
 
 def median_split(df: DataFrame, target: str):
     """y > median(y), the median of an even count being the mean of the middle two."""
-    m = df.agg(F.median(F.col(target)).alias("m")).first()["m"]
+    y = with_rank(df.select(F.col(target).cast("double").alias("y")).filter("y is not null"), ["y"])
+    n = y.count()
+    m = y.filter(F.col("rank").isin((n - 1) // 2, n // 2)).agg(F.avg("y")).first()[0]
     return F.col(target) > F.lit(m)
 
 
+def task_of(df: DataFrame, target: str) -> str:
+    """binary, multiclass or continuous, as the target's values say: fractions are continuous, over two whole values multiclass."""
+    y = F.col(target).cast("double")
+    r = df.agg(F.max((y != F.floor(y)).cast("int")).alias("parts"), F.min(y).alias("lo"), F.max(y).alias("hi")).first()
+    if r["parts"]:
+        return "continuous"
+    return "binary" if df.filter((y != r["lo"]) & (y != r["hi"])).isEmpty() else "multiclass"
+
+
 @dataclass
 class WoeModel:
     cats: list[str]
@@ -49,14 +62,21 @@ class WoeModel:
     n_classes: int
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """keep, then the encoded columns in the order of cats (by class if multiclass), then the numeric ones."""
+        """keep, then the encoded columns in the order of cats (by class if multiclass), then the numeric ones; one join a feature."""
+        every = None
+        for k, t in enumerate(self.tables):
+            own = t.select("feature", "category", F.lit(k).alias("k"), "woe")
+            every = own if every is None else every.unionByName(own)
         out, names = df, []
         for i, c in enumerate(self.cats):
-            for k, t in enumerate(self.tables):
+            cat, woe = free_name(out, "cat"), free_name(out, "woe")
+            own = every.filter(F.col("feature") == i).groupBy(F.col("category").alias(cat)).agg(F.map_from_entries(F.collect_list(F.struct("k", "woe"))).alias(woe))  # a class each
+            out = out.join(own, F.coalesce(F.col(c).cast("string"), F.lit("null")) == F.col(cat), "left")
+            for k in range(len(self.tables)):
                 name = f"woe_{c}" if len(self.tables) == 1 else f"woe_{c}_{k}"
-                own = t.filter(F.col("feature") == i).select(F.col("category").alias("_cat"), F.col("woe").alias(name))
-                out = out.join(own, F.coalesce(F.col(c).cast("string"), F.lit("null")) == F.col("_cat"), "left").drop("_cat").fillna(0.0, [name])
+                out = out.withColumn(name, F.coalesce(F.element_at(F.col(woe), k), F.lit(0.0)))
                 names.append(name)
+            out = out.drop(cat, woe)
         return out.select(*keep, *names, *[F.col(c).cast("double").alias(c) for c in self.numeric])
 
     def to_dict(self, n_features: int, positions: dict[str, int]) -> dict:
@@ -72,18 +92,19 @@ class WoeModel:
 class WoeEncoder:
     cat_features: list[str] | None = None
 
-    def fit(self, df: DataFrame, features: list[str], target: str, task: str = "binary") -> WoeModel:
-        """task: binary, multiclass (labels 0..K-1) or continuous."""
+    def fit(self, df: DataFrame, features: list[str], target: str, task: str | None = None) -> WoeModel:
+        """task: binary, multiclass (labels 0..K-1) or continuous; told from the target where it isn't given. Tables are written once."""
         cats = list(self.cat_features or [])
         numeric = [c for c in features if c not in cats]
         y = F.col(target)
         if not cats:
             return WoeModel([], numeric, [], 0)
+        task = task or task_of(df, target)
         if task == "multiclass":
             labels = [r[0] for r in df.select(y.cast("int")).distinct().orderBy(y.cast("int")).collect()]
-            return WoeModel(cats, numeric, [woe_table(df, cats, y.cast("int") == k) for k in labels], len(labels))
+            return WoeModel(cats, numeric, [materialised(woe_table(df, cats, y.cast("int") == k), "woe") for k in labels], len(labels))
         positive = median_split(df, target) if task == "continuous" else y.cast("int") == 1
-        return WoeModel(cats, numeric, [woe_table(df, cats, positive)], 2)
+        return WoeModel(cats, numeric, [materialised(woe_table(df, cats, positive), "woe")], 2)
 
     def iv(self, model: WoeModel) -> DataFrame:
         out = None

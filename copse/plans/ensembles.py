@@ -93,12 +93,12 @@ def _boosted(spark, sf, **kw):
     return d, BoostClassifier(**{"n_estimators": 2, "rf_n_estimators": 4, "rf_max_depth": 3, "random_state": 5} | kw).fit(d, FS, "y", "rid")
 
 
-def _boost_sql(final: str, rounds: int = 2, n_trees: int = 4, depth: int = 3, seed: int = 5) -> str:
+def _boost_sql(final: str, rounds: int = 2, n_trees: int = 4, depth: int = 3, seed: int = 5, **kw) -> str:
     """Rounds of bagged forests on Newton targets: f<r> has the score after round r."""
     parts = [o.frame_sql("orders"), _PRIOR, o.long_sql(4), o.EDGES, o.BINNED, "f0s AS (SELECT rid, f FROM fr, pr)"]
     for r in range(1, rounds + 1):
         parts.append(f"tg{r} AS (SELECT rid, (y - p) / (p * (1 - p)) AS y, w * p * (1 - p) AS w FROM (SELECT fr.rid, fr.y, fr.w, least(greatest(1 / (1 + exp(-s.f)), 1e-5), 1 - 1e-5) AS p FROM fr JOIN f{r - 1}s s ON s.rid = fr.rid))")
-        parts += o.forest_sql("abcdef"[r - 1], seed + 1000 * (r - 1), n_trees, depth, f"tg{r}")
+        parts += o.forest_sql("abcdef"[r - 1], seed + 1000 * (r - 1), n_trees, depth, f"tg{r}", **kw)
         parts.append(f"f{r}s AS (SELECT s.rid, s.f + 0.1 * m.v AS f FROM f{r - 1}s s JOIN {'abcdef'[r - 1]}mean m ON m.rid = s.rid)")
     return o.kept(o.query(*parts, final=final))
 
@@ -150,7 +150,7 @@ def boost_importances(spark, sf):
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(m.feature_importances())], "feature int, importance double")
 
 
-@query()
+@query(_boost_sql("SELECT rid, round(1 / (1 + exp(-f)), 6) AS p1 FROM f1s", 1, boot=False, rising=0))
 def boost_monotone(spark, sf):
     d, m = _boosted(spark, sf, n_estimators=1, bootstrap=False, monotone_constraints={"f0": 1})
     return m.transform(d.select("rid", *FS)).select("rid", r6(F.col("probability")[1], "p1"))
@@ -203,7 +203,25 @@ def conformal_ci(spark, sf):
     return d.select(F.col("row_id").alias("rid"), r6(F.lit(mean - v), "ci_low"), r6(F.lit(mean + v), "ci_high"))
 
 
-@query()
+def _interval_sql() -> str:
+    """A fit on the rows that don't calibrate, the quantile of the others' residuals, and a fit on all rows."""
+    draws = o.draw_sql(2, "'split'", "rid")
+    cut = f"ct AS (SELECT *, row_number() OVER (ORDER BY {draws}, rid) - 1 >= count(*) OVER () - CAST(floor(count(*) OVER () * 0.2) AS BIGINT) AS apart FROM fr)"
+
+    def fit(p: str, rows: str, beside: str | None) -> str:
+        frame = f"ff AS (SELECT * FROM {rows})"
+        binned = o.BINNED.replace("FROM lg ", "FROM la ").replace("lg.", "la.")
+        steps = [frame, o.long_sql(2, "ff"), o.EDGES, o.long_sql(2, "fr").replace("lg AS", "la AS", 1), binned, "iv AS (SELECT avg(y) AS f FROM ff)", "tg AS (SELECT rid, y - f AS y, w FROM ff, iv)"]
+        steps += o.forest_sql(p, 2, 3, 3, "tg", beside=beside)
+        return "WITH " + ", ".join(steps) + f" SELECT m.rid, iv.f + 0.1 * m.v AS f FROM {p}mean m, iv"
+
+    parts = [o.frame_sql("customer").replace("fr AS", "fr0 AS", 1), "fr AS (SELECT rid, f0, f2 AS f1, f1 AS y, w FROM fr0)", cut, "tr AS (SELECT rid, f0, f1, y, w FROM ct WHERE NOT apart)", "ca AS (SELECT rid, y FROM ct WHERE apart)"]
+    parts += [f"m1 AS ({fit('a', 'tr', 'ca')})", "rs AS (SELECT abs(ca.y - m1.f) AS r FROM ca JOIN m1 ON m1.rid = ca.rid)", "ro AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM rs)"]
+    parts += ["cq AS (SELECT max(r) AS q FROM ro WHERE k = least(CAST(ceil(0.95 * (1 + 1.0::DOUBLE / n) * n) AS BIGINT), n - 1))", f"m2 AS ({fit('b', 'fr', None)})"]
+    return o.kept(o.query(*parts, final="SELECT rid, round(f, 6) AS prediction, round(f - q, 6) AS ci_low, round(f + q, 6) AS ci_high FROM m2, cq"))
+
+
+@query(_interval_sql())
 def boost_regression_ci(spark, sf):
     d = customer_frame(spark, sf)
     m = BoostRegressor(n_estimators=1, rf_n_estimators=3, rf_max_depth=3, random_state=2).fit(d, ["f0", "f2"], "f1", "rid")
@@ -301,6 +319,17 @@ def woe_multiclass(spark, sf):
     return out
 
 
+@query(o.query("wl AS (SELECT k AS output, 0 AS feature, o_orderpriority AS category, CAST(kk = k AS INT) AS p FROM (SELECT o_orderpriority, " + CODE + " AS kk FROM orders), range(0, 3) t(k))",
+    """wt AS (SELECT output, feature, category, sum(p) AS pos, count(*) - sum(p) AS neg FROM wl GROUP BY ALL),
+    wo AS (SELECT *, ln(((pos + 0.5) / (sum(pos) OVER f + 0.5 * count(*) OVER f)) / ((neg + 0.5) / (sum(neg) OVER f + 0.5 * count(*) OVER f))) AS woe FROM wt WINDOW f AS (PARTITION BY output, feature))""",
+    final="SELECT t.o_orderkey AS rid, round(a.woe, 6) AS woe_o_orderpriority_0, round(b.woe, 6) AS woe_o_orderpriority_1, round(c.woe, 6) AS woe_o_orderpriority_2, t.o_totalprice FROM orders t JOIN wo a ON a.output = 0 AND a.category = t.o_orderpriority JOIN wo b ON b.output = 1 AND b.category = t.o_orderpriority JOIN wo c ON c.output = 2 AND c.category = t.o_orderpriority"))
+def woe_multiclass_transform(spark, sf):
+    """The task is told from the target's three values."""
+    d = read_table(spark, sf, "orders").withColumn("k", F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2))
+    out = woe.WoeEncoder(["o_orderpriority"]).fit(d, ["o_orderpriority", "o_totalprice"], "k").transform(d, ["o_orderkey"])
+    return out.select(F.col("o_orderkey").alias("rid"), *[r6(f"woe_o_orderpriority_{k}", f"woe_o_orderpriority_{k}") for k in range(3)], "o_totalprice")
+
+
 @query(o.query("wl AS (SELECT 0 AS feature, c_mktsegment AS category, CAST(c_acctbal > (SELECT median(c_acctbal) FROM customer) AS INT) AS p FROM customer)", _WOE, final="SELECT category, round(woe, 6) AS woe FROM wo"))
 def woe_continuous(spark, sf):
     t = woe.WoeEncoder(["c_mktsegment"]).fit(_customers(spark, sf), ["c_mktsegment"], "c_acctbal", "continuous").tables[0]
@@ -428,6 +457,25 @@ def export_model(spark, sf):
     return export.nested_trees(m.table(spark))
 
 
+_PREORDER = o.kept(", pre AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS at FROM (SELECT *, CAST(node // 1000 AS INT) AS tree_id, node % 1000 AS node_id, substr(bin(node % 1000 + 1), 2) AS path FROM anodes)) ")
+
+
+@query(_boost_sql("", 1).rstrip() + _PREORDER + """SELECT t.tree_id, string_agg(CAST(coalesce(l.at, -1) AS VARCHAR), ',' ORDER BY t.at) AS children_left, string_agg(CAST(coalesce(r.at, -1) AS VARCHAR), ',' ORDER BY t.at) AS children_right,
+    string_agg(CAST(t.feature AS VARCHAR), ',' ORDER BY t.at) AS feature, round(sum(e.edge), 4) AS thresholds, round(sum(v.v), 4) AS leaf_values
+    FROM pre t LEFT JOIN pre l ON l.tree_id = t.tree_id AND l.node_id = 2 * t.node_id + 1 LEFT JOIN pre r ON r.tree_id = t.tree_id AND r.node_id = 2 * t.node_id + 2
+    LEFT JOIN ed e ON e.feature = t.feature AND e.bin = t.bin LEFT JOIN alv v ON t.is_leaf AND v.node = t.node GROUP BY t.tree_id""")
+def export_arrays(spark, sf):
+    """The nested export, a row for each tree: its index arrays as text, sums of its thresholds and leaf values."""
+    _, m = _boosted(spark, sf, n_estimators=1)
+    trees = export.nested_trees(m.table(spark)).select(F.posexplode(F.col("rounds")[0]["outputs"][0]["trees"]).alias("tree_id", "t"))
+    text = lambda c: F.array_join(F.transform(F.col("t")[c], lambda v: v.cast("string")), ",").alias(c)
+    leaf = F.transform("t.feature", lambda f: f == -1)
+    add = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 4)
+    kept = F.filter("t.threshold", lambda v: ~F.isnan(v))
+    own = F.zip_with("t.value", leaf, lambda v, is_leaf: F.when(is_leaf, v).otherwise(0.0))
+    return trees.select("tree_id", text("children_left"), text("children_right"), text("feature"), add(kept).alias("thresholds"), add(own).alias("leaf_values"))
+
+
 # preorder is the order of root-to-node paths: a node's path is the binary digits of its heap id + 1 after the first
 _PRE = """SELECT CAST(0 AS INT) AS round, CAST(0 AS INT) AS output, t.tree_id, t.node_id, t.at, l.at AS left_at, r.at AS right_at
     FROM pre t LEFT JOIN pre l ON l.tree_id = t.tree_id AND l.node_id = 2 * t.node_id + 1 LEFT JOIN pre r ON r.tree_id = t.tree_id AND r.node_id = 2 * t.node_id + 2"""

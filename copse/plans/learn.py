@@ -279,6 +279,26 @@ def feature_importance(spark, sf):
     return m.table(spark).filter("not is_leaf").groupBy("feature").agg(F.sum("samples").alias("samples"))
 
 
+_EXACT = (*_BASE, o.BINNED, "tg AS (SELECT rid, y, w FROM fr)", *o.forest_sql("a", 0, 1, 3, "tg", classification=True, boot=False, exact=True))
+
+
+@query(o.kept(o.query(*_EXACT, final="SELECT node AS node_id, feature, round(bin, 6) AS threshold, samples FROM anodes")))
+def tree_exact_nodes(spark, sf):
+    """DecisionTree's own splitter: midpoints of distinct values."""
+    m = DecisionTree(max_depth=3).fit(orders_frame(spark, sf), FS, "y", "rid")
+    return m.table(spark).select("node_id", "feature", r6("threshold", "threshold"), "samples")
+
+
+_MONTH = ("tg AS (SELECT rid, y, w FROM fr)", *o.forest_sql("a", 0, 1, 3, "tg", boot=False, exact=True))
+
+
+@query(o.kept(o.query(*_MBASE, o.BINNED, *_MONTH, final="SELECT rid, round(v, 6) AS prediction FROM amean")))
+def tree_exact_regression(spark, sf):
+    d = orders_frame(spark, sf).select("rid", "f0", "f1", F.col("f3").alias("g2"), F.col("f2").alias("month"))
+    m = DecisionTree(max_depth=3, task="regression").fit(d, ["f0", "f1", "g2"], "month", "rid")
+    return m.transform(d.select("rid", "f0", "f1", "g2")).select("rid", r6("prediction", "prediction"))
+
+
 # --- bootstrap and forests -------------------------------------------------
 
 _BOOT = f"""cu AS (SELECT c_custkey AS rid, row_number() OVER (ORDER BY c_custkey) - 1 AS rank, count(*) OVER () AS n FROM customer),

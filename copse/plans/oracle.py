@@ -64,10 +64,11 @@ def wilson_sql(p: str, n: str, z: float = 1.96) -> tuple[str, str]:
     return f"greatest({centre} - {half}, 0.0)", f"least({centre} + {half}, 1.0)"
 
 
-def forest_sql(p: str, seed: int, n_trees: int, depth: int, target: str, classification: bool = False, boot: bool = True, pick: int = 0, n_features: int = 4) -> list[str]:
+def forest_sql(p: str, seed: int, n_trees: int, depth: int, target: str, classification: bool = False, boot: bool = True, pick: int = 0, n_features: int = 4, exact: bool = False, rising: int | None = None, beside: str | None = None) -> list[str]:
     """Trees grown level by level over bn and target (rid, y, w), each node keyed by tree * 1000 + heap id.
 
     p..mean has the mean over trees of each row's leaf value v, p..nodes the nodes. pick: features tried at a node, by draw.
+    exact: split at midpoints of values; rising: a feature whose leaf values may not fall; beside: rows (rid) that are scored and not fitted.
     """
     sums = GINI2 if classification else MOMENTS
     cols = ", ".join(f"sum(({x.replace('THEN w', 'THEN t.w').replace('w * y', 't.w * t.y').replace('* y', '* t.y').replace('y =', 't.y =').replace('t.t.y', 't.y')}) * n.m) AS s{k}" for k, x in enumerate(sums))
@@ -77,20 +78,26 @@ def forest_sql(p: str, seed: int, n_trees: int, depth: int, target: str, classif
         f"{p}bt AS (SELECT tree, rank, count(*) AS m FROM {p}dr GROUP BY ALL)",
         f"{p}n0 AS (SELECT CAST(a.tree AS INT) AS tree, c.rid, CAST(a.tree * 1000 AS BIGINT) AS node, {'coalesce(b.m, 0)' if boot else '1'} AS m FROM {p}cu c CROSS JOIN range(0, {n_trees}) a(tree) LEFT JOIN {p}bt b ON b.tree = a.tree AND b.rank = c.rank)",
     ]
-    extra = ""
+    if beside:
+        out[-1] = out[-1][:-1] + f" UNION ALL SELECT CAST(a.tree AS INT), s.rid, CAST(a.tree * 1000 AS BIGINT), 0 FROM {beside} s CROSS JOIN range(0, {n_trees}) a(tree))"
+    extra = "" if rising is None else f"AND (feature <> {rising} OR ls0 / lw <= rs0 / rw)"
+    out.append(f"{p}b0 AS (SELECT DISTINCT node, '-Infinity'::DOUBLE AS lo, 'Infinity'::DOUBLE AS hi FROM {p}n0)")
     if pick:
         out.append(f"{p}sub AS (SELECT tree * 1000 + node AS node, feature FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY {draw_sql(seed, chr(39) + 'feat' + chr(39), 'tree', 'node', 'feature')}, feature) AS r FROM range(0, {n_trees}) a(tree), range(0, {2**depth}) b(node), range(0, {n_features}) c(feature)) WHERE r <= {pick})")
         extra = f"AND (node, feature) IN (SELECT (node, feature) FROM {p}sub)"
     for d in range(depth):
         out += [
-            f"{p}h{d} AS (SELECT n.node, bn.feature, bn.bin, CAST(sum(n.m) AS BIGINT) AS n, sum(t.w * n.m) AS w, {cols} FROM {p}n{d} n JOIN bn ON bn.rid = n.rid JOIN {target} t ON t.rid = n.rid WHERE n.m > 0 GROUP BY n.node, bn.feature, bn.bin)",
-            cand_sql(2, classification, name=f"{p}c{d}", hist=f"{p}h{d}", extra=extra),
-            f"{p}n{d + 1} AS (SELECT n.tree, n.rid, CASE WHEN b.feature IS NULL THEN n.node WHEN x.bin <= b.bin THEN n.tree * 1000 + 2 * (n.node - n.tree * 1000) + 1 ELSE n.tree * 1000 + 2 * (n.node - n.tree * 1000) + 2 END AS node, n.m FROM {p}n{d} n LEFT JOIN {p}c{d}best b ON b.node = n.node LEFT JOIN bn x ON x.rid = n.rid AND x.feature = b.feature)",
+            f"{p}h{d} AS (SELECT n.node, bn.feature, bn.{"v" if exact else "bin"} AS bin, CAST(sum(n.m) AS BIGINT) AS n, sum(t.w * n.m) AS w, {cols} FROM {p}n{d} n JOIN bn ON bn.rid = n.rid JOIN {target} t ON t.rid = n.rid WHERE n.m > 0 GROUP BY ALL)",
+            cand_sql(2, classification, exact, name=f"{p}c{d}", hist=f"{p}h{d}", extra=extra),
+            f"{p}n{d + 1} AS (SELECT n.tree, n.rid, CASE WHEN b.feature IS NULL THEN n.node WHEN x.{"v" if exact else "bin"} <= b.thr THEN n.tree * 1000 + 2 * (n.node - n.tree * 1000) + 1 ELSE n.tree * 1000 + 2 * (n.node - n.tree * 1000) + 2 END AS node, n.m FROM {p}n{d} n LEFT JOIN {p}c{d}best b ON b.node = n.node LEFT JOIN bn x ON x.rid = n.rid AND x.feature = b.feature)",
         ]
-    splits = " UNION ALL ".join(f"SELECT node, CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, CAST(tn AS BIGINT) AS samples FROM {p}c{d}best" for d in range(depth))
+        root, mid = "(b.node // 1000) * 1000 + 2 * (b.node % 1000)", "least(greatest((c.ls0 / c.lw + c.rs0 / c.rw) / 2, b.lo), b.hi)"
+        held = "false" if rising is None else f"c.feature = {rising}"
+        out.append(f"{p}b{d + 1} AS (SELECT CASE WHEN c.node IS NULL THEN b.node ELSE {root} + s.side END AS node, CASE WHEN {held} AND s.side = 2 THEN {mid} ELSE b.lo END AS lo, CASE WHEN {held} AND s.side = 1 THEN {mid} ELSE b.hi END AS hi FROM {p}b{d} b LEFT JOIN {p}c{d}best c ON c.node = b.node JOIN (VALUES (1), (2)) s(side) ON c.node IS NOT NULL OR s.side = 1)")
+    splits = " UNION ALL ".join(f"SELECT node, CAST(feature AS INT) AS feature, {"thr" if exact else "CAST(bin AS INT)"} AS bin, CAST(tn AS BIGINT) AS samples FROM {p}c{d}best" for d in range(depth))
     out += [
         f"{p}sp AS ({splits})",
-        f"{p}lv AS (SELECT n.node, sum(t.w * n.m * t.y) / sum(t.w * n.m) AS v, CAST(sum(n.m) AS BIGINT) AS samples FROM {p}n{depth} n JOIN {target} t ON t.rid = n.rid WHERE n.m > 0 GROUP BY n.node)",
+        f"{p}lv AS (SELECT n.node, least(greatest(sum(t.w * n.m * t.y) / sum(t.w * n.m), any_value(b.lo)), any_value(b.hi)) AS v, CAST(sum(n.m) AS BIGINT) AS samples FROM {p}n{depth} n JOIN {target} t ON t.rid = n.rid JOIN {p}b{depth} b ON b.node = n.node WHERE n.m > 0 GROUP BY n.node)",
         f"{p}nodes AS (SELECT node, feature, bin, samples, false AS is_leaf FROM {p}sp UNION ALL SELECT node, -1, NULL, samples, true FROM {p}lv)",
         f"{p}mean AS (SELECT n.rid, avg(l.v) AS v FROM {p}n{depth} n JOIN {p}lv l ON l.node = n.node GROUP BY n.rid)",
     ]
