@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,23 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # no such call in this C library
         pass
+
+
+_HELD: dict = {}
+
+
+def held(key: str, make):
+    """make(), kept in this worker process for the other tasks of the stage; one value at a time."""
+    task = TaskContext.get()
+    at = key, task.stageId() if task else -1
+    if at not in _HELD:
+        let_go()
+        _HELD[at] = make()
+    return _HELD[at]
+
+
+def let_go() -> None:
+    """Frees what an earlier stage held in this worker process."""
+    if _HELD:
+        _HELD.clear()
+        give_back()

@@ -10,8 +10,8 @@ words per NumPy call; a long word by itself, in runs of ``RUN`` characters that
 carry the last sums on, so its length is bounded by nothing). Control, unknown,
 unused and byte pieces of the vocabulary, as the processor types them, stand
 for no text and are left out. score is the posterior of the winner under equal
-priors. A task holds one model and at most ``CACHE_WORDS`` words of at most
-``WORD`` characters, and frees both at its end.
+priors. A worker process holds one model and at most ``CACHE_WORDS`` words of at
+most ``WORD`` characters for the tasks of the stage.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0;
 ties go to the first language by name; with no labelled rows every text is
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.common import give_back
+from copse.llm.common import give_back, held
 
 SAMPLE_DOCS, SMOOTH, UNKNOWN = 1000, 0.1, 1e-7
 WORD, RUN, CACHE_WORDS, RUN_WORDS = 48, 1 << 16, 100_000, 50_000
@@ -222,7 +222,7 @@ def has_letter(text: str) -> bool:
 
 def _predict(model):
     def run(batches):
-        f = Forward(*model.value)
+        f = held("language model", lambda: Forward(*model.value))
         try:
             for b in batches:
                 texts = [t if t and has_letter(t) else None for t in b["text"]]
@@ -238,7 +238,6 @@ def _predict(model):
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out.assign(lang_pred=pred, score=score)
         finally:
-            del f
             give_back()
 
     return run

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.common import free_name, shared_dir, stored
+from copse.llm.common import free_name, let_go, shared_dir, stored
 
 LIMIT, SEED = 1024, 42
 
@@ -66,6 +66,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def _prints(batches):
+    let_go()
     for b in batches:
         fp = np.array([fingerprint(t) for t in b["text"]], np.uint64)
         yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fp.view(np.int64)})

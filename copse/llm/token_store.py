@@ -20,9 +20,9 @@ constant time. A lookup reads the index columns of the shards whose range of
 doc_ids holds the key, and then the bytes of that document alone leave the scan.
 
 Words between ASCII spaces never merge in the tokenizer (its rules stop at
-white space), so each task encodes a distinct word once and joins whole texts
-from a word table of at most ``CACHE_BYTES`` (and the words of its last runs),
-freed at the task's end. A worker process keeps the tokenizer itself.
+white space), so a worker process encodes a distinct word once and joins whole
+texts from a word table of at most ``CACHE_BYTES`` (and the words of its last
+runs), kept for the tasks of the stage. It keeps the tokenizer itself for good.
 
 Defined cases: null and empty texts hold the end id only; null ids sort first;
 repeated ids are separate documents, in an order fixed by their text; a very
@@ -46,11 +46,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copse.llm.common import give_back, shared_dir
+from copse.llm.common import give_back, held, shared_dir
 
 END_ID, SHARD_TOKENS, RUN_WORDS, LINE_WORDS = 1, 1 << 20, 50_000, 500
 #: Bound of a word table, and what an entry takes beside its two byte strings.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 170
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 170
 
 SCHEMA = "part int, shard int, first long, lo long, hi long, n_docs long, n_tokens long, width int, payload binary, keys binary, seeds binary, prints binary, starts binary"
 
@@ -235,7 +235,7 @@ def _shard_row(part: int, shard: int, first: int, docs: list, width: int, end: b
 
 def _write(path: str, shard_tokens: int):
     def run(batches):
-        enc = WordEncoder(path)
+        enc = held(f"words of {path}", lambda: WordEncoder(path))
         end = np.array([END_ID], enc.dtype).tobytes()
         part, shard, first, docs, size = TaskContext.get().partitionId(), 0, 0, [], 0
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -258,7 +258,7 @@ def _write(path: str, shard_tokens: int):
             if docs:
                 yield frame(_shard_row(part, shard, first, docs, enc.width, end))
         finally:
-            del enc, docs
+            del docs
             give_back()
 
     return run
