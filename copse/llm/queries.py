@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from copse.llm import decontaminate, html_text, language, mixing, pii, quality, simhash, substring_dedup, token_store, url_filter
 from copse.llm.common import table
+from copse.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 #: Folder names of the public vocabularies; resolved where they are installed.
 VOCABULARY, TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -59,5 +60,3 @@ def op10_token_store(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_find_pii, op4_quality_rules, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_filter_urls, op8_identify_language, op9_decontaminate, op10_token_store)}
-
-ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -16,7 +17,7 @@ import xxhash
 pytest.importorskip("copse.llm")
 
 from copse.llm import decontaminate, html_text, language, mixing, pii, quality, simhash, substring_dedup, suffix_array, token_store, url_filter  # noqa: E402
-from copse.llm.queries import QUERIES, TOKENIZER, VOCABULARY, vocabulary_path  # noqa: E402
+from copse.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER, VOCABULARY, vocabulary_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, h long, words string"
 LONG = "the quick brown fox " * 6000
@@ -810,3 +811,35 @@ def test_token_store(spark, tokenizer, texts, tmp_path):
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(QUERIES))
+
+
+def in_sql(tables, sql):
+    c = duckdb.connect()
+    for name, path in tables.items():
+        c.execute(f"create view {name} as select * from read_parquet('{path}')")
+    cur = c.execute(sql)
+    return [d[0] for d in cur.description], cur.fetchall()
+
+
+def same_rows(df, names, want):
+    at = [df.columns.index(n) for n in names]
+    got = [tuple(r[k] for k in at) for r in df.collect()]
+    key = lambda t: tuple((x is None, round(x, 3) if isinstance(x, float) else x or 0) for x in t)
+    assert sorted(df.columns) == sorted(names) and len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert all(x == y or isinstance(x, float) and abs(x - y) <= 2e-6 for x, y in zip(a, b, strict=True)), (a, b)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, sf_dir, name):
+    tables = {t: f"{sf_dir}/{t}.parquet" for t in ("documents", "benchmark")}
+    same_rows(QUERIES[name](spark, sf_dir), *in_sql(tables, ORACLE_SQL[name]))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_odd_rows_match_sql(spark, tmp_path, name):
+    """Null, empty, repeated and very long rows: the SQL's rows, and no reference at all where no row passes."""
+    documents(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the quick brown fox the quick brown fox the quick"), (2, None), (None, "no id at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tables = {t: f"{tmp_path}/{t}.parquet/*.parquet" for t in ("documents", "benchmark")}
+    same_rows(QUERIES[name](spark, str(tmp_path)), *in_sql(tables, ORACLE_SQL[name]))
