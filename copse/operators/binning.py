@@ -52,6 +52,11 @@ def edge_lists(edges: DataFrame) -> list[list[float]]:
     return [out[f] for f in sorted(out)]
 
 
+def matrix(column, kind: type = float) -> np.ndarray:
+    """Arrays of equal length, a row each."""
+    return np.concatenate(column.to_numpy()).astype(kind, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
+
+
 def assign_bins(frame: DataFrame, edges: list[list[float]]) -> DataFrame:
     """Adds b array<int>: each feature's bin, by binary search in Arrow batches."""
     cuts = [np.array(e) for e in edges]
@@ -59,7 +64,7 @@ def assign_bins(frame: DataFrame, edges: list[list[float]]) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)
+            x = matrix(pdf["x"])
             b = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(cuts)], axis=1).astype(np.int32) if len(pdf) else np.zeros((0, len(cuts)), np.int32)
             yield pdf.assign(b=list(b))
 
@@ -72,4 +77,4 @@ def bin_of(value, edges: list[float]):
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < value))
 
 
-__all__ = ["BINS", "assign_bins", "bin_edges", "bin_of", "edge_lists", "value_counts"]
+__all__ = ["BINS", "assign_bins", "bin_edges", "bin_of", "edge_lists", "matrix", "value_counts"]

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from copse import schema
 from copse.functions.scalar import draw, draw_py
 from copse.operators import split
+from copse.operators.binning import assign_bins, matrix
 from copse.sources.frames import materialised
 
 MAX_NODES, HIST_CELLS, DEPTH_CAP = 2_000_000, 4_000_000, 61
@@ -132,10 +133,6 @@ def descend(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return at
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), float).reshape(len(column), -1)
-
-
 def bootstrap_counts(spark, n: int, n_trees: int, seed: int) -> DataFrame:
     """(rank, tree_id, m): n draws with replacement per tree."""
     d = spark.range(n * n_trees).select((F.col("id") / n).cast("long").cast("int").alias("tree_id"), F.col("id"))
@@ -184,8 +181,8 @@ def _level_kernel(arrays, open_nodes, allowed, config: TreeConfig, trees: list[i
             if not len(pdf):
                 continue
             x, y, w = matrix(pdf["x"]), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float)
-            b = None if exact else np.array(pdf["b"].tolist(), np.int64).reshape(len(pdf), -1)
-            m = None if pdf["m"].isna().all() else np.array(pdf["m"].tolist(), np.int64).reshape(len(pdf), -1)
+            b = None if exact else matrix(pdf["b"], np.int64)
+            m = None if pdf["m"].isna().all() else matrix(pdf["m"], np.int64)
             rows = pdf["row_id"].to_numpy(np.int64)
             for t in trees:
                 mult = m[:, t] if m is not None else poisson_counts(config.seed, t, rows) if config.bootstrap == "poisson" else np.ones(len(pdf), np.int64)
@@ -202,7 +199,8 @@ def _level_kernel(arrays, open_nodes, allowed, config: TreeConfig, trees: list[i
                     if exact and f >= 0:
                         g = pd.DataFrame({"at": at, "v": x[own, f], "n": k, "w": wt, **{f"s{i}": q for i, q in enumerate(parts)}})
                         g = g[np.array(allowed[t])[g["at"], f]].groupby(["at", "v"], as_index=False).sum()
-                        sums.setdefault((t, f), []).append(g)
+                        if len(g):  # a batch's values; those of all batches are summed by Spark
+                            yield g.rename(columns={"v": "bin"}).assign(tree_id=t, node_id=ids[g["at"]], feature=f)[columns].astype({"n": "int64"})
                         continue
                     nb = 1 if f < 0 else n_bins[f]
                     if f >= 0 and nb <= 1:
@@ -213,11 +211,6 @@ def _level_kernel(arrays, open_nodes, allowed, config: TreeConfig, trees: list[i
                     sums[t, f] = got if (t, f) not in sums else sums[t, f] + got
         for (t, f), got in sums.items():
             ids = open_nodes[t]
-            if isinstance(got, list):
-                g = pd.concat(got).groupby(["at", "v"], as_index=False).sum()
-                out = g.rename(columns={"v": "bin"}).assign(tree_id=t, node_id=ids[g["at"]], feature=f)
-                yield out[columns].astype({"n": "int64"})
-                continue
             nb = got.shape[1] // len(ids)
             live = np.flatnonzero(got[0] > 0)
             if f >= 0:
@@ -298,7 +291,6 @@ def grow(data: DataFrame, config: TreeConfig, edges: list[list[float]] | None, n
 
 def prepared(frame: DataFrame, config: TreeConfig, edges: list[list[float]] | None) -> DataFrame:
     """Rows ready for growth, written once: bins for histogram mode, multiplicities for a bootstrap."""
-    from copse.operators.binning import assign_bins
     from copse.sources.frames import with_rank
 
     d = frame if edges is None else assign_bins(frame, edges)

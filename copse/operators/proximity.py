@@ -61,6 +61,12 @@ def proximity(leaves: DataFrame, bag: DataFrame | None = None) -> DataFrame:
     pairs = co_leaf(leaves, leaves)
     if bag is None:
         return pairs.groupBy("i", "j").agg((F.count("*") / float(trees)).alias("prox"))
+    found = out_of_bag(pairs, bag, trees)
+    return found.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("same") / F.col("valid")).alias("prox"))
+
+
+def out_of_bag(pairs: DataFrame, bag: DataFrame, trees: int) -> DataFrame:
+    """(i, j, same, valid): trees in whose leaf both are, and trees at all, without those that have both in the bag; same is 1 at least."""
     masks = bag_masks(bag)
     own = masks.select(F.col("row_id").alias("i"), F.col("mask").alias("mi"))
     other = masks.select(F.col("row_id").alias("j"), F.col("mask").alias("mj"))
@@ -71,8 +77,7 @@ def proximity(leaves: DataFrame, bag: DataFrame | None = None) -> DataFrame:
     same = same.select("i", "j", "shared", both.alias("both"))
     out = F.size(F.filter("shared", lambda t: F.coalesce(F.getbit(F.get("both", F.floor(t / MASK_BITS).cast("int")), t % MASK_BITS), F.lit(0)) == 0))
     inbag = F.aggregate("both", F.lit(0), lambda s, x: s + F.bit_count(x))
-    found = same.select("i", "j", out.alias("same"), (F.lit(trees) - inbag).alias("valid")).filter("same > 0")
-    return found.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("same") / F.col("valid")).alias("prox"))
+    return same.select("i", "j", out.alias("same"), (F.lit(trees) - inbag).alias("valid")).filter("same > 0")
 
 
 def bag_masks(bag: DataFrame) -> DataFrame:
@@ -227,10 +232,8 @@ class UnsupervisedModel:
         own = materialised(self.leaves(), "leaves")
         check_pairs(own)
         trees = self.trees.config.n_trees
-        tag = self.bag.withColumn("inb", F.lit(1))
-        pairs = co_leaf(own, own).filter("i <> j")
-        pairs = pairs.join(tag.select("tree_id", F.col("row_id").alias("i"), F.col("inb").alias("bi")), ["tree_id", "i"], "left").join(tag.select("tree_id", F.col("row_id").alias("j"), F.col("inb").alias("bj")), ["tree_id", "j"], "left")
-        counts = pairs.filter("bi is null or bj is null").groupBy("i", "j").agg((F.count("*") / float(trees)).alias("prox"))
+        found = out_of_bag(co_leaf(own, own).filter("i <> j"), self.bag, trees)
+        counts = found.select("i", "j", (F.col("same") / float(trees)).alias("prox"))
         return nearest(counts, min(max(k, 1), self.n_samples_ - 1))
 
     def outlier_scores(self) -> DataFrame:

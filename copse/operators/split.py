@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions.scalar import gini, variance
+from copse.sources.frames import materialised
 
 KEYS = ["tree_id", "node_id", "feature"]
 
@@ -34,15 +35,34 @@ def histogram(rows: DataFrame, per_row: Column, width: int) -> DataFrame:
     return out.select(*KEYS, F.col("bin").cast("double").alias("bin"), "n", "w", F.array(*[f"s{k}" for k in range(width)]).alias("s"))
 
 
+def _sums_of_bins(flat: DataFrame, names: list[str]) -> DataFrame:
+    """Adds threshold, sums up to each bin (l) and over the node (t): a window of as many rows as a feature has bins."""
+    whole = Window.partitionBy(*KEYS)
+    by_bin = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    c = flat.withColumn("threshold", F.col("bin"))
+    return c.select("*", *[F.sum(x).over(by_bin).alias(f"l{x}") for x in names], *[F.sum(x).over(whole).alias(f"t{x}") for x in names])
+
+
+def _sums_of_values(flat: DataFrame, names: list[str]) -> DataFrame:
+    """The same over distinct values, however many: sums within ranges of values, plus those of the ranges before; thresholds lie between neighbours."""
+    flat = materialised(flat.repartitionByRange(*KEYS, "bin").withColumn("part", F.spark_partition_id()), "split-values")
+    every = Window.partitionBy(*KEYS).orderBy("part")  # a row for each range
+    before = every.rowsBetween(Window.unboundedPreceding, -1)
+    per = flat.groupBy(*KEYS, "part").agg(F.min("bin").alias("first"), *[F.sum(x).alias(f"p{x}") for x in names])
+    offsets = [F.coalesce(F.sum(f"p{x}").over(before), F.lit(0)).alias(f"o{x}") for x in names]
+    per = per.select(*KEYS, "part", F.lead("first").over(every).alias("beyond"), *offsets, *[F.sum(f"p{x}").over(Window.partitionBy(*KEYS)).alias(f"t{x}") for x in names])
+    own = Window.partitionBy(*KEYS, "part").orderBy("bin")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    c = flat.join(per, [*KEYS, "part"]).withColumn("threshold", (F.col("bin") + F.coalesce(F.lead("bin").over(own), "beyond")) / 2)
+    return c.select("*", *[(F.col(f"o{x}") + F.sum(x).over(upto)).alias(f"l{x}") for x in names])
+
+
 def candidates(hist: DataFrame, width: int, classification: bool, min_leaf: int = 1, monotone: list[int] | None = None, exact: bool = False) -> DataFrame:
     """Every admissible split with its gain and the sums of both children."""
-    by_bin = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*KEYS)
-    c = hist.withColumn("threshold", (F.col("bin") + F.lead("bin").over(Window.partitionBy(*KEYS).orderBy("bin"))) / 2 if exact else F.col("bin"))
-    for name in ["n", "w", *[f"s{k}" for k in range(width)]]:
-        v = F.col("s")[int(name[1:])] if name[0] == "s" else F.col(name)
-        c = c.withColumn(f"l{name}", F.sum(v).over(by_bin)).withColumn(f"t{name}", F.sum(v).over(whole))
-    for name in ["n", "w", *[f"s{k}" for k in range(width)]]:
+    names = ["n", "w", *[f"s{k}" for k in range(width)]]
+    flat = hist.select(*KEYS, "bin", "n", "w", *[F.col("s")[k].alias(f"s{k}") for k in range(width)])
+    c = _sums_of_values(flat, names) if exact else _sums_of_bins(flat, names)
+    for name in names:
         c = c.withColumn(f"r{name}", F.col(f"t{name}") - F.col(f"l{name}"))
     c = c.filter((F.col("ln") >= min_leaf) & (F.col("rn") >= min_leaf) & (F.col("lw") > 0) & (F.col("rw") > 0))
     if classification:
