@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.common import shared_dir, stored
-from copse.llm.suffix_array import same_prefix, suffix_array
+from copse.llm.suffix_array import permuted_prefixes, suffix_array
 
 WIDTH, GRAM, CHUNK_BYTES, SHARD_ROWS, CROWDED, DIGEST = 50, 16, 1 << 20, 60_000, 5_000, 16
 NULL_ID = 2**63 - 1
@@ -273,7 +273,7 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     left = starts[own] + lens[own] - np.arange(len(raw))
     sa = suffix_array(s, 257, WIDTH // 2 + 1)  # leftmost-smaller suffixes are two bytes apart at least
     sa = sa[left[sa] >= WIDTH]
-    group = np.r_[0, np.cumsum(~same_prefix(raw, sa, WIDTH))] if len(sa) else np.zeros(0, np.int64)
+    group = np.r_[0, np.cumsum(permuted_prefixes(raw, sa, WIDTH)[sa[1:]] < WIDTH)] if len(sa) else np.zeros(0, np.int64)
     best = np.full(int(group[-1]) + 1 if len(group) else 0, NULL_ID, np.int64)
     np.minimum.at(best, group, ids[own[sa]])
     out = np.zeros(len(raw), np.int64)

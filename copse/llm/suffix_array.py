@@ -138,19 +138,25 @@ def _by_doubling(r: np.ndarray, depth: int | None) -> np.ndarray:
             return order
 
 
-def same_prefix(text: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
-    """For neighbours in sa, whether their first width bytes agree: common prefixes capped at width.
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
+    """In text order: how many bytes, width at most, the suffix at each place shares with the one before it in sa.
 
-    Compared in words of eight bytes, in text order of the second (permuted), with those that still agree.
+    0 for the first of sa and for places that sa doesn't list. Every suffix of sa
+    has width bytes at least. Places are compared in text order, eight bytes at a
+    time, and only while they still agree.
     """
     pad = np.concatenate([text.astype(np.uint8), np.zeros(8, np.uint8)])
     word = np.lib.stride_tricks.sliding_window_view(pad, 8)[: len(text)]
-    word = np.ascontiguousarray(word).view(np.uint64).ravel()
-    by_place = np.argsort(sa[1:], kind="stable")  # the permutation
-    a, b = sa[:-1][by_place], sa[1:][by_place]
-    live = np.arange(len(a))
-    for j in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
-        live = live[word[a[live] + j] == word[b[live] + j]]
-    out = np.zeros(len(a), bool)
-    out[by_place[live]] = True
+    word = np.ascontiguousarray(word).view("<u8").ravel()
+    before = np.full(len(text), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    live = np.flatnonzero(before >= 0)
+    out = np.zeros(len(text), np.int64)
+    for j in range(0, width, 8):
+        differ = word[live + j] ^ word[before[live] + j]
+        ends = differ != 0
+        lowest = differ[ends] & (~differ[ends] + np.uint64(1))  # the first byte that differs is the lowest
+        out[live[ends]] = np.minimum(j + np.log2(lowest.astype(float)).astype(np.int64) // 8, width)
+        live = live[~ends]
+    out[live] = width
     return out

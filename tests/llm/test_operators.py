@@ -485,6 +485,19 @@ def test_suffix_array_order():
         assert suffix_array.suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+@pytest.mark.parametrize("width", [1, 7, 8, 50])
+def test_permuted_prefixes(width):
+    r = random.Random(width)
+    for _ in range(40):
+        text = bytes(r.choice(b"ab") for _ in range(r.randint(width, 300))) * r.randint(1, 3)
+        sa = sorted(range(len(text) - width + 1), key=lambda i: text[i:])
+        want = [0] * len(text)
+        for a, b in zip(sa, sa[1:], strict=False):
+            while want[b] < width and text[a + want[b]] == text[b + want[b]]:
+                want[b] += 1
+        assert suffix_array.permuted_prefixes(np.frombuffer(text, np.uint8), np.array(sa), width).tolist() == want
+
+
 def check_substrings(df, rows):
     got = [tuple(r) for r in substring_dedup.report(substring_dedup.deduplicated(df)).collect()]
     key = lambda t: (t[0] is None, t[0] or 0, t[1:])
