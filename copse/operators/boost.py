@@ -177,7 +177,7 @@ class _Boost:
                 fit = data.withColumn("target", target).withColumn("hw", weight).drop("y", "w").withColumnsRenamed({"target": "y", "hw": "w"})
                 fit = materialised(with_multiplicity(fit, config), "round")
                 if self.async_mode:
-                    rule = early_stop.stability_updates if model.task != "regression" else early_stop.stability_regression
+                    rule = "updates" if model.task != "regression" else "regression"
                     trees, used = early_stop.grow_until_stable(fit, config, edges, p, self.tol, max(self.rf_n_estimators // 2, 3), rule)
                 else:
                     trees, used = grow(fit, config, edges, p), self.rf_n_estimators

@@ -1,21 +1,28 @@
 """Early stop: grow trees in fixed batches and stop at the first prefix of trees that is stable.
 
-The rules are window queries over (row_id, tree_id, value): running votes or
-running mean and variance by tree order. Growing in fixed batches makes the
-result the same every time.
+The rules are running votes, or running mean and variance, by tree order: as
+window queries over a table (row_id, tree_id, value), and, while trees grow, as
+``row_report`` inside the pass that scores the rows, which returns sums for each
+number of trees and shuffles no row. Growing in fixed batches makes the result
+the same every time.
 """
 
 from __future__ import annotations
 
 from copy import copy
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions.scalar import sigmoid, wilson
-from copse.operators.grow import Trees, grow
+from copse.operators.binning import matrix
+from copse.operators.grow import Trees, descend, grow
 
 SHARE, Z = 0.90, 1.96
+#: Values (rows x trees x classes) that a task holds at a time.
+CELLS = 2_000_000
 
 
 def running_votes(preds: DataFrame, n_classes: int) -> DataFrame:
@@ -67,10 +74,83 @@ def first_stable(report: DataFrame, min_trees: int, tol: float = 0.0) -> DataFra
     return report.filter((F.col("c") >= min_trees) & (F.col("c") > 1) & ok).agg(F.min("c").alias("trees_used"))
 
 
-def grow_until_stable(data: DataFrame, config, edges, n_features: int, tol: float, min_trees: int | None = None, rule=None, batch: int | None = None) -> tuple[Trees, int]:
+def _interval(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wilson interval of shares p over n, clipped to [0, 1]."""
+    centre, scale = p + Z * Z / (2 * n), 1 + Z * Z / n
+    half = Z * np.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
+    return np.maximum((centre - half) / scale, 0.0), np.minimum((centre + half) / scale, 1.0)
+
+
+def _running(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, sample variance and change of the mean after each column of v (rows x trees)."""
+    c = np.arange(1, v.shape[1] + 1)
+    off = v - v[:, :1]  # so that squares lose no digits
+    mean = np.cumsum(off, axis=1) / c
+    var = np.maximum(np.cumsum(off * off, axis=1) - c * mean * mean, 0.0) / np.maximum(c - 1, 1)
+    change = np.zeros_like(v)
+    change[:, 1:] = np.abs(off[:, 1:] - mean[:, :-1]) / c[1:]
+    return mean + v[:, :1], var, change
+
+
+def row_report(data: DataFrame, trees: Trees, rule: str) -> DataFrame:
+    """(c, stable, max_change) of the rule "votes", "regression" or "updates" over rows with features x.
+
+    The same figures as stability_votes, stability_regression and stability_updates of all rows' predictions.
+    """
+    spark, n_classes = data.sparkSession, max(trees.config.n_classes or 2, 2)
+    model = spark.sparkContext.broadcast(trees.arrays())
+
+    def scan(count):
+        """Sums, by number of trees, of what count(values) says: (stable, least mean, largest mean, largest change)."""
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, parts = matrix(pdf["x"]), model.value
+                step = max(1, CELLS // (len(parts) * n_classes))
+                for at in range(0, len(x), step):
+                    v = np.stack([t["value"][descend(t, x[at : at + step])] for t in parts], axis=1)
+                    ok, lo, hi, change = count(v)
+                    yield pd.DataFrame({"c": np.arange(1, v.shape[1] + 1), "rows": len(v), "ok": ok, "lo": lo, "hi": hi, "change": change})
+
+        got = data.select("x").mapInPandas(run, "c int, rows long, ok long, lo double, hi double, change double")
+        return got.groupBy("c").agg(F.sum("rows").alias("rows"), F.sum("ok").alias("ok"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("change").alias("change"))
+
+    def votes(v):
+        c = np.arange(1, v.shape[1] + 1)
+        shares = np.sort(np.cumsum(v[:, :, None] == np.arange(n_classes), axis=1) / c[:, None], axis=2)
+        ok = _interval(shares[..., -1], c)[0] > _interval(shares[..., -2], c)[1]
+        return ok.sum(axis=0), 0.0, 0.0, 0.0
+
+    def updates(v):
+        mean, _, change = _running(v)
+        lo, hi = _interval(np.clip(1 / (1 + np.exp(-np.clip(mean, -700, 700))), 1e-6, 1 - 1e-6), np.arange(1, v.shape[1] + 1))
+        return ((hi < 0.5) | (lo > 0.5)).sum(axis=0), 0.0, 0.0, change.max(axis=0)
+
+    def spans(v):
+        mean, _, change = _running(v)
+        return 0, mean.min(axis=0), mean.max(axis=0), change.max(axis=0)
+
+    if rule == "regression":
+        ends = {r["c"]: max(r["hi"] - r["lo"], 1e-10) for r in scan(spans).collect()}  # a row for each number of trees
+        spread = np.array([ends[c] for c in sorted(ends)])
+
+        def narrow(v):
+            _, var, change = _running(v)
+            half = Z * np.sqrt(var / np.arange(1, v.shape[1] + 1))
+            return (half < 0.05 * spread).sum(axis=0), 0.0, 0.0, change.max(axis=0)
+
+        got = scan(narrow)
+    else:
+        got = scan(votes if rule == "votes" else updates)
+    out = got.select("c", (F.col("ok") / F.col("rows")).alias("stable"), F.when(F.col("c") > 1, F.col("change")).alias("max_change"))
+    return out.drop("max_change") if rule == "votes" else out
+
+
+def grow_until_stable(data: DataFrame, config, edges, n_features: int, tol: float, min_trees: int | None = None, rule: str | None = None, batch: int | None = None) -> tuple[Trees, int]:
     """Grows config.n_trees trees at most, and keeps the prefix at which the rule first holds."""
-    from copse.operators.score import per_tree
-
+    rule = rule or ("votes" if config.classification else "regression")
     n = config.n_trees
     least = max(n // 10, 3) if min_trees is None else min_trees
     batch = batch or max(least, 8)
@@ -78,9 +158,7 @@ def grow_until_stable(data: DataFrame, config, edges, n_features: int, tol: floa
     for at in range(0, n, batch):
         more = grow(data, copy(config), edges, n_features, list(range(at, min(n, at + batch))))
         out.nodes |= more.nodes
-        preds = per_tree(data, out)
-        report = rule(preds) if rule else stability_votes(preds, config.n_classes) if config.classification else stability_regression(preds)
-        used = first_stable(report, least, 0.0 if config.classification else tol).first()["trees_used"]
+        used = first_stable(row_report(data, out, rule), least, 0.0 if config.classification else tol).first()["trees_used"]
         if used is not None:
             out.nodes = {k: v for k, v in out.nodes.items() if k[0] < used}
             return out, int(used)

@@ -3,10 +3,11 @@
 import numpy as np
 import pytest
 
-from copse.operators import binning, shapley
+from copse.operators import binning, early_stop, shapley
 from copse.operators.boost import BoostClassifier, BoostRegressor
 from copse.operators.forest import DecisionTree, RandomForestClassifier, RandomForestRegressor
 from copse.operators.grow import TreeConfig, grow, prepared
+from copse.operators.score import per_tree
 from copse.sources import export
 from copse.sources.frames import training_frame
 
@@ -200,6 +201,24 @@ def test_early_stop_uses_fewer_trees(spark, data):
     assert len({t for t, _ in m.trees.nodes}) == m.trees_used
 
 
+@pytest.mark.parametrize("rule", ["votes", "regression", "updates"])
+def test_stop_rules_in_the_scoring_pass_equal_their_tables(spark, data, rule, monkeypatch):
+    monkeypatch.setattr(early_stop, "CELLS", 400)
+    x, y, _ = data
+    c = TreeConfig(rule == "votes", 2, 4, max_depth=2, max_features=1, bootstrap="poisson", seed=3)
+    frame = training_frame(table(spark, x, y), "id", NAMES, "y")
+    edges = binning.edge_lists(binning.bin_edges(frame))
+    p = prepared(frame, c, edges)
+    trees = grow(p, c, edges, 3)
+    preds = per_tree(p, trees)
+    want = early_stop.stability_votes(preds, 2) if rule == "votes" else early_stop.stability_regression(preds) if rule == "regression" else early_stop.stability_updates(preds)
+    got = early_stop.row_report(p, trees, rule)
+    assert got.columns == want.columns
+    for a, b in zip(got.orderBy("c").collect(), want.orderBy("c").collect(), strict=True):
+        assert [v is None for v in a] == [v is None for v in b]
+        assert np.allclose([v for v in a if v is not None], [v for v in b if v is not None], atol=1e-9)
+
+
 def test_checks(spark, data):
     x, y, _ = data
     bad = x.copy()
