@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from copse.llm import quality
+from copse.llm import clustering, quality
 from copse.llm.common import SPACE
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,4 +97,52 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from v"""
 
 
-ORACLE_SQL = {"op4_quality_rules": quality_sql(), "op6_suffix_array_dedup": substring_sql(), "op9_decontaminate": contamination_sql()}
+def audit_sql() -> str:
+    """op11: the five filters applied in every order, one after the other, to the counts of documents by what they fail."""
+    names = "ABCDE"
+    fails = ", ".join(f"({c}) as f{n}" for n, c in zip(names, ("len(w) < 100", "100 * len(list_distinct(w)) < 80 * len(w)", "100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t)", "regexp_matches(t, '[#$%&*|]')", "coalesce(first < doc_id, false)"), strict=True))
+    fail = "case f " + " ".join(f"when '{n}' then f{n}" for n in names) + " end"
+    earlier = " or ".join(f"(f{n} and strpos(before, '{n}') > 0)" for n in names)
+    alone = " and ".join(f"(f{n} or '{n}' = f) = ('{n}' = f)" for n in names)
+    return rf"""
+with d as (select doc_id, coalesce(cast(lang as varchar), '') as part, coalesce(text, '') as t from documents),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+s as (select t, min(doc_id) as first from d group by t),
+x as (select d.*, first, coalesce(good, false) as good, coalesce(toxic, false) as toxic, regexp_extract_all(d.t, '[^{SPACE}]+') as w from d join s using (t) left join l using (doc_id)),
+m as (select part, good, toxic, {fails} from x),
+c as (select *, count(*) as n from m group by all),
+k(f) as (values {", ".join(f"('{n}')" for n in names)}),
+o as (select a.f || b.f || c.f || d.f || e.f as filter_order from k a join k b on b.f <> a.f join k c on c.f not in (a.f, b.f) join k d on d.f not in (a.f, b.f, c.f) join k e on e.f not in (a.f, b.f, c.f, d.f)),
+p as (select filter_order, cast(s.step as int) as step, substr(filter_order, s.step, 1) as f, substr(filter_order, 1, s.step - 1) as before from o, range(1, 6) s(step)),
+q as (select part, n, good, toxic, filter_order, step, f, {fail} as fails, ({earlier}) as gone, ({alone}) and {fail} as sole from c, p),
+r as (select part, filter_order, step, f, sum(case when gone or fails then 0 else n end) as kept, sum(case when fails and not gone then n else 0 end) as removed,
+  sum(case when fails and gone then n else 0 end) as redundant, sum(case when sole then n else 0 end) as unique_fails,
+  sum(case when fails and not gone and good then n else 0 end) as good_lost, sum(case when fails and not gone and toxic then n else 0 end) as toxic_lost
+  from q group by all)
+select part, filter_order, step, {", ".join(f"cast({v} as bigint) as {v}" for v in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  cast(sum(removed) over (partition by part, f) as bigint) as shapley from r"""
+
+
+def clustering_sql(k: int = 16, rounds: int = 3, seed: int = 1, dimensions: int = 64) -> str:
+    """op13: the rounds written out over a table of components."""
+    cut = clustering.BOUND
+    out = [
+        f"v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(greatest(least(floor(cast(x as double) * {clustering.SCALE}), {cut}), -{cut}) as bigint)) as q from embeddings where len(embedding) = {dimensions} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dimensions})",
+        f"s as (select q, row_number() over (order by sha256('{seed}:' || cast(vec_id as varchar)) nulls last, q) - 1 as c from v qualify c < {k})",
+        f"d as (select r, unnest(q) as x, unnest(range(1, {dimensions + 1})) as j from v)",
+        f"c0 as (select c, unnest(q) as x, unnest(range(1, {dimensions + 1})) as j from s)",
+    ]
+    for n in range(rounds + 1):
+        out.append(f"a{n} as (select r, c, sum((d.x - m.x) * (d.x - m.x)) as far from d join c{n} m using (j) group by r, c qualify row_number() over (partition by r order by far, c) = 1)")
+        if n < rounds:
+            out.append(f"m{n} as (select c, j, floor_div(sum(x), count(*)) as x from a{n} join d using (r) group by c, j)")
+            out.append(f"c{n + 1} as (select c, j, cast(coalesce(m{n}.x, c{n}.x) as bigint) as x from c{n} left join m{n} using (c, j))")
+    floor_div = "(cast(sum(x) as hugeint) - ((cast(sum(x) as hugeint) % count(*) + count(*)) % count(*))) // count(*)"
+    sql = ", ".join(f"{x.split(' as (', 1)[0]} as materialized ({x.split(' as (', 1)[1]}" for x in out).replace("floor_div(sum(x), count(*))", floor_div)
+    return f"""with {sql},
+h as (select c, sha256(string_agg(cast(x as varchar), ',' order by j)) as centroid_sha256 from c{rounds} group by c)
+select vec_id, cast(c as int) as cluster, cast(far as bigint) as distance, cast(sum(far) over (partition by c) as bigint) as cluster_inertia, cast(sum(far) over () as bigint) as inertia, centroid_sha256
+from a{rounds} join v using (r) join h using (c)"""
+
+
+ORACLE_SQL = {"op4_quality_rules": quality_sql(), "op6_suffix_array_dedup": substring_sql(), "op9_decontaminate": contamination_sql(), "op11_audit_filters": audit_sql(), "op13_cluster_embeddings": clustering_sql()}

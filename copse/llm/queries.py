@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from copse.llm import decontaminate, html_text, language, mixing, pii, quality, simhash, substring_dedup, token_store, url_filter
+from copse.llm import clustering, decontaminate, filter_audit, html_text, language, mixing, packing, pii, quality, simhash, substring_dedup, token_store, url_filter
 from copse.llm.common import table
 from copse.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 #: Folder names of the public vocabularies; resolved where they are installed.
-VOCABULARY, TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
+VOCABULARY, TOKENIZER, PACKING_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def vocabulary_path(name: str) -> str:
@@ -59,4 +59,16 @@ def op10_token_store(spark, sf_dir):
     return token_store.read_store(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_find_pii, op4_quality_rules, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_filter_urls, op8_identify_language, op9_decontaminate, op10_token_store)}
+def op11_audit_filters(spark, sf_dir):
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_pack_sequences(spark, sf_dir):
+    return packing.report(packing.packed(packing.pieces(table(spark, sf_dir, "documents"), vocabulary_path(PACKING_TOKENIZER))))
+
+
+def op13_cluster_embeddings(spark, sf_dir):
+    return clustering.report(*clustering.clustered(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_find_pii, op4_quality_rules, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_filter_urls, op8_identify_language, op9_decontaminate, op10_token_store, op11_audit_filters, op12_pack_sequences, op13_cluster_embeddings)}
