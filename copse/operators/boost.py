@@ -2,9 +2,10 @@
 
 Rows carry their raw scores f (one per output). A round turns them into
 targets and weights with column expressions, grows a regression forest, adds
-the learning rate times its mean, and writes the rows once, so the plan stays
-short however many rounds follow. Edges and bins depend on the features only
-and are made once per fit.
+the learning rate times its mean, and writes the rows once (bins and scores, not
+the features' values), so the plan stays short however many rounds follow; the
+generation before is dropped. Edges and bins depend on the features only and are
+made once per fit.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from copse.functions.scalar import CLAMP, clamp, logit, sigmoid, softmax, wilson, z_of
 from copse.operators import binning, early_stop, validate
 from copse.operators.grow import TreeConfig, Trees, descend, grow, matrix, with_multiplicity
-from copse.operators.score import argmax_class
-from copse.sources.frames import free_name, materialised, training_frame, with_rank
+from copse.operators.score import argmax_class, blocks_of, chunks
+from copse.operators.trees import BLOCK_NODES
+from copse.sources.frames import dropped, free_name, materialised, training_frame, with_rank
 
 
 def binary_prior(df: DataFrame, y: str = "y", w: str = "w") -> DataFrame:
@@ -72,21 +74,36 @@ class BoostModel:
     def is_fitted(self) -> bool:
         return bool(self.rounds)
 
+    def _sent(self, spark) -> list:
+        """Broadcasts of (output, rate a tree, arrays), of BLOCK_NODES nodes each or a block of one round's model."""
+        out, held, size = [], [], 0
+        for r in self.rounds:
+            for o, trees in enumerate(r):
+                rate = self.learning_rate / len(trees.tree_ids)
+                for make in trees.blocks():
+                    held.append((o, rate, make()))
+                    size += sum(len(t["feature"]) for t in held[-1][2])
+                    if size >= BLOCK_NODES:
+                        out.append(spark.sparkContext.broadcast(held))
+                        held, size = [], 0
+        return [*out, *([spark.sparkContext.broadcast(held)] if held else [])]
+
     def raw(self, df: DataFrame, column: str = "raw") -> DataFrame:
         """Adds an array<double> of raw scores: init + learning rate x sum of forest means, all rounds folded into one pass."""
-        parts = [(o, self.learning_rate, t.arrays()) for r in self.rounds for o, t in enumerate(r)]
-        model, init = df.sparkSession.sparkContext.broadcast(parts), np.array(self.init)
+        if not self.is_fitted:
+            raise ValueError("the model has not been fitted")
+        model, init = self._sent(df.sparkSession), np.array(self.init)
         names, x = self.features, free_name(df, "x")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{column}` array<double>"
         columns = [*df.columns, column]
 
         def run(batches):
-            for pdf in batches:
+            for pdf in chunks(batches, len(model) > 1):
                 m = matrix(pdf[x])
                 out = np.tile(init, (len(pdf), 1))
-                for o, rate, trees in model.value:
-                    if len(pdf):
-                        out[:, o] += rate * sum(t["value"][descend(t, m)] for t in trees) / len(trees)
+                for parts in blocks_of(model) if len(pdf) else ():
+                    for o, rate, trees in parts:
+                        out[:, o] += rate * sum(t["value"][descend(t, m)] for t in trees)
                 yield pdf.assign(**{column: list(out)})[columns]
 
         return df.withColumn(x, F.array(*[F.col(c).cast("double") for c in names])).mapInPandas(run, schema)
@@ -111,7 +128,7 @@ class BoostModel:
             return d.withColumn("ci_low", F.col("prediction") - q).withColumn("ci_high", F.col("prediction") + q)
         if self.task != "binary":
             raise ValueError("intervals are for binary classification and regression")
-        n = sum(len({k for k, _ in t.nodes}) for r in self.rounds for t in r)
+        n = sum(len(t.tree_ids) for r in self.rounds for t in r)
         lo, hi = wilson(F.col("probability")[1], float(n), z_of(alpha))
         return d.withColumn("ci_low", lo).withColumn("ci_high", hi)
 
@@ -122,16 +139,19 @@ class BoostModel:
         total = np.zeros(width)
         for r in self.rounds:
             for t in r:
-                for n in t.nodes.values():
-                    if not n.is_leaf and n.feature < width:
-                        total[n.feature] += n.samples
+                for f, n in t.samples_by_feature().items():
+                    if f < width:
+                        total[f] += n
         return (total / total.sum()).tolist() if total.sum() else total.tolist()
 
     def table(self, spark) -> DataFrame:
         from copse import schema
 
-        rows = [x for r, outs in enumerate(self.rounds) for o, t in enumerate(outs) for x in t.rows(round=r, output=o)]
-        return spark.createDataFrame(rows, schema.MODEL)
+        own = [(r, o, t) for r, outs in enumerate(self.rounds) for o, t in enumerate(outs)]
+        out = spark.createDataFrame([x for r, o, t in own if t.rest is None for x in t.rows(round=r, output=o)], schema.MODEL)
+        for r, o, t in own:
+            out = out if t.rest is None else out.unionByName(t.table(spark, round=r, output=o))
+        return out
 
 
 @dataclass
@@ -148,10 +168,11 @@ class _Boost:
     use_histogram: bool = True
     async_mode: bool = False
     tol: float = 1e-4
+    finish_rows: int = TreeConfig.finish_rows
 
     def _config(self, p: int, round_: int, output: int, monotone: list[int]) -> TreeConfig:
-        boot = "exact" if self.bootstrap is True else self.bootstrap
-        return TreeConfig(False, 2, self.rf_n_estimators, self.rf_max_depth, self.min_samples_split, self.min_samples_leaf, validate.max_features(self.rf_max_features, p), monotone, not self.use_histogram, boot, self.random_state + 1000 * round_ + output)
+        boot = "rows" if self.bootstrap is True else self.bootstrap
+        return TreeConfig(False, 2, self.rf_n_estimators, self.rf_max_depth, self.min_samples_split, self.min_samples_leaf, validate.max_features(self.rf_max_features, p), monotone, not self.use_histogram, boot, self.random_state + 1000 * round_ + output, finish_rows=self.finish_rows)
 
     def _rounds(self, frame: DataFrame, model: BoostModel, monotone: list[int]) -> DataFrame:
         """Adds rounds to model; frame has (row_id, x, y, w); returns it with the final scores f."""
@@ -159,9 +180,10 @@ class _Boost:
         edges = binning.edge_lists(binning.bin_edges(frame)) if self.use_histogram else None
         base = frame.withColumn("f", F.array(*[F.lit(v) for v in model.init]))
         if edges is not None:
-            base = binning.assign_bins(base, edges)
-        base = with_rank(base, ["row_id"]) if self.bootstrap is True or self.bootstrap == "exact" else base
+            base = binning.assign_bins(base, edges).drop("x")
+        base = with_rank(base, ["row_id"]) if self._config(p, 0, 0, []).bootstrap in ("exact", "rows") else base
         data = materialised(base, "boost")
+        n = data.count() if "rank" in data.columns else 0
 
         for r in range(self.n_estimators):
             outs: list[Trees] = []
@@ -174,8 +196,11 @@ class _Boost:
                 else:
                     target, weight = y - f[0], w
                 config = self._config(p, r, o, monotone)
-                fit = data.withColumn("target", target).withColumn("hw", weight).drop("y", "w").withColumnsRenamed({"target": "y", "hw": "w"})
-                fit = materialised(with_multiplicity(fit, config), "round")
+                config.rows = n
+                fit = data.withColumn("target", target).withColumn("hw", weight).drop("y", "w", "f").withColumnsRenamed({"target": "y", "hw": "w"})
+                fit = with_multiplicity(fit, config)
+                if config.bootstrap == "exact":  # a join, made once; other draws are made in the row
+                    fit = materialised(fit, "round")
                 if self.async_mode:
                     rule = "updates" if model.task != "regression" else "regression"
                     trees, used = early_stop.grow_until_stable(fit, config, edges, p, self.tol, max(self.rf_n_estimators // 2, 3), rule)
@@ -184,18 +209,26 @@ class _Boost:
                 outs.append(trees)
                 if o == 0:
                     model.trees_used.append(used)
-                data = materialised(self._updated(data, trees, o), "boost")
+                before, data = data, materialised(self._updated(data, trees, o), "boost")
+                dropped(fit)
+                dropped(before)
             model.rounds.append(outs)
         return data
 
     def _updated(self, data: DataFrame, trees: Trees, output: int) -> DataFrame:
-        sent, rate = data.sparkSession.sparkContext.broadcast(trees.arrays()), self.learning_rate
+        """data with the rate times the trees' mean added to f, by bins where it holds them."""
+        one = BoostModel("", [], 0, self.learning_rate, [])
+        one.rounds = [[trees]]
+        model = one._sent(data.sparkSession)
+        features, cut = ("b", "bin") if "b" in data.columns else ("x", "threshold")
 
         def run(batches):
-            for pdf in batches:
+            for pdf in chunks(batches, len(model) > 1):
                 if len(pdf):
-                    x, f = matrix(pdf["x"]), matrix(pdf["f"])
-                    f[:, output] += rate * sum(t["value"][descend(t, x)] for t in sent.value) / len(sent.value)
+                    x, f = matrix(pdf[features]), matrix(pdf["f"])
+                    for parts in blocks_of(model):
+                        for _, rate, own in parts:
+                            f[:, output] += rate * sum(t["value"][descend(t, x, cut)] for t in own)
                     pdf = pdf.assign(f=list(f))
                 yield pdf
 

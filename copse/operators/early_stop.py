@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from copse.functions.scalar import sigmoid, wilson
 from copse.operators.binning import matrix
 from copse.operators.grow import Trees, descend, grow
+from copse.operators.score import blocks_of, sent
 
 SHARE, Z = 0.90, 1.96
 #: Values (rows x trees x classes) that a task holds at a time.
@@ -93,12 +94,14 @@ def _running(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def row_report(data: DataFrame, trees: Trees, rule: str) -> DataFrame:
-    """(c, stable, max_change) of the rule "votes", "regression" or "updates" over rows with features x.
+    """(c, stable, max_change) of the rule "votes", "regression" or "updates" over rows with features x, or their bins b.
 
     The same figures as stability_votes, stability_regression and stability_updates of all rows' predictions.
     """
     spark, n_classes = data.sparkSession, max(trees.config.n_classes or 2, 2)
-    model = spark.sparkContext.broadcast(trees.arrays())
+    model, ids = sent(spark, trees), trees.tree_ids
+    features, cut = ("x", "threshold") if "x" in data.columns else ("b", "bin")
+    place = {t: i for i, t in enumerate(ids)}
 
     def scan(count):
         """Sums, by number of trees, of what count(values) says: (stable, least mean, largest mean, largest change)."""
@@ -107,14 +110,18 @@ def row_report(data: DataFrame, trees: Trees, rule: str) -> DataFrame:
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x, parts = matrix(pdf["x"]), model.value
-                step = max(1, CELLS // (len(parts) * n_classes))
+                x = matrix(pdf[features])
+                step = max(1, CELLS // (len(ids) * n_classes))
                 for at in range(0, len(x), step):
-                    v = np.stack([t["value"][descend(t, x[at : at + step])] for t in parts], axis=1)
+                    own = x[at : at + step]
+                    v = np.zeros((len(own), len(ids)))
+                    for parts in blocks_of(model):
+                        for t in parts:
+                            v[:, place[int(t["tree_id"])]] += t["value"][descend(t, own, cut)]
                     ok, lo, hi, change = count(v)
                     yield pd.DataFrame({"c": np.arange(1, v.shape[1] + 1), "rows": len(v), "ok": ok, "lo": lo, "hi": hi, "change": change})
 
-        got = data.select("x").mapInPandas(run, "c int, rows long, ok long, lo double, hi double, change double")
+        got = data.select(features).mapInPandas(run, "c int, rows long, ok long, lo double, hi double, change double")
         return got.groupBy("c").agg(F.sum("rows").alias("rows"), F.sum("ok").alias("ok"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("change").alias("change"))
 
     def votes(v):
@@ -157,9 +164,9 @@ def grow_until_stable(data: DataFrame, config, edges, n_features: int, tol: floa
     out = Trees(config, edges, n_features)
     for at in range(0, n, batch):
         more = grow(data, copy(config), edges, n_features, list(range(at, min(n, at + batch))))
-        out.nodes |= more.nodes
+        out.add(more)
         used = first_stable(row_report(data, out, rule), least, 0.0 if config.classification else tol).first()["trees_used"]
         if used is not None:
-            out.nodes = {k: v for k, v in out.nodes.items() if k[0] < used}
+            out.keep(used)
             return out, int(used)
     return out, n

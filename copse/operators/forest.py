@@ -12,6 +12,9 @@ from copse.operators.grow import TreeConfig, Trees, grow, prepared
 from copse.sources.frames import free_name, training_frame
 
 
+FINISH_ROWS = TreeConfig.finish_rows
+
+
 @dataclass
 class ForestModel:
     trees: Trees
@@ -36,6 +39,8 @@ class ForestModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds prediction, and probability for a classifier. Works on streaming frames; other columns stay, whatever their names, but for those two."""
+        if not self.is_fitted:
+            raise ValueError("the model has not been fitted")
         cls, x = self.trees.config.classification, free_name(df, "x")
         own = df.drop("prediction", "probability").withColumn(x, F.array(*[F.col(c).cast("double") for c in self.features]))
         out = score.ensemble(own, self.trees, "probability" if cls else "prediction", x).drop(x)
@@ -49,10 +54,10 @@ class ForestModel:
         return self.trees.table(spark)
 
     def get_depth(self) -> int:
-        return max(n.depth for n in self.trees.nodes.values())
+        return self.trees.depth()
 
     def get_n_leaves(self) -> int:
-        return sum(n.is_leaf for n in self.trees.nodes.values())
+        return self.trees.n_leaves()
 
     def feature_importances(self) -> list[float]:
         return importances(self.trees)
@@ -60,12 +65,12 @@ class ForestModel:
 
 def importances(trees: Trees) -> list[float]:
     """Shares of samples over internal nodes; features beyond the first tree's largest are left out."""
-    first = [n.feature for (t, _), n in trees.nodes.items() if t == min(k for k, _ in trees.nodes) and not n.is_leaf]
-    width = max(first, default=0) + 1
+    widest = trees.widest_feature(trees.tree_ids[0])
+    width = (widest or 0) + 1
     total = [0.0] * width
-    for n in trees.nodes.values():
-        if not n.is_leaf and n.feature < width:
-            total[n.feature] += n.samples
+    for f, n in trees.samples_by_feature().items():
+        if f < width:
+            total[f] += n
     s = sum(total)
     return [t / s if s else 0.0 for t in total]
 
@@ -81,6 +86,7 @@ class _Forest:
     min_samples_leaf: int = 1
     async_mode: bool = False
     tol: float = 0.0
+    finish_rows: int = FINISH_ROWS
     classification = True
 
     def fit(self, df: DataFrame, features: list[str], target: str, row_id: str, weight: str | None = None) -> ForestModel:
@@ -89,8 +95,8 @@ class _Forest:
         if weight:
             validate.check_weights(df, weight)
         k = validate.check_labels(df, target) if self.classification else 2
-        boot = "exact" if self.bootstrap is True else self.bootstrap
-        config = TreeConfig(self.classification, k, self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf, validate.max_features(self.max_features, len(features)), bootstrap=boot, seed=self.random_state)
+        boot = "rows" if self.bootstrap is True else self.bootstrap
+        config = TreeConfig(self.classification, k, self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf, validate.max_features(self.max_features, len(features)), bootstrap=boot, seed=self.random_state, finish_rows=self.finish_rows)
         edges = binning.edge_lists(binning.bin_edges(frame))
         data = prepared(frame, config, edges)
         if not self.async_mode:
@@ -121,6 +127,7 @@ class DecisionTree:
     min_samples_split: int = 2
     min_samples_leaf: int = 1
     splitter: str = "exact"
+    finish_rows: int = FINISH_ROWS
 
     def fit(self, df: DataFrame, features: list[str], target: str, row_id: str, weight: str | None = None) -> ForestModel:
         if self.task not in ("classification", "regression"):
@@ -130,6 +137,6 @@ class DecisionTree:
         if weight:
             validate.check_weights(df, weight)
         cls = self.task == "classification"
-        config = TreeConfig(cls, validate.check_labels(df, target) if cls else 2, 1, self.max_depth, self.min_samples_split, self.min_samples_leaf, exact=self.splitter == "exact", seed=self.random_state)
+        config = TreeConfig(cls, validate.check_labels(df, target) if cls else 2, 1, self.max_depth, self.min_samples_split, self.min_samples_leaf, exact=self.splitter == "exact", seed=self.random_state, finish_rows=self.finish_rows)
         edges = None if config.exact else binning.edge_lists(binning.bin_edges(frame))
         return ForestModel(grow(prepared(frame, config, edges), config, edges, len(features)), features, 1, 1)

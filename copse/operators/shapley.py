@@ -37,6 +37,8 @@ def covers(trees: Trees, frame: DataFrame) -> dict[int, float]:
 
 def leaf_paths(trees: Trees, cover: dict[int, float]) -> list[tuple[list[float], list[tuple[int, float, float, float]]]]:
     """For each leaf: its outputs, and per feature of its path (feature, low, high, share of cover): low < x <= high."""
+    if trees.rest is not None or any(i < 0 for _, i in trees.nodes):
+        raise ValueError("attributions need a tree that the driver holds, of at most 61 levels: set max_depth or min_samples_leaf")
     out = []
     for (t, i), n in trees.nodes.items():
         if t != 0 or not n.is_leaf:

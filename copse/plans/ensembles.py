@@ -90,7 +90,7 @@ def boost_residual_round1(spark, sf):
 
 def _boosted(spark, sf, **kw):
     d = orders_frame(spark, sf)
-    return d, BoostClassifier(**{"n_estimators": 2, "rf_n_estimators": 4, "rf_max_depth": 3, "random_state": 5} | kw).fit(d, FS, "y", "rid")
+    return d, BoostClassifier(**{"n_estimators": 2, "rf_n_estimators": 4, "rf_max_depth": 3, "bootstrap": "exact", "random_state": 5} | kw).fit(d, FS, "y", "rid")
 
 
 def _boost_sql(final: str, rounds: int = 2, n_trees: int = 4, depth: int = 3, seed: int = 5, **kw) -> str:
@@ -103,12 +103,29 @@ def _boost_sql(final: str, rounds: int = 2, n_trees: int = 4, depth: int = 3, se
     return o.kept(o.query(*parts, final=final))
 
 
-@query(_boost_sql("SELECT rid, round(1 / (1 + exp(-f)), 6) AS p1, CAST(1 / (1 + exp(-f)) > 0.5 AS INT) AS prediction FROM f2s"))
+def _recursive_boost_sql(final: str, rounds: int = 2, n_trees: int = 4, depth: int = 3, seed: int = 5) -> str:
+    """The same rows as _boost_sql, each round's trees grown by one recursive step, so that the plan stays short."""
+    parts = [o.frame_sql("orders"), _PRIOR, o.long_sql(4), o.EDGES, o.BINNED, "f0s AS (SELECT rid, f FROM fr, pr)"]
+    for r in range(1, rounds + 1):
+        parts.append(f"tg{r} AS (SELECT rid, (y - p) / (p * (1 - p)) AS y, w * p * (1 - p) AS w FROM (SELECT fr.rid, fr.y, fr.w, least(greatest(1 / (1 + exp(-s.f)), 1e-5), 1 - 1e-5) AS p FROM fr JOIN f{r - 1}s s ON s.rid = fr.rid))")
+        parts += o.bagged_mean_sql("abcdef"[r - 1], seed + 1000 * (r - 1), n_trees, depth, f"tg{r}")
+        parts.append(f"f{r}s AS (SELECT s.rid, s.f + 0.1 * m.v AS f FROM f{r - 1}s s JOIN {'abcdef'[r - 1]}mean m ON m.rid = s.rid)")
+    return o.query(*parts, final=final, recursive=True)
+
+
+@query(_recursive_boost_sql("SELECT rid, round(1 / (1 + exp(-f)), 6) AS p1, CAST(1 / (1 + exp(-f)) > 0.5 AS INT) AS prediction FROM f2s"))
 def boost_predict_proba(spark, sf):
     d, m = _boosted(spark, sf)
     return m.transform(d.select("rid", *FS)).select("rid", r6(F.col("probability")[1], "p1"), "prediction")
 
 
+@query(_boost_sql("SELECT rid, round(1 / (1 + exp(-f)), 6) AS p1, CAST(1 / (1 + exp(-f)) > 0.5 AS INT) AS prediction FROM f2s", n_trees=2, depth=2))
+def boost_two_rounds(spark, sf):
+    """Two rounds of two trees of two levels each."""
+    d, m = _boosted(spark, sf, rf_n_estimators=2, rf_max_depth=2)
+    return m.transform(d.select("rid", *FS)).select("rid", r6(F.col("probability")[1], "p1"), "prediction")
+
+
 _CLO, _CHI = o.wilson_sql("p", "4.0")
 
 
@@ -134,7 +151,7 @@ def _softmax_sql() -> str:
 @query(_softmax_sql())
 def boost_multiclass(spark, sf):
     d = orders_frame(spark, sf).withColumn("k", F.when(F.col("status") == "F", 0).when(F.col("status") == "O", 1).otherwise(2))
-    m = BoostClassifier(n_estimators=1, rf_n_estimators=3, rf_max_depth=2, random_state=1).fit(d, FS, "k", "rid")
+    m = BoostClassifier(n_estimators=1, rf_n_estimators=3, rf_max_depth=2, bootstrap="exact", random_state=1).fit(d, FS, "k", "rid")
     return m.transform(d.select("rid", *FS)).select("rid", *[r6(F.col("probability")[k], f"p{k}") for k in range(3)], "prediction")
 
 
@@ -224,7 +241,7 @@ def _interval_sql() -> str:
 @query(_interval_sql())
 def boost_regression_ci(spark, sf):
     d = customer_frame(spark, sf)
-    m = BoostRegressor(n_estimators=1, rf_n_estimators=3, rf_max_depth=3, random_state=2).fit(d, ["f0", "f2"], "f1", "rid")
+    m = BoostRegressor(n_estimators=1, rf_n_estimators=3, rf_max_depth=3, bootstrap="exact", random_state=2).fit(d, ["f0", "f2"], "f1", "rid")
     return m.predict_ci(d.select("rid", "f0", "f2")).select("rid", r6("prediction", "prediction"), r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
 
 

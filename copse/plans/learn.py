@@ -8,6 +8,7 @@ from copse.functions.scalar import draw
 from copse.operators import binning, boost, score, split, validate
 from copse.operators.forest import DecisionTree, RandomForestClassifier, RandomForestRegressor
 from copse.operators.grow import TreeConfig, bootstrap_counts, grow, prepared
+from copse.operators.score import per_tree
 from copse.plans import oracle as o
 from copse.sources.frames import customer_frame, orders_frame, read_table, training_frame, with_rank
 
@@ -339,7 +340,7 @@ _FOREST = (
 
 def _stump_forest(spark, sf):
     d = customer_frame(spark, sf)
-    return d, RandomForestClassifier(n_estimators=5, max_depth=1, random_state=7).fit(d, CS, "y", "rid")
+    return d, RandomForestClassifier(n_estimators=5, max_depth=1, bootstrap="exact", random_state=7).fit(d, CS, "y", "rid")
 
 
 @query(o.query(*_CROWS, *_FOREST, final="SELECT rid, round(avg(p1), 6) AS p1 FROM sc GROUP BY rid"))
@@ -366,14 +367,14 @@ _ACCT = (o.frame_sql("customer").replace("fr AS", "fr0 AS", 1), "fr AS (SELECT r
 @query(o.kept(o.query(*_ACCT, *o.forest_sql("a", 1, 10, 4, "tg"), final="SELECT rid, round(v, 6) AS prediction FROM amean")))
 def forest_regressor(spark, sf):
     d = customer_frame(spark, sf)
-    m = RandomForestRegressor(n_estimators=10, max_depth=4, random_state=1).fit(d, ["f0", "f2"], "f1", "rid")
+    m = RandomForestRegressor(n_estimators=10, max_depth=4, bootstrap="exact", random_state=1).fit(d, ["f0", "f2"], "f1", "rid")
     return m.transform(d.select("rid", "f0", "f2")).select("rid", r6("prediction", "prediction"))
 
 
 @query()
 def forest_classifier_table(spark, sf):
     d = orders_frame(spark, sf)
-    return RandomForestClassifier(n_estimators=8, max_depth=4, max_features="sqrt", random_state=1).fit(d, FS, "y", "rid").table(spark)
+    return RandomForestClassifier(n_estimators=8, max_depth=4, max_features="sqrt", bootstrap="exact", random_state=1).fit(d, FS, "y", "rid").table(spark)
 
 
 _SQRT = (*_BASE, o.BINNED, "tg AS (SELECT rid, y, w FROM fr)", *o.forest_sql("a", 1, 6, 4, "tg", classification=True, pick=2))
@@ -383,14 +384,14 @@ _SQRT = (*_BASE, o.BINNED, "tg AS (SELECT rid, y, w FROM fr)", *o.forest_sql("a"
 def forest_sqrt_nodes(spark, sf):
     """Bagged trees of depth 4 with two of four features tried at each node."""
     d = orders_frame(spark, sf)
-    m = RandomForestClassifier(n_estimators=6, max_depth=4, max_features="sqrt", random_state=1).fit(d, FS, "y", "rid")
+    m = RandomForestClassifier(n_estimators=6, max_depth=4, max_features="sqrt", bootstrap="exact", random_state=1).fit(d, FS, "y", "rid")
     return m.table(spark).select("tree_id", "node_id", "feature", "bin", "samples")
 
 
 @query(o.kept(o.query(*_SQRT, final="SELECT rid, round(v, 6) AS p1, CAST(v >= 1 - v AS INT) AS predicted FROM amean")))
 def forest_sqrt_proba(spark, sf):
     d = orders_frame(spark, sf)
-    m = RandomForestClassifier(n_estimators=6, max_depth=4, max_features="sqrt", random_state=1).fit(d, FS, "y", "rid")
+    m = RandomForestClassifier(n_estimators=6, max_depth=4, max_features="sqrt", bootstrap="exact", random_state=1).fit(d, FS, "y", "rid")
     return m.transform(d.select("rid", *FS)).select("rid", r6(F.col("probability")[1], "p1"), F.col("prediction").alias("predicted"))
 
 
@@ -400,6 +401,60 @@ def forest_poisson(spark, sf):
     return RandomForestClassifier(n_estimators=6, max_depth=3, bootstrap="poisson", random_state=2).fit(d, FS, "y", "rid").table(spark)
 
 
+# --- unlimited depth -------------------------------------------------------
+
+_CUSTOMERS = (o.frame_sql("customer"), o.long_sql(3), o.EDGES, o.BINNED)
+_LEAF = """lf AS (SELECT rid, node % 16 AS tree_id, arg_max(node, depth) AS node, CAST(max(depth) AS INT) AS depth FROM arows GROUP BY rid, node % 16),
+    sh AS (SELECT lf.node, sum(a.m * fr.y) / sum(a.m) AS p1, CAST(sum(a.m) AS BIGINT) AS samples FROM lf JOIN arows a ON a.rid = lf.rid AND a.node = lf.node JOIN fr ON fr.rid = lf.rid WHERE a.m > 0 GROUP BY lf.node)"""
+
+
+def _leaves_of(model, d, names):
+    """(rid, tree_id, leaf, depth) of every row and tree."""
+    got = per_tree(training_frame(d, "rid", names, "y"), model.trees)
+    return got.select(F.col("row_id").alias("rid"), "tree_id", "leaf", (F.length(F.bin(F.col("leaf") + 1)) - 1).alias("depth"))
+
+
+@query(o.query(*_CUSTOMERS, *o.unlimited_sql("a", "SELECT rid, 0 AS node, 1 AS m FROM fr"), _LEAF, final="SELECT lf.rid, lf.node // 16 AS leaf, lf.depth, round(p1, 6) AS p1 FROM lf JOIN sh USING (node)", recursive=True))
+def tree_unlimited(spark, sf):
+    """One tree without a limit of depth."""
+    d = customer_frame(spark, sf)
+    m = DecisionTree(splitter="hist").fit(d, CS, "y", "rid")
+    return _leaves_of(m, d, CS).drop("tree_id").join(m.transform(d.select("rid", *CS)).select("rid", r6(F.col("probability")[1], "p1")), "rid")
+
+
+@query(o.query(*_CUSTOMERS, *o.unlimited_sql("a", "SELECT rid, 0 AS node, 1 AS m FROM fr", exact=True), _LEAF, final="SELECT lf.rid, lf.node // 16 AS leaf, lf.depth, round(p1, 6) AS p1 FROM lf JOIN sh USING (node)", recursive=True))
+def tree_unlimited_exact(spark, sf):
+    """The same with a split between any two values."""
+    d = customer_frame(spark, sf)
+    m = DecisionTree().fit(d, CS, "y", "rid")
+    return _leaves_of(m, d, CS).drop("tree_id").join(m.transform(d.select("rid", *CS)).select("rid", r6(F.col("probability")[1], "p1")), "rid")
+
+
+_BAGGED = "SELECT c.rid, a.tree AS node, coalesce(b.m, 0) AS m FROM cu c CROSS JOIN range(0, 3) a(tree) LEFT JOIN (SELECT tree_id, rank, m FROM bt) b ON b.tree_id = a.tree AND b.rank = c.rank"
+
+
+@query(o.query(*_CUSTOMERS, _BOOT, *o.unlimited_sql("a", _BAGGED), _LEAF, final="SELECT lf.rid, CAST(lf.tree_id AS INT) AS tree_id, lf.node // 16 AS leaf, lf.depth FROM lf", recursive=True))
+def forest_unlimited_leaves(spark, sf):
+    """Leaves of bagged trees without a limit of depth, of rows in the bag and out of it."""
+    d = customer_frame(spark, sf)
+    m = RandomForestClassifier(n_estimators=3, bootstrap="exact", random_state=7).fit(d, CS, "y", "rid")
+    return _leaves_of(m, d, CS)
+
+
+@query("SELECT CAST(t AS INT) AS tree_id, (SELECT count(*) FROM orders) AS drawn, (SELECT count(*) FROM orders) AS in_leaves, true AS kids_sum_to_parents FROM range(0, 100) r(t)")
+def forest_unlimited(spark, sf):
+    """The default forest: 100 trees without a limit of depth, draws made in the row. Each tree has n draws, all in its leaves, and every split keeps its node's draws."""
+    d = orders_frame(spark, sf)
+    m = RandomForestClassifier(random_state=4).fit(d, FS, "y", "rid")
+    t = m.table(spark)
+    kids = t.select("tree_id", F.col("node_id").alias("kid"), F.col("samples").alias("n"))
+    inner = t.filter("not is_leaf").select("tree_id", "node_id", "samples", F.explode(F.array("left_id", "right_id")).alias("kid")).join(kids, ["tree_id", "kid"], "left")
+    sums = inner.groupBy("tree_id", "node_id").agg(F.first("samples").alias("samples"), F.sum("n").alias("n")).groupBy("tree_id").agg(F.bool_and(F.col("samples") == F.col("n")).alias("ok"))
+    root = F.max(F.when(F.col("node_id") == 0, F.col("samples")))
+    by_tree = t.groupBy("tree_id").agg(root.alias("drawn"), F.sum(F.when(F.col("is_leaf"), F.col("samples")).otherwise(0)).alias("in_leaves"))
+    return by_tree.join(sums, "tree_id", "left").select("tree_id", "drawn", "in_leaves", F.coalesce("ok", F.lit(True)).alias("kids_sum_to_parents"))
+
+
 @query(f"SELECT o_orderkey AS rid, {o.draw_sql(11, 'o_orderkey')} AS h FROM orders")
 def portable_draws(spark, sf):
     return orders_frame(spark, sf).select("rid", draw(11, F.col("rid")).alias("h"))

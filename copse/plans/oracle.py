@@ -104,10 +104,40 @@ def forest_sql(p: str, seed: int, n_trees: int, depth: int, target: str, classif
     return out
 
 
+def unlimited_sql(p: str, start: str, exact: bool = False, target: str = "fr", classification: bool = True, depth: int | None = None) -> list[str]:
+    """Trees grown until no split is left (or to a depth), over bn and target (rid, y, w), as one recursive step: p..rows(rid, node, depth, m) has every node that a row passes.
+
+    start: rows (rid, node, m) at the roots; a node is its tree's number plus 16 times its heap id.
+    """
+    key = "v" if exact else "bin"
+    sums = [f"sum(CASE WHEN t.y = {k} THEN t.w * st.m ELSE 0.0 END)" for k in (0, 1)] if classification else ["sum(t.w * st.m * t.y)", "sum(t.w * st.m * t.y * t.y)"]
+    cols = ", ".join(f"{x} AS s{i}" for i, x in enumerate(sums))
+    hist = f"h AS (SELECT st.node, bn.feature, bn.{key} AS bin, CAST(sum(st.m) AS BIGINT) AS n, sum(t.w * st.m) AS w, {cols} FROM {p}rows st JOIN bn USING (rid) JOIN {target} t USING (rid) WHERE st.m > 0 GROUP BY ALL)"
+    child = f"CAST((st.node % 16) + 16 * (2 * (st.node // 16) + CASE WHEN x.{key} <= b.thr THEN 1 ELSE 2 END) AS BIGINT)"
+    step = f"WITH {hist}, {cand_sql(2, classification, exact, name='c', hist='h')} SELECT st.rid, {child}, st.depth + 1, st.m FROM {p}rows st JOIN cbest b ON b.node = st.node JOIN bn x ON x.rid = st.rid AND x.feature = b.feature"
+    if depth is not None:
+        step += f" WHERE st.depth < {depth}"
+    return [f"{p}rows(rid, node, depth, m) AS (SELECT rid, CAST(node AS BIGINT), 0, CAST(m AS BIGINT) FROM ({start}) UNION ALL SELECT * FROM ({step}))"]
+
+
+def bagged_mean_sql(p: str, seed: int, n_trees: int, depth: int, target: str) -> list[str]:
+    """p..mean(rid, v): the mean over bagged regression trees of each row's leaf value, by one recursive step."""
+    start = f"SELECT c.rid, a.tree AS node, coalesce(b.m, 0) AS m FROM {p}cu c CROSS JOIN range(0, {n_trees}) a(tree) LEFT JOIN {p}bt b ON b.tree = a.tree AND b.rank = c.rank"
+    return [
+        f"{p}cu AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS rank, count(*) OVER () AS n FROM {target})",
+        f"{p}dr AS (SELECT CAST(id // n AS INT) AS tree, {draw_sql(seed, chr(39) + 'boot' + chr(39), 'id')} % n AS rank FROM (SELECT DISTINCT n FROM {p}cu), range(0, {n_trees} * (SELECT count(*) FROM {target})) t(id))",
+        f"{p}bt AS (SELECT tree, rank, count(*) AS m FROM {p}dr GROUP BY ALL)",
+        *unlimited_sql(p, start, target=target, classification=False, depth=depth),
+        f"{p}lf AS (SELECT rid, node % 16 AS tree, arg_max(node, depth) AS node FROM {p}rows GROUP BY rid, node % 16)",
+        f"{p}lv AS (SELECT l.node, sum(t.w * r.m * t.y) / sum(t.w * r.m) AS v FROM {p}lf l JOIN {p}rows r ON r.rid = l.rid AND r.node = l.node JOIN {target} t ON t.rid = l.rid WHERE r.m > 0 GROUP BY l.node)",
+        f"{p}mean AS (SELECT l.rid, avg(v.v) AS v FROM {p}lf l JOIN {p}lv v USING (node) GROUP BY l.rid)",
+    ]
+
+
 def kept(sql: str) -> str:
     """The same query with each named step computed once."""
     return sql.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
 
 
-def query(*ctes: str, final: str) -> str:
-    return "WITH " + ", ".join(ctes) + " " + final
+def query(*ctes: str, final: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(ctes) + " " + final

@@ -40,6 +40,8 @@ def to_dict(model, spark) -> dict:
     """A boosted model as a nested dict."""
     if not model.rounds:
         raise ValueError("the model has not been fitted")
+    if not model.table(spark).filter("node_id < 0").isEmpty():
+        raise ValueError("the nested form is for trees of at most 61 levels: set max_depth or min_samples_leaf")
     rounds = nested_trees(model.table(spark)).first()["rounds"]
     out = {"task": model.task, "n_outputs": model.n_outputs, "learning_rate": model.learning_rate, "init": list(model.init), "n_estimators": len(model.rounds), "rounds": [{"outputs": [{"trees": [t.asDict(True) for t in o["trees"]]} for o in r["outputs"]]} for r in rounds]}
     return out | ({"conformal_quantile": model.conformal_quantile} if model.task == "regression" else {"n_classes": model.n_classes})

@@ -34,7 +34,18 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that loops don't grow the lineage."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialised`` wrote and nothing reads any more; others are left alone."""
+    path = getattr(df, "stored_at", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def with_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
