@@ -20,6 +20,7 @@ empty table gives no rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 
 from copse.llm.common import give_back, held, stored
 
-CAPACITY, END_ID, RUN_CHARS, NEW_WORDS = 1024, 2, 1 << 20, 2000
+CAPACITY, END_ID, RUN_CHARS, LINE_WORDS = 1024, 2, 1 << 20, 500
 #: Bound of a word table, and what an entry takes beside its two strings.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 150
+CACHE_BYTES, ENTRY_BYTES = 160 << 20, 150
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, width int, ids_crc32 long, task int, nth long"
 
@@ -201,7 +202,7 @@ def places(bins: list[Bins]) -> dict[int, np.ndarray]:
 
 @cache
 def loaded(path: str):
-    """The tokenizer, once a worker process."""
+    """(tokenizer, type of an id, pattern of special tokens, which ids begin with a space): once a worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -212,66 +213,107 @@ def loaded(path: str):
     if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
         raise ValueError("added tokens that take in or ask for their surroundings aren't supported")
     special = re.compile("(" + "|".join(re.escape(t.content) for t in added) + ")") if added else None
-    return tok, "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4", special
-
-
-#: White space that isn't a single space before other than white space: such a run is not cut.
-UNCUT = re.compile(r" (?=\s)| $")
+    vocab = tok.get_vocab()
+    begins = np.zeros(max(vocab.values()) + 1, bool)
+    begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the byte-level sign of a space
+    return tok, "<u2" if len(begins) <= 1 << 16 else "<u4", special, begins
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian bytes, through a table of words with the space before them."""
+    """Ids of whole texts as little-endian bytes, through a table of words with the space before them.
+
+    New words are encoded a line at a time. An id that begins with a space begins
+    a word of the line; where these don't add up, words are encoded one by one.
+    """
 
     def __init__(self, path: str):
-        self.tok, self.dtype, self.special = loaded(path)
+        self.tok, self.dtype, self.special, self.begins = loaded(path)
         self.known: dict[str, bytes] = {}
         self.size = 0
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _line(self, words: list[str]) -> list[bytes]:
+        ids = self._ids(" " + " ".join(words))
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != len(words) or first[0]:
+            return [self._ids(" " + w).tobytes() for w in words]
+        raw, cuts = ids.tobytes(), [*(first * ids.itemsize).tolist(), ids.nbytes]
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
-    def _learn(self, words) -> None:
+    def _learn(self, words: list[str]) -> None:
         if self.size > CACHE_BYTES:
             self.known.clear()
             self.size = 0
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), NEW_WORDS):
-            own = new[at : at + NEW_WORDS]
-            for w, ids in zip(own, self._ids([" " + w for w in own]), strict=True):
-                self.known[w] = ids
-                self.size += len(w) + len(ids) + ENTRY_BYTES
-
-    def _run(self, text: str) -> bytes:
-        """Ids of a run of text that starts a document or with a space that may be cut."""
-        head, *words = text.split(" ")
-        if UNCUT.search(text):  # join the pieces again whose space isn't followed by other than white space
-            merged = [head]
-            for w in words:
-                if w and not w[0].isspace():
-                    merged.append(w)
-                else:
-                    merged[-1] += " " + w
-            head, *words = merged
-        self._learn(set(words))
-        return (self._ids([head])[0] if head else b"") + b"".join(map(self.known.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        if self.special and self.special.search(text):  # the tokenizer takes these out first, too
-            return b"".join(self._ids([x])[0] if k % 2 else self._plain(x) for k, x in enumerate(self.special.split(text)))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if len(text) <= RUN_CHARS:
-            return self._run(text)
+        for at in range(0, len(words), LINE_WORDS):
+            own = words[at : at + LINE_WORDS]
+            found = self._line(own)
+            self.known.update(zip(own, found, strict=True))
+            self.size += sum(map(len, own)) + sum(map(len, found)) + ENTRY_BYTES * len(own)
+
+    def _settle(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of text, each of which starts a document or with a space that may be cut."""
+        split = [r.split(" ") for r in runs]
+        fresh = set().union(*(r[1:] for r in split)).difference(self.known)
+        if any(not w or w[0].isspace() for w in fresh):  # a space that isn't followed by other than white space isn't cut
+            split = [self._merged(r) for r in split]
+            fresh = set().union(*(r[1:] for r in split)).difference(self.known)
+        if self.size > CACHE_BYTES:
+            fresh = set().union(*(r[1:] for r in split))
+        self._learn(list(fresh))
+        return [(self._ids(r[0]).tobytes() if r[0] else b"") + b"".join(map(self.known.__getitem__, r[1:])) for r in split]
+
+    def _merged(self, words: list[str]) -> list[str]:
+        out = words[:1]
+        for w in words[1:]:
+            if w and not w[0].isspace():
+                out.append(w)
+            else:
+                out[-1] += " " + w
+        return out
+
+    def _runs(self, text: str) -> list[str]:
+        """The text in runs of about RUN_CHARS, cut at spaces that may be cut."""
         out, at = [], 0
         while at < len(text):
             end = at + RUN_CHARS
             while (end := text.find(" ", end)) >= 0 and (end + 1 == len(text) or text[end + 1].isspace()):
                 end += 1
             end = len(text) if end < 0 else end
-            out.append(self._run(text[at:end]))
+            out.append(text[at:end])
             at = end
-        return b"".join(out)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; as many texts as RUN_CHARS allows share a round of new words."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def settle():
+            for (k, _), ids in zip(held, self._settle([r for _, r in held]), strict=True):
+                out[k].append(ids)
+            held.clear()
+
+        for k, text in enumerate(texts):
+            # the tokenizer takes special tokens out first, too
+            for j, part in enumerate(self.special.split(text) if self.special else [text]):
+                if j % 2:
+                    settle()
+                    out[k].append(self._ids(part).tobytes())
+                    continue
+                for run in self._runs(part):
+                    held.append((k, run))
+                    size += len(run)
+                    if size >= RUN_CHARS:
+                        settle()
+                        size = 0
+        settle()
+        return [b"".join(x) for x in out]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def _cut(path: str, capacity: int, end_id: int):
@@ -286,14 +328,14 @@ def _cut(path: str, capacity: int, end_id: int):
             for pdf in batches:
                 for at in range(0, len(pdf), 256):
                     rows = []
-                    for doc, text in zip(pdf["doc_id"].iloc[at : at + 256], pdf["text"].iloc[at : at + 256], strict=True):
-                        ids = np.frombuffer(enc.encode(text or "") + end, enc.dtype)
-                        cuts = np.arange(len(ids) % capacity or capacity, len(ids) + 1, capacity)
+                    own = pdf.iloc[at : at + 256]
+                    for doc, body in zip(own["doc_id"], enc.encode_all([t or "" for t in own["text"]]), strict=True):
+                        ids = np.frombuffer(body + end, enc.dtype)
+                        cuts = range(len(ids) % capacity or capacity, len(ids) + 1, capacity)
                         doc = None if pd.isna(doc) else int(doc)
                         for k, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True)):
-                            own = ids[a:b]
-                            n = len(own)
-                            rows.append((doc, k, a, n, own.tobytes(), width, zlib.crc32(own.astype("<u4")), task, seen[n]))
+                            n = b - a
+                            rows.append((doc, k, a, n, ids[a:b].tobytes(), width, zlib.crc32(ids[a:b].astype("<u4")), task, seen[n]))
                             seen[n] += 1
                     yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
         finally:
@@ -342,5 +384,5 @@ def sequences(found: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; packed(cut.drop("ids")) will do, and moves no ids."""
     return found.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

@@ -64,7 +64,8 @@ def op11_audit_filters(spark, sf_dir):
 
 
 def op12_pack_sequences(spark, sf_dir):
-    return packing.report(packing.packed(packing.pieces(table(spark, sf_dir, "documents"), vocabulary_path(PACKING_TOKENIZER))))
+    cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary_path(PACKING_TOKENIZER))
+    return packing.report(packing.packed(cut.drop("ids", "width")))
 
 
 def op13_cluster_embeddings(spark, sf_dir):
