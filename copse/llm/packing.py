@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from copse.llm.common import give_back, held, stored
 
-CAPACITY, END_ID, RUN_CHARS, LINE_WORDS = 1024, 2, 1 << 20, 500
+CAPACITY, END_ID, RUN_CHARS, LINE_WORDS, DOCS = 1024, 2, 1 << 22, 500, 1024
 #: Bound of a word table, and what an entry takes beside its two strings.
-CACHE_BYTES, ENTRY_BYTES = 160 << 20, 150
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 150
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, width int, ids_crc32 long, task int, nth long"
 
@@ -224,45 +224,65 @@ class TextEncoder:
 
     New words are encoded a line at a time. An id that begins with a space begins
     a word of the line; where these don't add up, words are encoded one by one.
+    The table has two generations of half its bound: words that are met stay in or
+    move to the younger, and when that is full the older one goes.
     """
 
     def __init__(self, path: str):
         self.tok, self.dtype, self.special, self.begins = loaded(path)
         self.known: dict[str, bytes] = {}
-        self.size = 0
+        self.older: dict[str, bytes] = {}
+        self.size = 0  # bytes in the younger generation
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _line(self, words: list[str]) -> list[bytes]:
-        ids = self._ids(" " + " ".join(words))
+    def _line(self, line: str, words: list[str]) -> list[bytes]:
+        ids = self._ids(line)
         first = np.flatnonzero(self.begins[ids])
         if len(first) != len(words) or first[0]:
             return [self._ids(" " + w).tobytes() for w in words]
         raw, cuts = ids.tobytes(), [*(first * ids.itemsize).tolist(), ids.nbytes]
         return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
-    def _learn(self, words: list[str]) -> None:
-        if self.size > CACHE_BYTES:
-            self.known.clear()
-            self.size = 0
-        for at in range(0, len(words), LINE_WORDS):
-            own = words[at : at + LINE_WORDS]
-            found = self._line(own)
-            self.known.update(zip(own, found, strict=True))
-            self.size += sum(map(len, own)) + sum(map(len, found)) + ENTRY_BYTES * len(own)
+    def _keep(self, words: list[str], ids: list[bytes], chars: int) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.size += chars + sum(map(len, ids)) + ENTRY_BYTES * len(words)
+
+    def _learn(self, fresh: set[str]) -> None:
+        old = [w for w in fresh if w in self.older]
+        self._keep(old, [self.older[w] for w in old], sum(map(len, old)))
+        new = list(fresh.difference(self.older))
+        for at in range(0, len(new), LINE_WORDS):
+            own = new[at : at + LINE_WORDS]
+            line = " " + " ".join(own)
+            self._keep(own, self._line(line, own), len(line))
 
     def _settle(self, runs: list[str]) -> list[bytes]:
         """Ids of runs of text, each of which starts a document or with a space that may be cut."""
+        if self.size > CACHE_BYTES // 2:
+            self.known, self.older, self.size = {}, self.known, 0
         split = [r.split(" ") for r in runs]
-        fresh = set().union(*(r[1:] for r in split)).difference(self.known)
-        if any(not w or w[0].isspace() for w in fresh):  # a space that isn't followed by other than white space isn't cut
+        found, fresh = self._look(split)
+        if any(not c or c.isspace() for c in {w[:1] for w in fresh}):  # a space that isn't followed by other than white space isn't cut
             split = [self._merged(r) for r in split]
-            fresh = set().union(*(r[1:] for r in split)).difference(self.known)
-        if self.size > CACHE_BYTES:
-            fresh = set().union(*(r[1:] for r in split))
-        self._learn(list(fresh))
-        return [(self._ids(r[0]).tobytes() if r[0] else b"") + b"".join(map(self.known.__getitem__, r[1:])) for r in split]
+            found, fresh = self._look(split)
+        self._learn(fresh)
+        known = self.known
+        for words, ids in zip(split, found, strict=True):
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                ids[i] = known[words[i]]
+        heads = self.tok.encode_batch_fast([r[0] for r in split], add_special_tokens=False)
+        for h, ids in zip(heads, found, strict=True):
+            ids[0] = np.array(h.ids, self.dtype).tobytes()
+        return [b"".join(ids) for ids in found]
+
+    def _look(self, split: list[list[str]]) -> tuple[list[list], set[str]]:
+        """The ids of each run's words as far as they are known, and the words that aren't; a run's first word is told later."""
+        found = [list(map(self.known.get, r)) for r in split]
+        for ids in found:
+            ids[0] = b""
+        return found, {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
 
     def _merged(self, words: list[str]) -> list[str]:
         out = words[:1]
@@ -326,9 +346,9 @@ def _cut(path: str, capacity: int, end_id: int):
         columns = [c.split()[0] for c in PIECES.split(", ")]
         try:
             for pdf in batches:
-                for at in range(0, len(pdf), 256):
+                for at in range(0, len(pdf), DOCS):
                     rows = []
-                    own = pdf.iloc[at : at + 256]
+                    own = pdf.iloc[at : at + DOCS]
                     for doc, body in zip(own["doc_id"], enc.encode_all([t or "" for t in own["text"]]), strict=True):
                         ids = np.frombuffer(body + end, enc.dtype)
                         cuts = range(len(ids) % capacity or capacity, len(ids) + 1, capacity)
