@@ -3,8 +3,9 @@
 The rules are running votes, or running mean and variance, by tree order: as
 window queries over a table (row_id, tree_id, value), and, while trees grow, as
 ``row_report`` inside the pass that scores the rows, which returns sums for each
-number of trees and shuffles no row. Growing in fixed batches makes the result
-the same every time.
+number of trees and shuffles no row. Between batches of trees each row keeps its
+votes, or its sum and sum of squares, so a batch scores its own trees only.
+Growing in fixed batches makes the result the same every time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from copse.functions.scalar import sigmoid, wilson
 from copse.operators.binning import matrix
 from copse.operators.grow import Trees, descend, grow
 from copse.operators.score import blocks_of, sent
+from copse.sources.frames import dropped, materialised
 
 SHARE, Z = 0.90, 1.96
 #: Values (rows x trees x classes) that a task holds at a time.
@@ -82,70 +84,115 @@ def _interval(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum((centre - half) / scale, 0.0), np.minimum((centre + half) / scale, 1.0)
 
 
-def _running(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, sample variance and change of the mean after each column of v (rows x trees)."""
-    c = np.arange(1, v.shape[1] + 1)
-    off = v - v[:, :1]  # so that squares lose no digits
-    mean = np.cumsum(off, axis=1) / c
-    var = np.maximum(np.cumsum(off * off, axis=1) - c * mean * mean, 0.0) / np.maximum(c - 1, 1)
-    change = np.zeros_like(v)
-    change[:, 1:] = np.abs(off[:, 1:] - mean[:, :-1]) / c[1:]
-    return mean + v[:, :1], var, change
-
-
-def row_report(data: DataFrame, trees: Trees, rule: str) -> DataFrame:
+def _running(v: np.ndarray, state: np.ndarray | None = None, seen: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, sample variance and change of the mean after each column of v (rows x trees), beyond the seen trees of state."""
+    c = seen + np.arange(1, v.shape[1] + 1)
+    first = v[:, :1] if state is None else state[:, :1]
+    s1, s2 = (0.0, 0.0) if state is None else (state[:, 1:2], state[:, 2:3])
+    off = v - first  # so that squares lose no digits
+    s1, s2 = s1 + np.cumsum(off, axis=1), s2 + np.cumsum(off * off, axis=1)
+    mean = s1 / c
+    var = np.maximum(s2 - c * mean * mean, 0.0) / np.maximum(c - 1, 1)
+    before = np.concatenate([np.zeros((len(v), 1)) if state is None else state[:, 1:2] / max(seen, 1), mean[:, :-1]], axis=1)
+    change = np.abs(off - before) / c
+    return mean + first, var, change
+
+
+def _merged(v: np.ndarray, state: np.ndarray | None, n_classes: int | None) -> np.ndarray:
+    """The state of each row with the values v added: votes by class, or (first value, sum and sum of squares of distances from it)."""
+    if n_classes:
+        votes = (v[:, :, None] == np.arange(n_classes)).sum(axis=1).astype(float)
+        return votes if state is None else state + votes
+    first = v[:, :1] if state is None else state[:, :1]
+    off = v - first
+    sums = np.stack([off.sum(axis=1), (off * off).sum(axis=1)], axis=1)
+    return np.concatenate([first, sums if state is None else state[:, 1:] + sums], axis=1)
+
+
+class Scoring:
+    """Values of trees for rows with features x, or their bins b, and with the state that earlier trees have left, if any."""
+
+    def __init__(self, data: DataFrame, trees: Trees):
+        self.model, self.ids = sent(data.sparkSession, trees), trees.tree_ids
+        self.features, self.cut = ("x", "threshold") if "x" in data.columns else ("b", "bin")
+        self.has_state = "state" in data.columns
+        self.columns = [self.features, *(["state"] if self.has_state else [])]
+        self.n_classes = max(trees.config.n_classes or 2, 2)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        v = np.zeros((len(x), len(self.ids)))
+        place = {t: i for i, t in enumerate(self.ids)}
+        for parts in blocks_of(self.model):
+            for t in parts:
+                v[:, place[int(t["tree_id"])]] += t["value"][descend(t, x, self.cut)]
+        return v
+
+    def pieces(self, batches):
+        """(rows' features, values, states) of at most CELLS values each."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = matrix(pdf[self.features])
+            state = matrix(pdf["state"]) if self.has_state else None
+            step = max(1, CELLS // (len(self.ids) * self.n_classes))
+            for at in range(0, len(x), step):
+                yield pdf[self.features].iloc[at : at + step], self.values(x[at : at + step]), None if state is None else state[at : at + step]
+
+
+def merged_state(data: DataFrame, trees: Trees, rule: str) -> DataFrame:
+    """The rows' features with their state, after these trees are added."""
+    s = Scoring(data, trees)
+    n_classes = s.n_classes if rule == "votes" else None
+
+    def run(batches):
+        for x, v, state in s.pieces(batches):
+            yield pd.DataFrame({s.features: x.to_numpy(), "state": list(_merged(v, state, n_classes))})
+
+    return data.select(s.columns).mapInPandas(run, f"{s.features} {data.schema[s.features].dataType.simpleString()}, state array<double>")
+
+
+def row_report(data: DataFrame, trees: Trees, rule: str, seen: int = 0) -> DataFrame:
     """(c, stable, max_change) of the rule "votes", "regression" or "updates" over rows with features x, or their bins b.
 
-    The same figures as stability_votes, stability_regression and stability_updates of all rows' predictions.
+    The same figures as stability_votes, stability_regression and stability_updates of all rows' predictions. With a
+    state of seen earlier trees the trees are those after them, and c goes on from there.
     """
-    spark, n_classes = data.sparkSession, max(trees.config.n_classes or 2, 2)
-    model, ids = sent(spark, trees), trees.tree_ids
-    features, cut = ("x", "threshold") if "x" in data.columns else ("b", "bin")
-    place = {t: i for i, t in enumerate(ids)}
+    s = Scoring(data, trees)
+    c = seen + np.arange(1, len(s.ids) + 1)
 
     def scan(count):
-        """Sums, by number of trees, of what count(values) says: (stable, least mean, largest mean, largest change)."""
+        """Sums, by number of trees, of what count(values, state) says: (stable, least mean, largest mean, largest change)."""
 
         def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = matrix(pdf[features])
-                step = max(1, CELLS // (len(ids) * n_classes))
-                for at in range(0, len(x), step):
-                    own = x[at : at + step]
-                    v = np.zeros((len(own), len(ids)))
-                    for parts in blocks_of(model):
-                        for t in parts:
-                            v[:, place[int(t["tree_id"])]] += t["value"][descend(t, own, cut)]
-                    ok, lo, hi, change = count(v)
-                    yield pd.DataFrame({"c": np.arange(1, v.shape[1] + 1), "rows": len(v), "ok": ok, "lo": lo, "hi": hi, "change": change})
-
-        got = data.select(features).mapInPandas(run, "c int, rows long, ok long, lo double, hi double, change double")
+            for _, v, state in s.pieces(batches):
+                ok, lo, hi, change = count(v, state)
+                yield pd.DataFrame({"c": c, "rows": len(v), "ok": ok, "lo": lo, "hi": hi, "change": change})
+
+        got = data.select(s.columns).mapInPandas(run, "c int, rows long, ok long, lo double, hi double, change double")
         return got.groupBy("c").agg(F.sum("rows").alias("rows"), F.sum("ok").alias("ok"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("change").alias("change"))
 
-    def votes(v):
-        c = np.arange(1, v.shape[1] + 1)
-        shares = np.sort(np.cumsum(v[:, :, None] == np.arange(n_classes), axis=1) / c[:, None], axis=2)
+    def votes(v, state):
+        counts = np.cumsum(v[:, :, None] == np.arange(s.n_classes), axis=1) + (0 if state is None else state[:, None])
+        shares = np.sort(counts / c[:, None], axis=2)
         ok = _interval(shares[..., -1], c)[0] > _interval(shares[..., -2], c)[1]
         return ok.sum(axis=0), 0.0, 0.0, 0.0
 
-    def updates(v):
-        mean, _, change = _running(v)
-        lo, hi = _interval(np.clip(1 / (1 + np.exp(-np.clip(mean, -700, 700))), 1e-6, 1 - 1e-6), np.arange(1, v.shape[1] + 1))
+    def updates(v, state):
+        mean, _, change = _running(v, state, seen)
+        lo, hi = _interval(np.clip(1 / (1 + np.exp(-np.clip(mean, -700, 700))), 1e-6, 1 - 1e-6), c)
         return ((hi < 0.5) | (lo > 0.5)).sum(axis=0), 0.0, 0.0, change.max(axis=0)
 
-    def spans(v):
-        mean, _, change = _running(v)
+    def spans(v, state):
+        mean, _, change = _running(v, state, seen)
         return 0, mean.min(axis=0), mean.max(axis=0), change.max(axis=0)
 
     if rule == "regression":
         ends = {r["c"]: max(r["hi"] - r["lo"], 1e-10) for r in scan(spans).collect()}  # a row for each number of trees
-        spread = np.array([ends[c] for c in sorted(ends)])
+        spread = np.array([ends[k] for k in sorted(ends)])
 
-        def narrow(v):
-            _, var, change = _running(v)
-            half = Z * np.sqrt(var / np.arange(1, v.shape[1] + 1))
+        def narrow(v, state):
+            _, var, change = _running(v, state, seen)
+            half = Z * np.sqrt(var / c)
             return (half < 0.05 * spread).sum(axis=0), 0.0, 0.0, change.max(axis=0)
 
         got = scan(narrow)
@@ -162,11 +209,19 @@ def grow_until_stable(data: DataFrame, config, edges, n_features: int, tol: floa
     least = max(n // 10, 3) if min_trees is None else min_trees
     batch = batch or max(least, 8)
     out = Trees(config, edges, n_features)
+    scored = data
     for at in range(0, n, batch):
         more = grow(data, copy(config), edges, n_features, list(range(at, min(n, at + batch))))
         out.add(more)
-        used = first_stable(row_report(data, out, rule), least, 0.0 if config.classification else tol).first()["trees_used"]
+        used = first_stable(row_report(scored, more, rule, at), least, 0.0 if config.classification else tol).first()["trees_used"]
         if used is not None:
             out.keep(used)
-            return out, int(used)
-    return out, n
+        if used is None and at + batch < n:  # the rows' state goes on, the generation before goes
+            before, scored = scored, materialised(merged_state(scored, more, rule), "votes")
+            if before is not data:
+                dropped(before)
+        else:
+            break
+    if scored is not data:
+        dropped(scored)
+    return out, n if used is None else int(used)

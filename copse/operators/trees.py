@@ -14,11 +14,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse import schema
-from copse.functions.scalar import draw_py
+from copse.functions.scalar import draw, draw_py
 
 LOAD_NODES, BLOCK_NODES = 200_000, 500_000
 #: Levels whose heap ids fit a long.
@@ -57,6 +57,13 @@ def feature_subset(config: TreeConfig, p: int, tree: int, node: int) -> list[int
     return sorted(sorted(range(p), key=lambda f: (draw_py(config.seed, "feat", tree, node, f), f))[:k])
 
 
+def features_tried(config: TreeConfig, p: int, tree: Column, node: Column) -> Column:
+    """The same features as an array column, the lowest hash first, for nodes that are rows."""
+    k = p if config.max_features is None else min(config.max_features, p)
+    drawn = F.array(*[F.struct(draw(config.seed, F.lit("feat"), tree, node, F.lit(f)).alias("h"), F.lit(f).alias("f")) for f in range(p)])
+    return F.transform(F.slice(F.array_sort(drawn), 1, k), lambda x: x["f"])
+
+
 @dataclass
 class Node:
     tree_id: int

@@ -9,6 +9,7 @@ from copse.operators import binning, boost, score, split, validate
 from copse.operators.forest import DecisionTree, RandomForestClassifier, RandomForestRegressor
 from copse.operators.grow import TreeConfig, bootstrap_counts, grow, prepared
 from copse.operators.score import per_tree
+from copse.operators.trees import features_tried
 from copse.plans import oracle as o
 from copse.sources.frames import customer_frame, orders_frame, read_table, training_frame, with_rank
 
@@ -320,13 +321,13 @@ def oob_rows(spark, sf):
     return every.join(bootstrap_counts(spark, c.count(), 5, 7), ["tree_id", "rank"], "left_anti").select("tree_id", "rid")
 
 
-@query(f"""WITH f AS (SELECT CAST(t AS INT) AS tree_id, CAST(n AS BIGINT) AS node_id, CAST(f AS INT) AS feature, {o.draw_sql(3, "'feat'", 't', 'n', 'f')} AS h FROM range(0, 8) a(t), range(0, 7) b(n), range(0, 6) c(f))
+@query(f"""WITH f AS (SELECT CAST(c_nationkey AS INT) AS tree_id, c_custkey AS node_id, CAST(f AS INT) AS feature, {o.draw_sql(3, "'feat'", 'c_nationkey', 'c_custkey', 'f')} AS h FROM customer, range(0, 6) c(f))
     SELECT tree_id, node_id, feature FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY h, feature) AS r FROM f) WHERE r <= 2""")
 def feature_subset(spark, sf):
-    from copse.operators.grow import feature_subset as pick
-
-    config = TreeConfig(n_trees=8, max_features=2, seed=3)
-    return spark.createDataFrame([(t, n, f) for t in range(8) for n in range(7) for f in pick(config, 6, t, n)], "tree_id int, node_id long, feature int")
+    """Features tried at nodes named by the customers' keys."""
+    config = TreeConfig(max_features=2, seed=3)
+    nodes = read_table(spark, sf, "customer").select(F.col("c_nationkey").cast("int").alias("tree_id"), F.col("c_custkey").cast("long").alias("node_id"))
+    return nodes.select("tree_id", "node_id", F.explode(features_tried(config, 6, F.col("tree_id"), F.col("node_id"))).alias("feature"))
 
 
 _CROWS = (o.frame_sql("customer"), o.long_sql(3), o.EDGES, o.BINNED, _BOOT)

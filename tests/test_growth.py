@@ -111,6 +111,13 @@ def test_unlimited_depth_fits_every_row(spark, data):
     assert m.score(d, "y") == 1.0
 
 
+def test_features_tried_are_those_of_the_driver(spark):
+    c = TreeConfig(max_features=3, seed=11)
+    nodes = spark.createDataFrame([(t, i) for t in range(3) for i in (0, 1, 6, 2**40)], "tree_id int, node_id long")
+    got = nodes.select("tree_id", "node_id", trees.features_tried(c, 7, nodes.tree_id, nodes.node_id).alias("f")).collect()
+    assert all(sorted(r["f"]) == trees.feature_subset(c, 7, r["tree_id"], r["node_id"]) for r in got)
+
+
 # --- draws -----------------------------------------------------------------
 
 

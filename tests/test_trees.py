@@ -219,6 +219,23 @@ def test_stop_rules_in_the_scoring_pass_equal_their_tables(spark, data, rule, mo
         assert np.allclose([v for v in a if v is not None], [v for v in b if v is not None], atol=1e-9)
 
 
+@pytest.mark.parametrize("rule", ["votes", "regression"])
+def test_states_go_on_from_batch_to_batch(spark, data, rule, monkeypatch):
+    """Reports of later trees on top of the rows' state are those of all trees at once."""
+    x, y, _ = data
+    c = TreeConfig(rule == "votes", 2, 5, max_depth=2, max_features=1, bootstrap="poisson", seed=3)
+    frame = training_frame(table(spark, x, y), "id", NAMES, "y")
+    edges = binning.edge_lists(binning.bin_edges(frame))
+    p = prepared(frame, c, edges).drop("x")
+    one, two = grow(p, c, edges, 3, [0, 1, 2]), grow(p, c, edges, 3, [3, 4])
+    later = early_stop.row_report(early_stop.merged_state(p, one, rule), two, rule, 3).orderBy("c").collect()
+    one.add(two)
+    want = early_stop.row_report(p, one, rule).filter("c > 3").orderBy("c").collect()
+    assert [r["c"] for r in later] == [4, 5]
+    for a, b in zip(later, want, strict=True):
+        assert np.allclose(list(a), list(b), atol=1e-12)
+
+
 def test_checks(spark, data):
     x, y, _ = data
     bad = x.copy()
