@@ -3,10 +3,11 @@
 Proximities are pairs of rows that share leaves, found by an equi-join on
 (tree, leaf). A leaf with g rows makes g**2 pairs, which is what a proximity
 matrix is; ``max_pairs`` is checked on leaf sizes before the join and refuses,
-rather than samples, where the matrix would not fit. Top-k neighbours and
-outlier scores aggregate the pairs. MDS is a power iteration of Spark jobs; only
-sums go to the driver, or the matrix itself where it has at most ``MDS_DRIVER`` rows.
-Rows with the same leaves in all trees are one row of that matrix, with a count.
+rather than samples, where the matrix would not fit. What leaves out the bag
+(scores and scaling with ``use_oob=False``, scores of new rows) needs no pairs:
+see ``leafwise``. With the bag, outlier scores aggregate the pairs, and MDS is a
+power iteration of Spark jobs over them; only sums go to the driver, or the matrix
+itself where it has at most ``MDS_DRIVER`` rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions.scalar import draw
-from copse.operators import binning, validate
+from copse.operators import binning, leafwise, validate
 from copse.operators.grow import TreeConfig, Trees, grow, prepared
 from copse.operators.score import per_tree
 from copse.sources.frames import materialised, with_rank
@@ -94,29 +95,43 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.filter("i <> j").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def outlier_scores(pairs: DataFrame, n: int) -> DataFrame:
-    """(row_id, score): n over the sum of squared proximities, centred at the upper median, scaled, 20 at most."""
-    raw = pairs.filter("i <> j").groupBy("i").agg((F.lit(float(n)) / F.sum(F.col("prox") * F.col("prox"))).alias("raw"))
+def pair_squares(pairs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(row_id, s): the sum of squared proximities of a row, itself included; 0 for rows (row_id) that are in no pair."""
+    s = pairs.groupBy("i").agg(F.sum(F.col("prox") * F.col("prox")).alias("s")).withColumnRenamed("i", "row_id")
+    return s if rows is None else rows.select("row_id").join(s, "row_id", "left").fillna(0.0, ["s"])
+
+
+def outlier_scores(squares: DataFrame, n: int) -> DataFrame:
+    """(row_id, score): n over a row's sum s of squared proximities (0 where that is 0), centred at the upper median, scaled, 20 at most."""
+    raw = squares.select("row_id", F.when(F.col("s") > 0, F.lit(float(n)) / F.col("s")).otherwise(F.lit(0.0)).alias("raw"))
     raw = materialised(raw, "outliers")
     m = raw.count()
     med = with_rank(raw, ["raw"], "k").filter(F.col("k") == m // 2).agg(F.max("raw").alias("med"))
     raw = raw.join(F.broadcast(med))  # one row
     mad = raw.agg(F.avg(F.least(F.abs(F.col("raw") - F.col("med")), 5 * F.col("med"))).alias("mad"))
     raw = raw.join(F.broadcast(mad.select(F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.lit(1.0)).alias("mad"))))  # one row
-    return raw.select(F.col("i").alias("row_id"), F.least((F.col("raw") - F.col("med")) / F.col("mad"), F.lit(20.0)).alias("score"))
+    return raw.select("row_id", F.least((F.col("raw") - F.col("med")) / F.col("mad"), F.lit(20.0)).alias("score"))
+
 
+def outlier_new(squares: DataFrame, n_train: int) -> DataFrame:
+    """(row_id, score) of new rows from their sums of squared proximities to training rows: min(n / s, 20)."""
+    return squares.select("row_id", F.when(F.col("s") > 0, F.least(F.lit(float(n_train)) / F.col("s"), F.lit(20.0))).otherwise(F.lit(20.0)).alias("score"))
 
-def outlier_new(pairs: DataFrame, n_train: int) -> DataFrame:
-    """(row_id, score) of new rows from their proximities to training rows: min(n / sum of squares, 20)."""
-    return pairs.groupBy("i").agg(F.sum(F.col("prox") * F.col("prox")).alias("s")).select(F.col("i").alias("row_id"), F.when(F.col("s") > 0, F.least(F.lit(float(n_train)) / F.col("s"), F.lit(20.0))).otherwise(F.lit(20.0)).alias("score"))
+
+def squares(leaves: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """(row_id, s) without the bag, by pairs of rows or by pairs of trees, whichever are fewer by count."""
+    pairs, cells = leafwise.costs(leaves, train)
+    if cells < pairs:
+        return leafwise.squares(leaves, train)
+    trees = leafwise.tree_count(leaves if train is None else train)
+    found = co_leaf(leaves, leaves if train is None else train).groupBy("i", "j").agg((F.count("*") / float(trees)).alias("prox"))
+    return pair_squares(found, leaves.select("row_id").distinct())
 
 
 def leaf_classes(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_id, i) and (tree_id, row_id, leaf) of classes i: rows with the same leaves in all trees, named by their least row_id."""
-    own = leaves.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("tree_id", "leaf"))).alias("key"))  # one entry per tree
-    own = materialised(own, "keys")
-    least = materialised(own.groupBy("key").agg(F.min("row_id").alias("i")), "classes")
-    return own.join(least, "key").select("row_id", "i"), least.select(F.col("i").alias("row_id"), F.explode("key").alias("_k")).select("row_id", "_k.tree_id", "_k.leaf")
+    """(row_id, i), and (tree_id, row_id, leaf) of classes i: rows with the same leaves in all trees, named by their least row_id."""
+    members, found = leafwise.leaf_classes(leaves)
+    return members, found.select(F.col("i").alias("row_id"), F.explode("key").alias("_k")).select("row_id", "_k.tree_id", "_k.leaf")
 
 
 def mds(pairs: DataFrame, n_components: int = 2, compat: bool = False, iterations: int = 1000, members: DataFrame | None = None, on_driver: int = MDS_DRIVER) -> DataFrame:
@@ -236,18 +251,28 @@ class UnsupervisedModel:
         counts = found.select("i", "j", (F.col("same") / float(trees)).alias("prox"))
         return nearest(counts, min(max(k, 1), self.n_samples_ - 1))
 
-    def outlier_scores(self) -> DataFrame:
-        return outlier_scores(self.proximity_matrix(), self.n_samples_)
+    def outlier_scores(self, use_oob: bool = True) -> DataFrame:
+        """Without the bag (use_oob=False) at any size; with it, from the table of pairs."""
+        if use_oob:
+            found = pair_squares(self.proximity_matrix(), self.train)
+        else:
+            found = squares(materialised(self.leaves(), "leaves"))
+        return outlier_scores(found, self.n_samples_)
 
     def predict_proximity(self, df: DataFrame, row_id: str) -> DataFrame:
         trees = self.trees.config.n_trees
         return co_leaf(self.leaves(df, row_id), self.leaves()).groupBy("i", "j").agg((F.count("*") / float(trees)).alias("prox"))
 
     def predict_outlier_scores(self, df: DataFrame, row_id: str) -> DataFrame:
-        return outlier_new(self.predict_proximity(df, row_id), self.n_samples_)
-
-    def transform(self, n_components: int = 2, compat: bool = False) -> DataFrame:
-        return mds(self.proximity_matrix(), n_components, compat)
+        """All new rows, those that share no leaf included."""
+        new, own = materialised(self.leaves(df, row_id), "new"), materialised(self.leaves(), "leaves")
+        return outlier_new(squares(new, own), self.n_samples_)
+
+    def transform(self, n_components: int = 2, compat: bool = False, use_oob: bool = True) -> DataFrame:
+        """Scaling; without the bag (use_oob=False) no table of pairs is made."""
+        if use_oob or compat:
+            return mds(self.proximity_matrix(use_oob), n_components, compat)
+        return leafwise.scaling(self.leaves(), n_components)
 
     def feature_importances(self, seed: int = 0) -> list[float]:
         """Loss of out-of-bag accuracy on real rows when a column is permuted, clipped at zero and normalised."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from copse.functions.scalar import draw, softmax, wilson
-from copse.operators import boost, early_stop, intervals, proximity, shapley, woe
+from copse.operators import boost, early_stop, intervals, leafwise, proximity, shapley, woe
 from copse.operators.boost import BoostClassifier, BoostRegressor
 from copse.operators.forest import DecisionTree
 from copse.operators.proximity import UnsupervisedForest
@@ -405,21 +405,20 @@ def proximity_new(spark, sf):
     return proximity.co_leaf(lv.filter("row_id >= 400"), lv.filter("row_id < 400")).groupBy("i", "j").agg(r6(F.count("*") / 3.0, "prox"))
 
 
-_OUT = """ra AS (SELECT i, 500.0 / sum(prox * prox) AS raw FROM px WHERE i <> j GROUP BY i), rr AS (SELECT *, row_number() OVER (ORDER BY raw) - 1 AS k, count(*) OVER () AS m FROM ra),
+_OUT = """ra AS (SELECT i, 500.0 / sum(prox * prox) AS raw FROM px GROUP BY i), rr AS (SELECT *, row_number() OVER (ORDER BY raw) - 1 AS k, count(*) OVER () AS m FROM ra),
     md AS (SELECT max(raw) AS med FROM rr WHERE k = m // 2), ma AS (SELECT med, CASE WHEN avg(least(abs(raw - med), 5 * med)) > 0 THEN avg(least(abs(raw - med), 5 * med)) ELSE 1 END AS mad FROM ra, md GROUP BY med)"""
 
 
 @query(o.query(_LV, _PX, _OUT, final="SELECT i AS row_id, round(least((raw - med) / mad, 20.0), 6) AS score FROM ra, ma"))
 def outlier_scores(spark, sf):
     lv, _ = _fixed_leaves(spark, sf)
-    return proximity.outlier_scores(proximity.proximity(lv), 500).select("row_id", r6("score", "score"))
+    return proximity.outlier_scores(proximity.squares(lv), 500).select("row_id", r6("score", "score"))
 
 
-@query(o.query(_LV, "pn AS (SELECT a.row_id AS i, b.row_id AS j, count(*) / 3.0 AS prox FROM lv a JOIN lv b USING (tree_id, leaf) WHERE a.row_id >= 400 AND b.row_id < 400 GROUP BY ALL)", final="SELECT i AS row_id, round(least(400.0 / sum(prox * prox), 20.0), 6) AS score FROM pn GROUP BY i"))
+@query(o.query(_LV, "pn AS (SELECT a.row_id AS i, b.row_id AS j, count(*) / 3.0 AS prox FROM lv a JOIN lv b USING (tree_id, leaf) WHERE a.row_id >= 400 AND b.row_id < 400 GROUP BY ALL)", final="SELECT n.row_id, round(coalesce(least(400.0 / sum(prox * prox), 20.0), 20.0), 6) AS score FROM (SELECT DISTINCT row_id FROM lv WHERE row_id >= 400) n LEFT JOIN pn ON i = n.row_id GROUP BY n.row_id"))
 def outlier_new(spark, sf):
     lv, _ = _fixed_leaves(spark, sf)
-    pairs = proximity.co_leaf(lv.filter("row_id >= 400"), lv.filter("row_id < 400")).groupBy("i", "j").agg((F.count("*") / 3.0).alias("prox"))
-    return proximity.outlier_new(pairs, 400).select("row_id", r6("score", "score"))
+    return proximity.outlier_new(proximity.squares(lv.filter("row_id >= 400"), lv.filter("row_id < 400")), 400).select("row_id", r6("score", "score"))
 
 
 def _unsupervised(spark, sf):
@@ -435,8 +434,7 @@ def unsupervised_outliers(spark, sf):
 @query()
 def mds_embedding(spark, sf):
     lv, _ = _fixed_leaves(spark, sf)
-    members, leaves = proximity.leaf_classes(lv)
-    return proximity.mds(proximity.proximity(leaves), 2, members=members)
+    return leafwise.scaling(lv, 2)
 
 
 @query()
