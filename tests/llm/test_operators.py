@@ -856,3 +856,57 @@ def test_odd_rows_match_sql(spark, tmp_path, name):
     spark.createDataFrame([(1, "the quick brown fox the quick brown fox the quick"), (2, None), (None, "no id at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     tables = {t: f"{tmp_path}/{t}.parquet/*.parquet" for t in ("documents", "benchmark")}
     same_rows(QUERIES[name](spark, str(tmp_path)), *in_sql(tables, ORACLE_SQL[name]))
+
+
+SENTENCE = "The river rose over its banks in the night and took two of the bridges with it, the town said on Monday."
+
+
+def paragraphs(n, mark=""):
+    return "".join(f"<p>{mark}{i} {SENTENCE}</p>" for i in range(n))
+
+
+def said(n, mark=""):
+    return " ".join(f"{mark}{i} {SENTENCE}" for i in range(n))
+
+
+def test_comments_in_nested_articles_go():
+    comment = f'<article class="comment"><p>{SENTENCE} So what?</p></article>'
+    inside = f"<body><article><h1>Flood</h1>{paragraphs(4)}<section>{comment * 2}</section></article></body>"
+    beside = f"<body><main><article><h1>Flood</h1>{paragraphs(4)}</article>{comment * 2}</main></body>"
+    assert html_text.main_text(inside) == html_text.main_text(beside) == "Flood " + said(4)
+    assert html_text.main_text(f"<body><article>{paragraphs(2)}<article><p>Also {SENTENCE}</p></article></article></body>") == said(2) + f" Also {SENTENCE}"
+
+
+@pytest.mark.parametrize("holder", ["main", "div", "section"])
+def test_articles_beside_each_other_stay(holder):
+    page = f"<body><nav><a href=a>Home</a></nav><{holder}><article>{paragraphs(5)}</article><article>{paragraphs(2, 'b')}</article></{holder}><footer>Imprint</footer></body>"
+    assert html_text.main_text(page) == said(5) + " " + said(2, "b")
+    teaser = page.replace(f"</{holder}><footer", '<article><a href=x>Ten bridges you have to see before the autumn is over</a></article>' + f"</{holder}><footer")
+    assert html_text.main_text(teaser) == html_text.main_text(page)
+    related = page.replace(f"</{holder}><footer", f'<article class="related"><p>{SENTENCE}</p></article>' + f"</{holder}><footer")
+    assert html_text.main_text(related) == html_text.main_text(page)
+
+
+@pytest.mark.parametrize("name", ['class="notice-board"', 'id="login-page-news"', 'class="banner"'])
+def test_a_name_alone_does_not_empty_a_page(name):
+    assert html_text.main_text(f"<body><h1>Flood</h1><div {name}>{paragraphs(5)}</div></body>").endswith(said(5))
+    with_article = f"<body><div {name}>{paragraphs(5, 'n')}</div><article>{paragraphs(2)}</article></body>"
+    assert html_text.main_text(with_article) == said(2)
+    assert html_text.main_text(f'<body><div class="comments">{paragraphs(5)}</div></body>') == ""
+
+
+def test_short_end_in_a_block_of_its_own_stays():
+    page = f"<body><nav><a href=a>Home</a></nav><div><h1>Flood</h1><div>{paragraphs(5)}</div><ul><li>Two bridges</li><li>One road</li></ul></div><footer>Imprint</footer></body>"
+    assert html_text.main_text(page) == f"Flood {said(5)} Two bridges One road"
+    flat = f"<body><div><div>{paragraphs(3)}</div><div>{paragraphs(3, 'b')}</div><div><p>It goes on.</p></div></div><footer>Imprint</footer></body>"
+    assert html_text.main_text(flat) == f"{said(3)} {said(3, 'b')} It goes on."
+
+
+def test_clusters_decide_inside_an_article(monkeypatch):
+    links = "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(12))
+    page = f"<body><article><h1>Flood</h1>{paragraphs(4)}<p><a href=/r>The report</a></p>{paragraphs(4, 'b')}<ul>{links}</ul></article></body>"
+    text = html_text.main_text(page)
+    assert text.startswith(f"Flood {said(4)} The report {said(4, 'b')}")
+    assert "Topic 5" not in text and "Topic 11" not in text
+    monkeypatch.setattr(html_text, "threshold", lambda x: -1.0)
+    assert "Topic 5" in html_text.main_text(page)
