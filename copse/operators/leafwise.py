@@ -1,4 +1,4 @@
-"""Outlier scores and scaling from leaves alone, without a table of pairs of rows.
+"""Outlier scores, scaling and nearest rows from leaves alone, without a table of pairs of rows.
 
 Without the bag, the proximity of two rows is the share of the trees in whose
 leaf both are. Hence, with T trees,
@@ -9,6 +9,9 @@ leaf both are. Hence, with T trees,
   at most, whatever the leaves' sizes.
 - T times the matrix times a vector is, for each row, the sum over trees of the
   vector's sum over the row's leaf: n * T entries for each product.
+- A row that shares none of another's r rarest leaves shares at most T - r. So
+  the k nearest are known once k rows share more than that, and the large leaves
+  are looked into only for rows that need them.
 
 Rows with the same leaves in all trees are one class with a count. All entries
 are made row by row and combined map-side; a cell or leaf that holds a large
@@ -24,13 +27,13 @@ of zeros.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions.scalar import draw
 from copse.sources.frames import dropped, materialised, with_rank
 
-SALTS, MDS_DRIVER, SPARE = 32, 1000, 4
+SALTS, MDS_DRIVER, SPARE, MAX_PAIRS = 32, 1000, 4, 2_000_000_000
 
 
 def leaf_classes(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +91,63 @@ def squares(leaves: DataFrame, train: DataFrame | None = None) -> DataFrame:
     return members.join(found, "i").select("row_id", (F.col("shared") / float(max(trees, 1) ** 2)).alias("s"))
 
 
+def nearest(leaves: DataFrame, k: int, start: int = 2, most: int = MAX_PAIRS) -> DataFrame:
+    """(i, j, prox, rank): the k largest proximities of each row to others, exact; ties by j; rows that share no leaf are no neighbours.
+
+    Candidates of a class are the classes in its rarest leaves, of which a round
+    takes twice as many; a class leaves once k + 1 rows share more trees with it than
+    any class not yet met can. A class is represented by its k + 1 least row_ids.
+    A round whose leaves hold more than ``most`` pairs of classes is refused.
+    The result's ``pairs_examined`` counts the pairs compared.
+    """
+    leaves = materialised(leaves.select("row_id", "tree_id", "leaf"), "leaves")
+    trees = tree_count(leaves)
+    members, classes = leaf_classes(leaves)
+    ids = F.array_sort(F.collect_list("row_id"))
+    least = members.withColumn("part", F.pmod(F.hash("row_id"), F.lit(SALTS)))  # the least of each part first: no list of all rows of a class
+    order = Window.partitionBy("i", "part").orderBy("row_id")
+    least = least.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy("i").agg(F.slice(ids, 1, k + 1).alias("ids"))
+    entries = classes.select("i", F.explode("key").alias("at"))
+    sizes = entries.groupBy("at").agg(F.count("*").alias("size"))
+    ranked = entries.join(sizes, "at").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("size", "at"))).alias("rare"))  # one entry per tree
+    classes = materialised(classes.select("i", "key").join(least, "i").join(ranked, "i"), "classes")
+    all_entries = classes.select(F.col("i").alias("d"), F.explode("key").alias("at"))
+    other = classes.select(F.col("i").alias("d"), F.col("key").alias("other"), "ids")
+    active, best, done, seen, depth, examined = classes.select("i"), None, [], 0, min(start, trees), 0
+    while True:
+        own = classes.join(active, "i").select("i", F.explode(F.slice("rare", seen + 1, depth - seen)).alias("r")).select("i", F.col("r.size").alias("size"), F.col("r.at").alias("at"))
+        asked = int(own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+        if asked > most:
+            raise ValueError(f"{asked} pairs of classes share leaves; use deeper trees or fewer neighbours")
+        pairs = own.join(all_entries, "at").select("i", "d").distinct()
+        shared = F.size(F.array_intersect("key", "other")).alias("shared")
+        counted = materialised(pairs.join(classes.select("i", "key"), "i").join(other, "d").select("i", shared, "ids"), "pairs")
+        examined += counted.count()
+        rows = counted.select("i", "shared", F.explode("ids").alias("j"))
+        if best is not None:
+            rows = rows.unionByName(best.join(active, "i", "left_semi"))
+        rows = rows.dropDuplicates(["i", "j"]).withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.col("shared").desc(), "j")))
+        found = materialised(rows.filter(F.col("_r") <= k + 1).drop("_r"), "best")
+        dropped(counted)
+        if depth >= trees:
+            done.append(found)
+            break
+        sure = found.groupBy("i").agg(F.count("*").alias("n"), F.min("shared").alias("least")).filter((F.col("n") > k) & (F.col("least") > trees - depth)).select("i")
+        done.append(found.join(sure, "i", "left_semi"))
+        active, best = materialised(active.join(sure, "i", "left_anti"), "active"), found
+        if active.isEmpty():
+            break
+        seen, depth = depth, min(2 * depth, trees)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    near = out.groupBy("i").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("less"), "j"))).alias("near"))  # k + 1 entries
+    rows = members.join(near, "i").select("row_id", F.posexplode(F.slice(F.filter("near", lambda x: x["j"] != F.col("row_id")), 1, k)).alias("at", "x"))
+    result = rows.select(F.col("row_id").alias("i"), F.col("x.j").alias("j"), (-F.col("x.less") / float(max(trees, 1))).alias("prox"), (F.col("at") + 1).alias("rank"))
+    result.pairs_examined = examined
+    return result
+
+
 def times_matrix(classes: DataFrame, values: DataFrame, cols: list[str], trees: int) -> DataFrame:
     """(i, cols): the proximity matrix times columns of values (i, cols), which hold one value for all rows of a class."""
     own = classes.join(values, "i").select("n", F.explode("key").alias("leaf"), *cols, _salt())

@@ -241,9 +241,11 @@ class UnsupervisedModel:
         check_pairs(own)
         return proximity(own, self.bag if use_oob else None)
 
-    def proximity_sparse(self, k: int | None = None) -> DataFrame:
-        """Out-of-bag co-leaf counts over all trees, the k (else n_neighbors) largest of each row."""
+    def proximity_sparse(self, k: int | None = None, use_oob: bool = True) -> DataFrame:
+        """Out-of-bag co-leaf counts over all trees, the k (else n_neighbors) largest of each row; without the bag, no table of pairs is made."""
         k = self.n_neighbors if k is None else k
+        if not use_oob:
+            return leafwise.nearest(self.leaves(), min(max(k, 1), max(self.n_samples_ - 1, 1)))
         own = materialised(self.leaves(), "leaves")
         check_pairs(own)
         trees = self.trees.config.n_trees

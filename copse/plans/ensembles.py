@@ -396,7 +396,7 @@ def proximity_oob(spark, sf):
 
 @query(o.query(_LV, _PX, final="SELECT i, j, round(prox, 6) AS prox, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY prox DESC, j) AS r FROM px WHERE i <> j) WHERE r <= 5"))
 def proximity_topk(spark, sf):
-    return proximity.nearest(proximity.proximity(_fixed_leaves(spark, sf)[0]), 5).select("i", "j", r6("prox", "prox"), "rank")
+    return leafwise.nearest(_fixed_leaves(spark, sf)[0], 5).select("i", "j", r6("prox", "prox"), "rank")
 
 
 @query(o.query(_LV, final="SELECT a.row_id AS i, b.row_id AS j, round(count(*) / 3.0, 6) AS prox FROM lv a JOIN lv b USING (tree_id, leaf) WHERE a.row_id >= 400 AND b.row_id < 400 GROUP BY ALL"))

@@ -100,3 +100,36 @@ def test_scores_of_a_forest(spark):
     assert oob.count() == 90 and oob.agg(F.max("score")).first()[0] <= 20
     assert m.transform(2, use_oob=False).count() == 90
     assert m.predict_outlier_scores(df, "id").count() == 90
+
+
+@pytest.mark.parametrize("shape,k", [((60, 5, 3), 4), ((80, 12, 25), 3), ((30, 1, 2), 40)])
+def test_nearest_equals_the_window_over_all_pairs(spark, shape, k):
+    leaf = drawn(*shape, seed=9)
+    leaf[: len(leaf) // 3] = leaf[0]  # copies, of which each row sees the least ids
+    lv = table(spark, leaf)
+    found = leafwise.nearest(lv, k)
+    got = sorted((r["i"], r["rank"], r["j"], round(r["prox"], 9)) for r in found.collect())
+    want = sorted((r["i"], r["rank"], r["j"], round(r["prox"], 9)) for r in proximity.nearest(proximity.proximity(lv), k).collect())
+    assert got == want
+
+
+def test_nearest_stops_before_all_pairs(spark):
+    """Groups of rows alike in most trees, and one tree whose leaf holds all rows."""
+    leaf = np.repeat(np.arange(40), 5)[:, None] * np.ones(12, int)
+    leaf[:, 0] = 0
+    leaf[:, 1] = np.arange(200)  # so that all rows are classes of their own
+    found = leafwise.nearest(table(spark, leaf), 3)
+    a = matrix(leaf, leaf)
+    want = {i: [int(j) for j in np.lexsort((np.arange(200), -a[i])) if j != i][:3] for i in range(200)}
+    got = {}
+    for r in found.orderBy("i", "rank").collect():
+        got.setdefault(r["i"], []).append(r["j"])
+    assert got == want and found.pairs_examined < 200 * 12  # of 40,000
+    with pytest.raises(ValueError, match="pairs of classes"):
+        leafwise.nearest(table(spark, leaf), 3, most=10)
+
+
+def test_nearest_of_few_rows(spark):
+    assert leafwise.nearest(table(spark, np.array([[4, 2]])), 2).count() == 0
+    assert leafwise.nearest(table(spark, np.array([[1, 1], [2, 2]])), 2).count() == 0
+    assert leafwise.nearest(table(spark, np.zeros((0, 2), int)), 2).count() == 0
