@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from copse.functions.scalar import draw
 from copse.sources.frames import dropped, materialised, with_rank
 
-SALTS, MDS_DRIVER, SPARE, MAX_PAIRS = 32, 1000, 4, 2_000_000_000
+SALTS, MDS_DRIVER, SPARE, MAX_PAIRS = 32, 1000, 8, 2_000_000_000
 
 
 def leaf_classes(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
