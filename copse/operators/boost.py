@@ -241,10 +241,7 @@ class BoostClassifier(_Boost):
 
     def fit(self, df: DataFrame, features: list[str], target: str, row_id: str, weight: str | None = None) -> BoostModel:
         frame = training_frame(df, row_id, features, target, weight)
-        validate.check_finite(df, row_id, features, target)
-        if weight:
-            validate.check_weights(df, weight)
-        k = validate.check_labels(df, target)
+        k = validate.check_fit(df, row_id, features, target, weight, labels=True)
         if k <= 2:
             model = BoostModel("binary", features, 2, self.learning_rate, [binary_prior(frame).first()["init"]])
         else:
@@ -262,9 +259,7 @@ class BoostRegressor(_Boost):
         from copse.operators.intervals import conformal_quantile, conformal_split
 
         frame = training_frame(df, row_id, features, target, weight)
-        validate.check_finite(df, row_id, features, target)
-        if weight:
-            validate.check_weights(df, weight)
+        validate.check_fit(df, row_id, features, target, weight)
         share = min(max(self.conformal_fraction, 0.1), 0.5)
         both = materialised(conformal_split(frame, share, self.random_state), "conformal")
         if both.filter("is_calibration").isEmpty():

@@ -91,10 +91,7 @@ class _Forest:
 
     def fit(self, df: DataFrame, features: list[str], target: str, row_id: str, weight: str | None = None) -> ForestModel:
         frame = training_frame(df, row_id, features, target, weight)
-        validate.check_finite(df, row_id, features, target)
-        if weight:
-            validate.check_weights(df, weight)
-        k = validate.check_labels(df, target) if self.classification else 2
+        k = validate.check_fit(df, row_id, features, target, weight, self.classification) or 2
         boot = "rows" if self.bootstrap is True else self.bootstrap
         config = TreeConfig(self.classification, k, self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf, validate.max_features(self.max_features, len(features)), bootstrap=boot, seed=self.random_state, finish_rows=self.finish_rows)
         edges = binning.edge_lists(binning.bin_edges(frame))
@@ -133,10 +130,7 @@ class DecisionTree:
         if self.task not in ("classification", "regression"):
             raise ValueError("task must be classification or regression")
         frame = training_frame(df, row_id, features, target, weight)
-        validate.check_finite(df, row_id, features, target)
-        if weight:
-            validate.check_weights(df, weight)
         cls = self.task == "classification"
-        config = TreeConfig(cls, validate.check_labels(df, target) if cls else 2, 1, self.max_depth, self.min_samples_split, self.min_samples_leaf, exact=self.splitter == "exact", seed=self.random_state, finish_rows=self.finish_rows)
+        config = TreeConfig(cls, validate.check_fit(df, row_id, features, target, weight, cls) or 2, 1, self.max_depth, self.min_samples_split, self.min_samples_leaf, exact=self.splitter == "exact", seed=self.random_state, finish_rows=self.finish_rows)
         edges = None if config.exact else binning.edge_lists(binning.bin_edges(frame))
         return ForestModel(grow(prepared(frame, config, edges), config, edges, len(features)), features, 1, 1)

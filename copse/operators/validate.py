@@ -53,6 +53,38 @@ def check_labels(df: DataFrame, target: str) -> int:
     return int(r["k"])
 
 
+def check_fit(df: DataFrame, row_id: str, columns: list[str], target: str, weight: str | None = None, labels: bool = False) -> int | None:
+    """All checks before a fit in one pass over df: finite columns and target, weights, and (labels) classes, whose number is returned.
+
+    With labels, rows are summed by label before they are shuffled. Errors come in the order of the checks on their own.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("col"), _bad(F.col(c).cast("double")).alias("bad")) for i, c in enumerate(columns)])
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(
+        F.col(row_id).cast("long").alias("row"),
+        F.transform(F.filter(cells, lambda s: s["bad"]), lambda s: s["col"]).alias("cols"),
+        _bad(F.col(target).cast("double")).alias("bad_y"),
+        (_bad(w) | (w < 0)).alias("bad_w"),
+        (F.col(target).try_cast("int") if labels else F.lit(None).cast("int")).alias("label"),
+    )
+    by = rows.groupBy("label").agg(
+        F.min(F.when(F.size("cols") > 0, F.struct("row", F.array_min("cols").alias("col")))).alias("x"),
+        F.count_if("bad_y").alias("n_y"), F.min(F.when(F.col("bad_y"), F.col("row"))).alias("y"), F.count_if("bad_w").alias("n_w"),
+    )
+    r = by.agg(F.min("x").alias("x"), F.sum("n_y").alias("n_y"), F.min("y").alias("y"), F.sum("n_w").alias("n_w"), F.count("label").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+    if r["x"] is not None:
+        raise ValueError(f"X has a value that isn't finite at row {r['x']['row']}, column {columns[r['x']['col']]}")
+    if r["n_y"]:
+        raise ValueError(f"y has a value that isn't finite at row {r['y']}")
+    if r["n_w"]:
+        raise ValueError("sample weights must be finite and not negative")
+    if not labels:
+        return None
+    if r["k"] == 0 or r["lo"] != 0 or r["hi"] != r["k"] - 1:
+        raise ValueError("class labels must be 0..K-1; index them first")
+    return int(r["k"])
+
+
 def max_features(spec, p: int) -> int:
     """Number of features tried at a node: sqrt, log2, a share up to 1 or a count; anything else means all."""
     if spec is None:

@@ -94,3 +94,33 @@ def test_encoder_bundle_and_task(spark):
     assert out.columns == ["id", "cat", "woe", "woe_c_0", "woe_c_1", "woe_c_2"] and out.count() == 60
     median = woe.WoeEncoder(["c"]).fit(d, ["c"], "t").tables[0]
     assert sum(r["pos"] for r in median.collect()) == 30
+
+
+def test_checks_in_one_pass_give_the_errors_of_the_checks_on_their_own(spark):
+    good = [(i, float(i), 1.0, i % 3, 2.0) for i in range(9)]
+    nan, inf = float("nan"), float("inf")
+
+    def frame(*rows):
+        return spark.createDataFrame([*good, *rows], "id long, a double, b double, y double, w double")
+
+    good[:] = [(i, a, b, float(y), w) for i, a, b, y, w in good]
+    assert validate.check_fit(frame(), "id", ["a", "b"], "y", "w", labels=True) == 3
+    assert validate.check_fit(frame(), "id", ["a", "b"], "y") is None
+    cases = [((20, nan, inf, 1.0, 1.0), (12, 1.0, None, nan, -1.0)), ((11, 1.0, 1.0, nan, -1.0), (10, 1.0, 1.0, None, 1.0)), ((11, 1.0, 1.0, 1.0, -1.0),), ((11, 1.0, 1.0, 1.0, None),), ((11, 1.0, 1.0, 5.0, 1.0),), ((11, 1.0, 1.0, -1.0, 1.0),)]
+    for rows in cases:
+        df = frame(*rows)
+
+        def alone(df=df):
+            validate.check_finite(df, "id", ["a", "b"], "y")
+            validate.check_weights(df, "w")
+            return validate.check_labels(df, "y")
+
+        with pytest.raises(ValueError) as want:
+            alone()
+        with pytest.raises(ValueError) as got:
+            validate.check_fit(df, "id", ["a", "b"], "y", "w", labels=True)
+        assert str(got.value) == str(want.value)
+    none = frame().limit(0)
+    with pytest.raises(ValueError, match="0..K-1"):
+        validate.check_fit(none, "id", ["a"], "y", labels=True)
+    assert validate.check_fit(none, "id", ["a"], "y") is None
