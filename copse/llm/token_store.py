@@ -140,6 +140,8 @@ def loaded(path: str):
     from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
+    if resize := getattr(tok.model, "_resize_cache", None):
+        resize(0)  # a word comes once: the model's own word cache is only looked up in vain
     lite = Tokenizer(tok.model)
     lite.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocab = tok.get_vocab()
