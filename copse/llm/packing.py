@@ -8,10 +8,10 @@ numbers however large the corpus: see ``plan``. The plan gives each length's
 pieces, by rank, places in sequences; Spark ranks the pieces (within a task as
 they are written, across tasks by sums of their counts) and looks up the places.
 
-Texts are encoded in pretokens cut at a space before other than white space,
-where the tokenizer's own rules cut too, and a word table of at most
-``CACHE_BYTES`` keeps what was met. Runs of ``RUN_CHARS`` bound the memory of a
-very long text's words; its ids are held whole (two bytes each).
+Texts are encoded in words cut where the tokenizer's own rules cut too, and a word
+table of at most ``CACHE_BYTES`` keeps what was met (``words.py``). Windows of
+``RUN_CHARS`` bytes bound the memory of a very long text's words; a batch's ids are
+held whole (two bytes each).
 
 Defined cases: null and empty texts are the end id alone; a null id stays null;
 repeated rows and ids are separate documents, each with pieces of its own; an
@@ -28,14 +28,18 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.llm.common import give_back, held, stored
+from copse.llm.words import MARKS, WordTable, flags, letter_before
 
-CAPACITY, END_ID, RUN_CHARS, LINE_WORDS, DOCS = 1024, 2, 1 << 22, 500, 1024
+CAPACITY, END_ID, LINE_WORDS, ROWS = 1024, 2, 500, 4096
+#: Bytes of text that are cut into words at a time.
+RUN_CHARS = 1 << 24
 #: Bound of a word table, and what an entry takes beside its two strings.
 CACHE_BYTES, ENTRY_BYTES = 128 << 20, 150
 
@@ -202,13 +206,15 @@ def places(bins: list[Bins]) -> dict[int, np.ndarray]:
 
 @cache
 def loaded(path: str):
-    """(tokenizer, type of an id, pattern of special tokens, which ids begin with a space): once a worker process."""
+    """(tokenizer, type of an id, pattern of special tokens, which ids begin with a space, id of a line break if that parts words, marks that it cuts before): once a worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    if resize := getattr(tok.model, "_resize_cache", None):
+        resize(0)  # a word comes once: the model's own word cache is only looked up in vain
     added = sorted(tok.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))
     if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
         raise ValueError("added tokens that take in or ask for their surroundings aren't supported")
@@ -216,124 +222,101 @@ def loaded(path: str):
     vocab = tok.get_vocab()
     begins = np.zeros(max(vocab.values()) + 1, bool)
     begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the byte-level sign of a space
-    return tok, "<u2" if len(begins) <= 1 << 16 else "<u4", special, begins
+    one = lambda x: tok.encode(x, add_special_tokens=False).ids
+    line = one("\n")
+    line = line[0] if len(line) == 1 and one("word\nWord,\n'") == [*one("word"), *line, *one("Word,"), *line, *one("'")] else None
+    marks = flags(ord(m) for m in MARKS + "\n" if all(one(w + m + r) == one(w) + one(m + r) for w in ("word", "\u00e9") for r in ("", "word")))
+    return tok, "<u2" if len(begins) <= 1 << 16 else "<u4", special, begins, line, marks
 
 
-class TextEncoder:
-    """Ids of whole texts as little-endian bytes, through a table of words with the space before them.
+#: Printable ASCII, and lead bytes that white space may have.
+PRINTED, WIDE = flags(range(0x21, 0x7F)), flags((0xC2, 0xE1, 0xE2, 0xE3))
 
-    New words are encoded a line at a time. An id that begins with a space begins
-    a word of the line; where these don't add up, words are encoded one by one.
-    The table has two generations of half its bound: words that are met stay in or
-    move to the younger, and when that is full the older one goes.
-    """
 
-    def __init__(self, path: str):
-        self.tok, self.dtype, self.special, self.begins = loaded(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.size = 0  # bytes in the younger generation
+class TextEncoder(WordTable):
+    """Ids of whole texts, through a table of words with the space before them, if any.
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+    A word begins with a space that other than white space follows, with a mark or
+    a line break after a letter, or after a line break between printed characters.
+    New words are encoded a line at a time: an id that begins with a space begins a
+    word of the line, and words without one are parted by line breaks. Where these
+    don't add up, and where white space is in a word, words are encoded one by one.
+    """
 
-    def _line(self, line: str, words: list[str]) -> list[bytes]:
-        ids = self._ids(line)
-        first = np.flatnonzero(self.begins[ids])
+    def __init__(self, path: str):
+        self.tok, dtype, self.special, self.begins, self.line, self.marks = loaded(path)
+        super().__init__(dtype, ENTRY_BYTES)
+
+    def cuts(self, raw, bounds, lo, hi):
+        own, begin = raw[lo:hi], np.zeros(hi - lo, bool)
+        at = lo + np.flatnonzero(own == 0x20)
+        after = raw[np.minimum(at + 1, len(raw) - 1)]
+        at = at[after > 0x20]
+        if len(wide := np.flatnonzero(WIDE[raw[np.minimum(at + 1, len(raw) - 1)]])):  # white space is U+85, U+A0, U+1680, U+20.., U+3000
+            one, two = raw[at[wide] + 1], raw[at[wide] + 2]
+            white = (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & (two == 0x9A) | (one == 0xE2) & (two < 0x82) | (one == 0xE3) & (two == 0x80)
+            at = np.delete(at, wide[white])
+        begin[at - lo] = True
+        a, b = np.searchsorted(bounds, (lo, hi), side="right")
+        begin[bounds[a:b] - 1 - lo] = False  # nothing follows a text's last space
+        at = lo + np.flatnonzero(self.marks[own])
+        begin[at[letter_before(raw, at)] - lo] = True
+        if self.line is not None:
+            at = lo + np.flatnonzero(own[:-1] == 0x0A) + 1
+            at = at[at > 1]
+            begin[at[PRINTED[raw[at - 2]] & PRINTED[raw[at]]] - lo] = True
+        a, b = np.searchsorted(bounds, (lo, hi))
+        begin[bounds[a:b] - lo] = True
+        begin[0] = True
+        return lo + np.flatnonzero(begin)
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        found = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+
+    def _line(self, words: list[bytes], spaced: bool) -> list[bytes]:
+        line = (b"" if spaced else b"\n").join(words).decode()
+        ids = np.array(self.tok.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
+        first = np.flatnonzero(self.begins[ids]) if spaced else np.append(0, np.flatnonzero(ids == self.line) + 1)
         if len(first) != len(words) or first[0]:
-            return [self._ids(" " + w).tobytes() for w in words]
-        raw, cuts = ids.tobytes(), [*(first * ids.itemsize).tolist(), ids.nbytes]
-        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
-
-    def _keep(self, words: list[str], ids: list[bytes], chars: int) -> None:
-        self.known.update(zip(words, ids, strict=True))
-        self.size += chars + sum(map(len, ids)) + ENTRY_BYTES * len(words)
-
-    def _learn(self, fresh: set[str]) -> None:
-        old = [w for w in fresh if w in self.older]
-        self._keep(old, [self.older[w] for w in old], sum(map(len, old)))
-        new = list(fresh.difference(self.older))
-        for at in range(0, len(new), LINE_WORDS):
-            own = new[at : at + LINE_WORDS]
-            line = " " + " ".join(own)
-            self._keep(own, self._line(line, own), len(line))
-
-    def _settle(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of text, each of which starts a document or with a space that may be cut."""
-        if self.size > CACHE_BYTES // 2:
-            self.known, self.older, self.size = {}, self.known, 0
-        split = [r.split(" ") for r in runs]
-        found, fresh = self._look(split)
-        if any(not c or c.isspace() for c in {w[:1] for w in fresh}):  # a space that isn't followed by other than white space isn't cut
-            split = [self._merged(r) for r in split]
-            found, fresh = self._look(split)
-        self._learn(fresh)
-        known = self.known
-        for words, ids in zip(split, found, strict=True):
-            for i in [i for i, x in enumerate(ids) if x is None]:
-                ids[i] = known[words[i]]
-        heads = self.tok.encode_batch_fast([r[0] for r in split], add_special_tokens=False)
-        for h, ids in zip(heads, found, strict=True):
-            ids[0] = np.array(h.ids, self.dtype).tobytes()
-        return [b"".join(ids) for ids in found]
-
-    def _look(self, split: list[list[str]]) -> tuple[list[list], set[str]]:
-        """The ids of each run's words as far as they are known, and the words that aren't; a run's first word is told later."""
-        found = [list(map(self.known.get, r)) for r in split]
-        for ids in found:
-            ids[0] = b""
-        return found, {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
-
-    def _merged(self, words: list[str]) -> list[str]:
-        out = words[:1]
-        for w in words[1:]:
-            if w and not w[0].isspace():
-                out.append(w)
-            else:
-                out[-1] += " " + w
-        return out
-
-    def _runs(self, text: str) -> list[str]:
-        """The text in runs of about RUN_CHARS, cut at spaces that may be cut."""
-        out, at = [], 0
-        while at < len(text):
-            end = at + RUN_CHARS
-            while (end := text.find(" ", end)) >= 0 and (end + 1 == len(text) or text[end + 1].isspace()):
-                end += 1
-            end = len(text) if end < 0 else end
-            out.append(text[at:end])
-            at = end
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; as many texts as RUN_CHARS allows share a round of new words."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, str]] = []
-        size = 0
-
-        def settle():
-            for (k, _), ids in zip(held, self._settle([r for _, r in held]), strict=True):
-                out[k].append(ids)
-            held.clear()
-
-        for k, text in enumerate(texts):
-            # the tokenizer takes special tokens out first, too
-            for j, part in enumerate(self.special.split(text) if self.special else [text]):
+            return self._each(words)
+        raw, size = ids.tobytes(), ids.itemsize
+        ends = np.append(first[1:] - (not spaced), len(ids))
+        return [raw[a:b] for a, b in zip((first * size).tolist(), (ends * size).tolist(), strict=True)]
+
+    def learn(self, fresh):
+        kinds: tuple[list[bytes], ...] = [], [], []
+        for w in fresh:
+            spaced = w[0] == 0x20
+            bare = w[spaced:]
+            text = bare.decode()
+            whole = text.isalpha() or text.split(None, 1) == [text]
+            kinds[spaced if whole and (spaced or self.line is not None) else 2].append(w)
+        for spaced, words in enumerate(kinds):
+            for at in range(0, len(words), LINE_WORDS):
+                own = words[at : at + LINE_WORDS]
+                self.keep(own, self._each(own) if spaced == 2 else self._line(own, bool(spaced)))
+
+    def encode_array(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin (and the last's end)."""
+        if not self.special or not pc.any(pc.match_substring_regex(text, self.special.pattern)).as_py():
+            return self.ids_of(text, RUN_CHARS, CACHE_BYTES)
+        # the tokenizer takes special tokens out first, too
+        parts = [self.special.split(t or "") for t in text.to_pylist()]
+        ids, starts = self.ids_of(pa.array([x for p in parts for x in p[::2]], pa.large_string()), RUN_CHARS, CACHE_BYTES)
+        out, at, ends = [], 0, [0]
+        for p in parts:
+            for j, x in enumerate(p):
                 if j % 2:
-                    settle()
-                    out[k].append(self._ids(part).tobytes())
-                    continue
-                for run in self._runs(part):
-                    held.append((k, run))
-                    size += len(run)
-                    if size >= RUN_CHARS:
-                        settle()
-                        size = 0
-        settle()
-        return [b"".join(x) for x in out]
+                    out.append(np.array(self.tok.encode(x, add_special_tokens=False).ids, self.dtype))
+                else:
+                    out.append(ids[starts[at] : starts[at + 1]])
+                    at += 1
+            ends.append(ends[-1] + sum(map(len, out[len(out) - len(p) :])))
+        return np.concatenate([*out, ids[:0]]), np.array(ends)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_array(pa.array([text], pa.large_string()))[0].tobytes()
 
 
 def _cut(path: str, capacity: int, end_id: int):
@@ -341,23 +324,35 @@ def _cut(path: str, capacity: int, end_id: int):
 
     def run(batches):
         enc = held(f"packing words of {path}", lambda: TextEncoder(path))
-        end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
-        task, seen = TaskContext.get().partitionId(), defaultdict(int)
-        columns = [c.split()[0] for c in PIECES.split(", ")]
+        width, task, seen = enc.dtype.itemsize, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        names = [c.split()[0] for c in PIECES.split(", ")]
         try:
-            for pdf in batches:
-                for at in range(0, len(pdf), DOCS):
-                    rows = []
-                    own = pdf.iloc[at : at + DOCS]
-                    for doc, body in zip(own["doc_id"], enc.encode_all([t or "" for t in own["text"]]), strict=True):
-                        ids = np.frombuffer(body + end, enc.dtype)
-                        cuts = range(len(ids) % capacity or capacity, len(ids) + 1, capacity)
-                        doc = None if pd.isna(doc) else int(doc)
-                        for k, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True)):
-                            n = b - a
-                            rows.append((doc, k, a, n, ids[a:b].tobytes(), width, zlib.crc32(ids[a:b].astype("<u4")), task, seen[n]))
-                            seen[n] += 1
-                    yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            for b in batches:
+                ids, starts = enc.encode_array(b.column("text"))
+                ids = np.insert(ids, starts[1:], end_id)
+                starts += np.arange(len(starts))
+                size = np.diff(starts)
+                n = -(-size // capacity)
+                head = size - (n - 1) * capacity
+                doc = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                start = np.where(piece, head[doc] + (piece - 1) * capacity, 0)
+                edges = np.append(starts[doc] + start, len(ids))
+                length = np.diff(edges)
+                order = np.argsort(length, kind="stable")
+                own = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(doc), np.int64)
+                nth[order] = np.arange(len(doc)) + (seen - np.cumsum(own) + own)[length[order]]
+                seen += own
+                for i in range(0, len(doc), ROWS):
+                    k = slice(i, min(i + ROWS, len(doc)))
+                    at = edges[i : k.stop + 1] - edges[i]
+                    body = ids[edges[i] : edges[k.stop]]
+                    wide = body.astype("<u4")
+                    body = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(body)])
+                    crcs = [zlib.crc32(wide[x:y]) for x, y in itertools.pairwise(at.tolist())]
+                    columns = (b.column("doc_id").take(pa.array(doc[k])), piece[k].astype(np.int32), start[k], length[k].astype(np.int32), body, np.full(len(crcs), width, np.int32), np.array(crcs, np.int64), np.full(len(crcs), task, np.int32), nth[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
         finally:
             give_back()
 
@@ -367,7 +362,7 @@ def _cut(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of whole texts, written once: PIECES. task and nth number the pieces of a length."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(d.mapInPandas(_cut(tokenizer, capacity, end_id), PIECES), "pieces")
+    return stored(d.mapInArrow(_cut(tokenizer, capacity, end_id), PIECES), "pieces")
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("copse.llm")
@@ -186,6 +187,28 @@ def test_word_table_is_bounded(monkeypatch):
     assert e.encode("one two three four") == first
 
 
+def test_words_are_encoded_once_whatever_mark_follows(byte_bpe):
+    """A table of words and marks, not of their combinations: what a new word costs is most of the query."""
+    e, r = packing.TextEncoder(vocabulary_path(PACKING_TOKENIZER)), random.Random(4)
+    words = ["".join(r.choices("abcdeéßüñ", k=7)) for _ in range(60)]
+    text = "x" + "".join(f" {w}{m}" for m in ("", *".,;:!?") for w in words)
+    assert np.frombuffer(e.encode(text), e.dtype).tolist() == byte_bpe.encode(text, add_special_tokens=False).ids
+    assert len(e.known) < 80
+
+
+@pytest.mark.parametrize("window", [1 << 20, 40])
+def test_texts_side_by_side_keep_to_themselves(byte_bpe, monkeypatch, window):
+    """Many texts of one batch, cut into words where they lie; ends, starts and empty texts included."""
+    monkeypatch.setattr(packing, "RUN_CHARS", window)
+    e, r = packing.TextEncoder(vocabulary_path(PACKING_TOKENIZER)), random.Random(9)
+    letters = [*"aZé́İß×÷fi'st½.,!?;:Σ中😀\n\t\r\x1c\x85\xa0\u2003\u2028\u3000\u1680¿—Ā", " ", " ", "  ", "n't", "word, ", "\nAn", ".\nÀÉ", "12", " \n", "\n\n"]
+    for odd in ([], ["<|endoftext|>", "<|endoftext"]):
+        texts = [None if r.random() < 0.05 else "".join(r.choice(letters + odd) for _ in range(r.randint(0, 12))) for _ in range(6000)]
+        ids, starts = e.encode_array(pa.array(["cut off", *texts])[1:])
+        for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+            assert ids[a:b].tolist() == byte_bpe.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def check_packed(got, rows, tok, capacity):
     """Every document whole, in pieces as agreed, and each sequence gapless."""
     ids = {t: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in {t for _, t in rows}}
