@@ -43,6 +43,7 @@ class WordTable:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.size = 0  # bytes in the younger generation
+        self.fold: np.ndarray | None = None  # by byte, what a word has in its place
 
     def cuts(self, raw: np.ndarray, bounds: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """Where words of raw[lo:hi] begin, ascending: lo, where texts that aren't empty begin (bounds), and others."""
@@ -95,7 +96,8 @@ class WordTable:
                 hi = min(2 * hi - lo, len(raw))
             if hi < len(raw):
                 cuts, hi = cuts[:-1], int(cuts[-1])
-            ids, before = self._window(raw[lo:hi], cuts - lo, most)
+            own = raw[lo:hi] if self.fold is None else self.fold[raw[lo:hi]]
+            ids, before = self._window(own, cuts - lo, most)
             a, b = np.searchsorted(bounds, (lo, hi))
             starts[a:b] = total + before[np.searchsorted(cuts, bounds[a:b])]
             out.append(ids)

@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -837,6 +838,28 @@ def test_plain_words_encode_as_the_others(tokenizer, monkeypatch):
     assert e.older and len(e.cache) + len(e.older) < 600
 
 
+def test_token_words_are_encoded_once_whatever_mark_follows(tokenizer):
+    """A table of words and marks, not of their combinations: what a new word costs is most of the query."""
+    e, r = token_store.WordEncoder(vocabulary_path(TOKENIZER)), random.Random(4)
+    words = ["".join(r.choices("abcdeéßüñ", k=7)) for _ in range(60)]
+    text = "x" + "".join(f" {w.title() if k % 2 else w}{m}" for m in ("", *".,;:!?") for k, w in enumerate(words))
+    assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(e.cache) < 80
+
+
+@pytest.mark.parametrize("window", [1 << 20, 40])
+def test_token_texts_side_by_side_keep_to_themselves(tokenizer, monkeypatch, window):
+    """Many texts of one batch, cut into words where they lie; ends, starts and empty texts included."""
+    monkeypatch.setattr(token_store, "WINDOW", window)
+    e, r = token_store.WordEncoder(vocabulary_path(TOKENIZER)), random.Random(9)
+    letters = [*"aZé́İßªẞ×÷fi'st½.,!?;:ΣςЖж中😀\n\t\r\x0b\x1c\x85\xa0\u2003¿—Ā\u0338", " ", " ", "  ", "n't", "word, ", "ÀÉ. ", "12", "İ.", "ж. ", " \n"]
+    for odd in ([], ["<|endoftext|>", "<|ENDOFTEXT|>", "<|"]):
+        texts = [None if r.random() < 0.05 else "".join(r.choice(letters + odd) for _ in range(r.randint(0, 12))) for _ in range(6000)]
+        ids, starts = e.encode_array(pa.array(["cut off", *texts])[1:])
+        for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+            assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def test_minimal_perfect_hash():
     for n in (1, 2, 7, 500, 3000):
         keys = [token_store.key_bytes(i * 17, i % 3) for i in range(n)]
