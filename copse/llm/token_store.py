@@ -54,11 +54,11 @@ from pyspark.sql import functions as F
 from copse.llm.common import give_back, held, shared_dir
 from copse.llm.words import MARKS, WordTable, flags, letter_before
 
-END_ID, SHARD_TOKENS, LINE_WORDS = 1, 1 << 20, 500
+END_ID, SHARD_TOKENS, LINE_WORDS, DOCS = 1, 1 << 20, 500, 1024
 #: Bytes of text that are cut into words at a time.
-WINDOW = 1 << 24
+WINDOW = 1 << 22
 #: Bound of a word table, and what an entry takes beside its two byte strings.
-CACHE_BYTES, ENTRY_BYTES = 128 << 20, 170
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 170
 
 SCHEMA = "part int, shard int, first long, lo long, hi long, n_docs long, n_tokens long, width int, payload binary, keys binary, seeds binary, prints binary, starts binary"
 
@@ -262,7 +262,7 @@ def _write(path: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, kinds, strict=True)], names=[name for name, _ in kinds])
 
         try:
-            for b in batches:
+            for b in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
                 ids, starts = enc.encode_array(b.column("text"))
                 starts = starts.tolist()
                 for doc, at, to in zip(b.column("doc_id").to_pylist(), starts[:-1], starts[1:], strict=True):
