@@ -5,9 +5,10 @@ Proximities are pairs of rows that share leaves, found by an equi-join on
 matrix is; ``max_pairs`` is checked on leaf sizes before the join and refuses,
 rather than samples, where the matrix would not fit. What leaves out the bag
 (scores and scaling with ``use_oob=False``, scores of new rows) needs no pairs:
-see ``leafwise``. With the bag, outlier scores aggregate the pairs, and MDS is a
-power iteration of Spark jobs over them; only sums go to the driver, or the matrix
-itself where it has at most ``MDS_DRIVER`` rows.
+see ``leafwise``. Rows with the same leaves and bags are one class, and proximities
+are those of classes. With the bag, outlier scores come from counts by set of bags
+or from pairs of classes, and MDS is a power iteration of Spark jobs over the pairs;
+only sums go to the driver, or the matrix itself where it has at most ``MDS_DRIVER`` rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from copse.operators.score import per_tree
 from copse.sources.frames import materialised, with_rank
 
 MAX_PAIRS, MDS_DRIVER, MASK_BITS = 2_000_000_000, 1000, 62
+#: Classes and rows that go to all tasks where pairs of classes are expanded to pairs of rows, and pairs that a task makes.
+SENT_CLASSES, SENT_ROWS, TASK_PAIRS = 1000, 4_000_000, 20_000_000
 
 
 def synthetic_union(df: DataFrame, row_id: str, features: list[str], seed: int = 0) -> DataFrame:
@@ -57,30 +60,117 @@ def proximity(leaves: DataFrame, bag: DataFrame | None = None) -> DataFrame:
 
     With bag (row_id, tree_id of rows in the bag), a tree counts for a pair
     unless both are in its bag. The diagonal is 1 for a row out of some bag.
+    Proximities are worked out for pairs of classes; only what is returned has a row for each pair of rows.
     """
+    return expanded(*class_pairs(leaves, bag))
+
+
+def bag_classes(leaves: DataFrame, bag: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row_id, i), and (i, n, key, mask) of classes i: rows with the same leaves in all trees and in the same bags, named by their least row_id."""
+    entry = F.struct(F.col("tree_id").cast("int").alias("tree_id"), F.col("leaf").cast("long").alias("leaf"))
+    own = leaves.groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("key"))  # one entry per tree
+    none = F.expr("cast(array() as array<bigint>)")
+    own = own.withColumn("mask", none) if bag is None else own.join(bag_masks(bag), "row_id", "left").withColumn("mask", F.coalesce("mask", none))
+    own = materialised(own, "keys")
+    found = materialised(own.groupBy("key", "mask").agg(F.min("row_id").alias("i"), F.count("*").alias("n")), "classes")
+    return materialised(own.join(found, ["key", "mask"]).select("row_id", "i"), "members"), found
+
+
+def class_pairs(leaves: DataFrame, bag: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(i, j, prox) of classes, those of a class with itself included, and (row_id, i): two rows have the proximity of their classes, a row and itself too."""
     trees = leaves.select("tree_id").distinct().count()
-    pairs = co_leaf(leaves, leaves)
+    members, classes = bag_classes(leaves, bag)
+    own = classes.select(F.col("i").alias("row_id"), F.explode("key").alias("_k")).select("row_id", "_k.tree_id", "_k.leaf")
+    pairs = co_leaf(own, own)
     if bag is None:
-        return pairs.groupBy("i", "j").agg((F.count("*") / float(trees)).alias("prox"))
-    found = out_of_bag(pairs, bag, trees)
-    return found.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("same") / F.col("valid")).alias("prox"))
+        found = pairs.groupBy("i", "j").agg((F.count("*") / float(trees)).alias("prox"))
+    else:
+        found = _out_of_bag(pairs, classes.select(F.col("i").alias("row_id"), "mask"), trees)
+        found = found.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("same") / F.col("valid")).alias("prox"))
+    return materialised(found, "class-pairs"), members
+
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(i, j, prox) of rows from those of classes. Few classes go to all tasks, so no pair of rows is shuffled."""
+    sizes = members.groupBy("i").agg(F.count("*").alias("n"))
+    classes, rows = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if classes == rows:
+        return pairs
+    left, right = members.select(F.col("row_id").alias("_l"), "i"), members.select(F.col("row_id").alias("_r"), F.col("i").alias("j"))
+    if classes <= SENT_CLASSES and rows <= SENT_ROWS:
+        total = pairs.join(sizes, "i").join(sizes.select(F.col("i").alias("j"), F.col("n").alias("m")), "j").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+        tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_PAIRS))
+        left, pairs, right = left.repartition(tasks), F.broadcast(pairs), F.broadcast(right)
+    return left.join(pairs, "i").join(right, "j").select(F.col("_l").alias("i"), F.col("_r").alias("j"), "prox")
 
 
 def out_of_bag(pairs: DataFrame, bag: DataFrame, trees: int) -> DataFrame:
     """(i, j, same, valid): trees in whose leaf both are, and trees at all, without those that have both in the bag; same is 1 at least."""
-    masks = bag_masks(bag)
+    return _out_of_bag(pairs, bag_masks(bag), trees)
+
+
+def _out_of_bag(pairs: DataFrame, masks: DataFrame, trees: int) -> DataFrame:
     own = masks.select(F.col("row_id").alias("i"), F.col("mask").alias("mi"))
     other = masks.select(F.col("row_id").alias("j"), F.col("mask").alias("mj"))
     trees_of = F.array_sort(F.collect_list(F.col("tree_id").cast("int"))).alias("shared")
     same = pairs.groupBy("i", "j").agg(trees_of).join(own, "i", "left").join(other, "j", "left")  # trees by pair: at most the number of trees
     none = F.expr("cast(array() as array<bigint>)")
-    both = F.zip_with(F.coalesce("mi", none), F.coalesce("mj", none), lambda a, b: F.coalesce(a.bitwiseAND(b), F.lit(0).cast("long")))
-    same = same.select("i", "j", "shared", both.alias("both"))
-    out = F.size(F.filter("shared", lambda t: F.coalesce(F.getbit(F.get("both", F.floor(t / MASK_BITS).cast("int")), t % MASK_BITS), F.lit(0)) == 0))
+    same = same.select("i", "j", "shared", _both(F.coalesce("mi", none), F.coalesce("mj", none)).alias("both"))
+    out = F.size(F.filter("shared", lambda t: ~_has("both", t)))
     inbag = F.aggregate("both", F.lit(0), lambda s, x: s + F.bit_count(x))
     return same.select("i", "j", out.alias("same"), (F.lit(trees) - inbag).alias("valid")).filter("same > 0")
 
 
+def _both(a, b):
+    """The trees in both of two masks."""
+    return F.zip_with(a, b, lambda x, y: F.coalesce(x.bitwiseAND(y), F.lit(0).cast("long")))
+
+
+def _has(mask, tree):
+    """Whether a mask has a tree."""
+    return F.coalesce(F.getbit(F.get(mask, F.floor(tree / MASK_BITS).cast("int")), tree % MASK_BITS), F.lit(0)) == 1
+
+
+def bagged_squares(leaves: DataFrame, bag: DataFrame, trees: int) -> DataFrame:
+    """(row_id, s): the sum of a row's squared proximities with the bag, itself included; by pairs of classes or by pairs of trees and bags, whichever are fewer by count.
+
+    The divisor of a pair depends on the two rows' bags only. So where few
+    different sets of bags occur, the rows of each in a cell (a leaf of one tree,
+    a leaf of another) are counted, and for each set of bags the counts of all
+    sets are added up, each over its divisor squared, without the trees that have
+    both in the bag.
+    """
+    members, classes = bag_classes(leaves, bag)
+    own = classes.select(F.col("i").alias("row_id"), F.explode("key").alias("_k")).select("row_id", "_k.tree_id", "_k.leaf")
+    pairs, entries = leafwise.costs(own)
+    sets = materialised(classes.select("mask").distinct().withColumn("set", F.monotonically_increasing_id()), "bags")
+    if sets.count() * entries < pairs:
+        found = _squares_of_sets(classes.join(sets, "mask"), sets, trees)
+    else:
+        check_pairs(own)
+        found = _out_of_bag(co_leaf(own, own), classes.select(F.col("i").alias("row_id"), "mask"), trees).join(classes.select(F.col("i").alias("j"), "n"), "j")
+        prox = F.col("same") / F.col("valid")
+        found = found.groupBy("i").agg(F.sum(prox * prox * F.col("n")).alias("s"))
+    return members.join(found, "i", "left").select("row_id", F.coalesce("s", F.lit(0.0)).alias("s"))
+
+
+def _squares_of_sets(classes: DataFrame, sets: DataFrame, trees: int) -> DataFrame:
+    """(i, s) per class, from counts by cell and set of bags."""
+    first = classes.select("i", "n", "set", "key", F.posexplode("key").alias("at", "a"))
+    cells = first.select("i", "n", "set", "a", F.explode(F.slice("key", F.col("at") + 1, F.size("key"))).alias("b"))
+    cells = materialised(cells.select("i", "n", "set", F.col("a.tree_id").alias("t"), F.col("a.leaf").alias("tl"), F.col("b.tree_id").alias("u"), F.col("b.leaf").alias("ul")), "cells")
+    keys = ["t", "tl", "u", "ul"]
+    counts = cells.groupBy("set", *keys).agg(F.sum("n").alias("n"))
+    two = sets.select(F.col("set").alias("own"), F.col("mask").alias("mi")).crossJoin(sets.select("set", F.col("mask").alias("mj")))
+    two = two.select("own", "set", _both(F.col("mi"), F.col("mj")).alias("both"))
+    valid = F.lit(trees) - F.aggregate("both", F.lit(0), lambda s, x: s + F.bit_count(x))
+    two = two.withColumn("valid", valid).filter("valid > 0").select("own", "set", "both", (1.0 / (F.col("valid") * F.col("valid"))).alias("share"))
+    times = F.when((F.col("t") == F.col("u")) & (F.col("tl") == F.col("ul")), 1).otherwise(2)
+    met = counts.join(two, "set").filter(~_has("both", F.col("t")) & ~_has("both", F.col("u")))
+    sums = met.groupBy("own", *keys).agg(F.sum(F.col("n") * times * F.col("share")).alias("s"))
+    return cells.withColumnRenamed("set", "own").join(sums, ["own", *keys]).groupBy("i").agg(F.sum("s").alias("s"))
+
+
 def bag_masks(bag: DataFrame) -> DataFrame:
     """(row_id, mask): the trees of a row's bag as bits of an array of longs."""
     words = bag.groupBy("row_id", F.floor(F.col("tree_id") / MASK_BITS).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(tree_id % {MASK_BITS} as int))")).alias("bits"))
@@ -254,9 +344,9 @@ class UnsupervisedModel:
         return nearest(counts, min(max(k, 1), self.n_samples_ - 1))
 
     def outlier_scores(self, use_oob: bool = True) -> DataFrame:
-        """Without the bag (use_oob=False) at any size; with it, from the table of pairs."""
+        """Without the bag (use_oob=False) at any size; with it, from pairs of trees and sets of bags where those are few, else from pairs of classes."""
         if use_oob:
-            found = pair_squares(self.proximity_matrix(), self.train)
+            found = bagged_squares(materialised(self.leaves(), "leaves"), self.bag, self.trees.config.n_trees)
         else:
             found = squares(materialised(self.leaves(), "leaves"))
         return outlier_scores(found, self.n_samples_)
