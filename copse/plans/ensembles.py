@@ -392,7 +392,8 @@ def _fixed_leaves(spark, sf):
     final="SELECT i, j, round(CASE WHEN i = j THEN 1.0 ELSE same / (3.0 - coalesce(n_both, 0)) END, 6) AS prox FROM sm LEFT JOIN bothbag USING (i, j) WHERE same > 0"))
 def proximity_oob(spark, sf):
     lv, bag = _fixed_leaves(spark, sf)
-    return proximity.proximity(lv, bag).select("i", "j", r6("prox", "prox"))
+    pairs, members = proximity.class_pairs(lv, bag)
+    return proximity.expanded(pairs.select("i", "j", r6("prox", "prox")), members)  # a pair of rows has the proximity of its classes
 
 
 @query(o.query(_LV, _PX, final="SELECT i, j, round(prox, 6) AS prox, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY prox DESC, j) AS r FROM px WHERE i <> j) WHERE r <= 5"))

@@ -5,6 +5,7 @@ import pytest
 
 from copse.operators import proximity
 from copse.operators.proximity import UnsupervisedForest
+from copse.plans import registry
 
 
 def tables(spark, leaf, bag, ids):
@@ -49,6 +50,11 @@ def test_expanded_pairs(spark, classes, monkeypatch):
     assert got == sorted(want)
 
 
+def test_no_pair_of_rows_is_shuffled(spark, sf_dir):
+    plan = registry.QUERIES["proximity_oob"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
 def test_scores_with_few_bags_make_no_pairs_of_rows(spark, monkeypatch):
     r = np.random.default_rng(2)
     df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(r.random((300, 2)))], "id long, a double, b double")
