@@ -47,8 +47,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.common import shared_dir, stored
+from copse.llm.common import shared_dir, shuffles_let_go, stored
 from copse.llm.suffix_array import permuted_prefixes, suffix_array
+from copse.sources.frames import dropped
 
 WIDTH, GRAM, CHUNK_BYTES, SHARD_ROWS, CROWDED, DIGEST = 50, 16, 1 << 20, 60_000, 5_000, 16
 NULL_ID = 2**63 - 1
@@ -388,7 +389,9 @@ def _copies(rows: DataFrame) -> DataFrame:
     d = stored(rows.mapInPandas(_digests, "digest binary, id long, chunk long, place int"), "digests")
     least = d.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("most > least").select("digest", "least")
     own = d.join(least, "digest").filter("id > least").groupBy("chunk").agg(F.collect_list("place").alias("copies"))
-    return stored(own, "copies")
+    own = stored(own, "copies")
+    dropped(d)
+    return own
 
 
 def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text", crowded: int = CROWDED) -> DataFrame:
@@ -396,6 +399,11 @@ def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text", crowded: int
 
     Anchor hashes of more than crowded segments are resolved by window; the result is the same for any value.
     """
+    with shuffles_let_go(docs.sparkSession):
+        return _deduplicated(docs, doc_id, text, crowded)
+
+
+def _deduplicated(docs: DataFrame, doc_id: str, text: str, crowded: int) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -416,6 +424,7 @@ def deduplicated(docs: DataFrame, *, doc_id="doc_id", text="text", crowded: int
     longer = shared(asked.mapInPandas(_side_hashes(mask), "h long, chunk long"), "longer")
     asked = asked.join(longer.hint("shuffle_hash"), "chunk", "left")
     rows = stored(asked.mapInPandas(_segments(mask), "h long, data binary, chunk long, at int, lead int, lo long, hi long"), "segments")
+    dropped(far)
     many = stored(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("h"), "crowded")
     some = not many.isEmpty()
     few = rows.join(F.broadcast(many), "h", "left_anti") if some else rows  # many has at most a row per CROWDED segments
